@@ -37,3 +37,9 @@ def words_of(text):
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1024) -> DataFrame:
+    """``mapInArrow`` with small batches, so that a batch of long texts stays small next to a task's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(fn, schema)

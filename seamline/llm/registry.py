@@ -8,6 +8,7 @@ import importlib
 MODULES = (
     "q_chat",
     "q_quality",
+    "q_bpe",
 )
 
 
