@@ -9,6 +9,7 @@ MODULES = (
     "q_chat",
     "q_quality",
     "q_bpe",
+    "q_licences",
 )
 
 
