@@ -10,6 +10,7 @@ MODULES = (
     "q_quality",
     "q_bpe",
     "q_licences",
+    "q_mixing",
 )
 
 
