@@ -11,6 +11,7 @@ MODULES = (
     "q_bpe",
     "q_licences",
     "q_mixing",
+    "q_html",
 )
 
 
