@@ -28,10 +28,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def flat(text):
+    """The text with every white space character as a blank; null is the empty string."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":  # five byte searches, far cheaper than one translate()
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def words_of(text):
     """Non-empty words of a text column, split at ASCII white space; null gives none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(flat, " ", -1), lambda w: w != "")
+    return F.filter(F.split(flat(text), " ", -1), lambda w: w != "")
 
 
 def width(spark: SparkSession) -> int:

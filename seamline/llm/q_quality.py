@@ -37,13 +37,13 @@ words AS (
   SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY rid
 ), lines AS (
   SELECT rid, k, line, length(line) AS n_line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
-         translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+         lower(line) AS low
   FROM (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM src)) u
 ), judged AS (
   SELECT *, ({_COUNT("line", "|»•·")} >= {_R.nav_marks} AND {_COUNT("line", "|»•·")} * {_R.nav_words} >= n)
        OR {_PHRASES}
        OR (n >= {_R.min_marked_words} AND {_COUNT("line", "#*$%&|<>")} * {_R.symbol_words} >= n)
-       OR (n >= {_R.min_marked_words} AND low <> line AND {_COUNT("line", "abcdefghijklmnopqrstuvwxyz")} = 0)
+       OR (n >= {_R.min_marked_words} AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-z]'))
        OR (n >= {_R.min_plain_words} AND {_COUNT("line", ".,;:!?…")} = 0) AS fails
   FROM lines
 ), lc AS (

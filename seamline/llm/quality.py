@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import words_of
+from seamline.llm.common import flat
 
 
 @dataclass(frozen=True)
@@ -49,69 +49,84 @@ RULES = Rules()
 def with_repeated_words(df: DataFrame, words: str, window: int, out: str) -> DataFrame:
     """Add the number of words that lie in a window of ``window`` words found twice or more.
 
-    Windows become 64-bit hashes; sorting (hash, start) brings equal ones together, and the starts that have an
-    equal neighbour, sorted again, give the covered words as a sum of gaps no longer than the window. Each array is
-    a column of its own, so that no lambda evaluates another array anew for each of its elements.
+    Windows become 64-bit hashes. Most texts repeat none, which sorting the bare hashes shows. For the others,
+    sorting (hash, start) brings equal ones together, and the starts that have an equal neighbour, sorted again, give
+    the covered words as a sum of gaps no longer than the window. Each array is a column of its own, so that no lambda
+    evaluates another array anew for each of its elements.
     """
-    h = F.col("_h")
-    starts = F.transform(
+    h, g, s, o = (F.col(c) for c in ("_h", "_g", "_s", "_o"))
+    grams = F.transform(
         F.slice(h, F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, window)]).alias("h"), i.alias("i")),
-    )
-    o = F.col("_o")
-    same = F.transform(
-        o, lambda x, i: F.when(x["h"].eqNullSafe(F.get(o, i - 1)["h"]) | x["h"].eqNullSafe(F.get(o, i + 1)["h"]), x["i"])
+        lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, window)]),
     )
+    same = F.transform(o, lambda x, i: F.when(x["h"].eqNullSafe(F.get(o, i - 1)["h"]) | x["h"].eqNullSafe(F.get(o, i + 1)["h"]), x["i"]))
     covered = F.aggregate(
         F.array_sort(F.filter(same, lambda p: p.isNotNull())),
         F.struct(F.lit(-window).alias("last"), F.lit(0).cast("long").alias("n")),
-        lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(p - s["last"], F.lit(window))).cast("long").alias("n")),
+        lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(p - a["last"], F.lit(window))).cast("long").alias("n")),
     )["n"]
     return (
         df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-        .withColumn("_o", F.array_sort(starts))
-        .withColumn(out, covered)
-        .drop("_h", "_o")
+        .withColumn("_g", grams)
+        .withColumn("_s", F.sort_array("_g"))
+        .withColumn("_twice", F.exists(F.transform(s, lambda x, i: x.eqNullSafe(F.get(s, i + 1))), lambda x: x))
+        .withColumn("_o", F.when(F.col("_twice"), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+        .withColumn(out, F.when(F.col("_twice"), covered).otherwise(F.lit(0).cast("long")))
+        .drop("_h", "_g", "_s", "_o", "_twice")
     )
 
 
+WORD = "[^\\x20\\x09-\\x0D]"
+NAV, SYMBOL, CLAUSE = "|»•·", "#*$%&|<>", ".,;:!?…"
+
+
+def _count(value: Column, marks: str) -> Column:
+    return F.length(value) - F.length(F.translate(value, marks, ""))
+
+
+def _any(value: Column, marks: str) -> Column:
+    return F.rlike(value, F.lit("[" + marks + "]"))
+
+
 def line_fails(line: Column, r: Rules = RULES) -> Column:
-    n = F.size(words_of(line))
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    count = lambda marks: F.length(line) - F.length(F.translate(line, marks, ""))
-    nav = count("|»•·")
+    """Each rule opens with a test that ends early on common lines; only then are marks and words counted."""
+    n = F.regexp_count(line, F.lit(WORD + "+"))
+    low = F.lower(line)
     phrase = F.lit(False)
     for p in r.phrases:
         phrase = phrase | F.contains(low, F.lit(p))
     return (
-        ((nav >= r.nav_marks) & (nav * r.nav_words >= n))
+        (_any(line, NAV) & (_count(line, NAV) >= r.nav_marks) & (_count(line, NAV) * r.nav_words >= n))
+        | (_any(line, SYMBOL) & (n >= r.min_marked_words) & (_count(line, SYMBOL) * r.symbol_words >= n))
+        | (~_any(line, "a-z") & _any(line, "A-Z") & (n >= r.min_marked_words))
+        | (~_any(line, CLAUSE) & (n >= r.min_plain_words))
         | phrase
-        | ((n >= r.min_marked_words) & (count("#*$%&|<>") * r.symbol_words >= n))
-        | ((n >= r.min_marked_words) & (low != line) & (count("abcdefghijklmnopqrstuvwxyz") == 0))
-        | ((n >= r.min_plain_words) & (count(".,;:!?…") == 0))
     )
 
 
 def judge(docs: DataFrame, r: Rules = RULES, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, clean_text, kept."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_w", words_of(t)).withColumn("_l", F.split(t, "\n", -1))
-    spoken = F.filter("_l", lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    out = docs.withColumn("_f", flat(F.col(text))).withColumn("_l", F.split(t, "\n", -1))
+    out = out.withColumn("_w", F.filter(F.split("_f", " ", -1), lambda w: w != ""))
+    out = out.withColumn("_spoken", F.filter("_l", lambda x: F.rlike(x, F.lit(WORD))))
     out = out.withColumn("_good", F.filter("_l", lambda x: ~line_fails(x, r)))
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     out = out.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.aggregate("_w", F.lit(0).cast("long"), lambda s, x: s + F.length(x)),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": (F.size(spoken) - F.size(F.array_distinct(spoken))).cast("long"),
+            "word_chars": F.length(F.replace("_f", F.lit(" "), F.lit(""))).cast("long"),
+            "n_symbols": F.when(_any(t, SYMBOL), _count(t, SYMBOL)).otherwise(0).cast("long"),
+            "n_dup_lines": (F.size("_spoken") - F.size(F.array_distinct("_spoken"))).cast("long"),
+            "_all": size(F.col("_l")),
             "lost_chars": size(F.col("_l")) - size(F.col("_good")),
         }
     )
     out = with_repeated_words(out, "_w", r.window, "n_repeat_words")
     out = out.withColumn("base_failed", (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_pct * F.col("n_words")))
-    lost = 100 * F.col("lost_chars") > r.max_lost_pct * size(F.col("_l"))
-    return out.withColumns({"clean_text": F.array_join("_good", "\n"), "kept": ~F.col("base_failed") & ~lost}).drop("_w", "_l", "_good")
+    lost = 100 * F.col("lost_chars") > r.max_lost_pct * F.col("_all")
+    done = out.withColumns({"clean_text": F.array_join("_good", "\n"), "kept": ~F.col("base_failed") & ~lost})
+    return done.drop("_f", "_w", "_l", "_spoken", "_good", "_all")
 
 
 def clean(docs: DataFrame, r: Rules = RULES) -> DataFrame:
