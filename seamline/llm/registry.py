@@ -12,6 +12,7 @@ MODULES = (
     "q_licences",
     "q_mixing",
     "q_html",
+    "q_repeats",
 )
 
 
