@@ -13,6 +13,7 @@ MODULES = (
     "q_mixing",
     "q_html",
     "q_repeats",
+    "q_minhash",
 )
 
 
