@@ -125,7 +125,10 @@ def judge(docs: DataFrame, r: Rules = RULES, text: str = "text") -> DataFrame:
     out = with_repeated_words(out, "_w", r.window, "n_repeat_words")
     out = out.withColumn("base_failed", (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_pct * F.col("n_words")))
     lost = 100 * F.col("lost_chars") > r.max_lost_pct * F.col("_all")
-    done = out.withColumns({"clean_text": F.array_join("_good", "\n"), "kept": ~F.col("base_failed") & ~lost})
+    # A row number in the verdict keeps the optimizer from moving filters on it below the projections above: there it would
+    # put whole arrays in place of their names, to be built anew for each element that looks at them.
+    kept = ~F.col("base_failed") & ~lost & (F.monotonically_increasing_id() >= 0)
+    done = out.withColumns({"clean_text": F.array_join("_good", "\n"), "kept": kept})
     return done.drop("_f", "_w", "_l", "_spoken", "_good", "_all")
 
 
