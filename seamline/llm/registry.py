@@ -14,6 +14,7 @@ MODULES = (
     "q_html",
     "q_repeats",
     "q_minhash",
+    "q_caps",
 )
 
 
