@@ -15,6 +15,7 @@ MODULES = (
     "q_repeats",
     "q_minhash",
     "q_caps",
+    "q_hmm",
 )
 
 
