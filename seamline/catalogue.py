@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 
 #: Modules of seamline.plans, each with QUERIES and, where SQL can say it, ORACLE.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "q_ordered",
+    "q_eventhistory",
+)
 
 
 def _gather(what: str) -> dict:
