@@ -8,6 +8,7 @@ import importlib
 MODULES: tuple[str, ...] = (
     "q_ordered",
     "q_eventhistory",
+    "q_geometry",
 )
 
 
