@@ -9,6 +9,7 @@ MODULES: tuple[str, ...] = (
     "q_ordered",
     "q_eventhistory",
     "q_geometry",
+    "q_groupstats",
 )
 
 
