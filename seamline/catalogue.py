@@ -10,6 +10,7 @@ MODULES: tuple[str, ...] = (
     "q_eventhistory",
     "q_geometry",
     "q_groupstats",
+    "q_segments",
 )
 
 
