@@ -11,6 +11,7 @@ MODULES: tuple[str, ...] = (
     "q_geometry",
     "q_groupstats",
     "q_segments",
+    "q_more",
 )
 
 
