@@ -12,6 +12,7 @@ MODULES: tuple[str, ...] = (
     "q_groupstats",
     "q_segments",
     "q_more",
+    "q_profiles",
     "q_streaming",
 )
 
