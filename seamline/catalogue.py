@@ -13,6 +13,7 @@ MODULES: tuple[str, ...] = (
     "q_segments",
     "q_more",
     "q_profiles",
+    "q_repair",
     "q_streaming",
 )
 

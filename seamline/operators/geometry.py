@@ -142,3 +142,31 @@ def suspects(viol: DataFrame, pose: DataFrame) -> DataFrame:
     common = F.filter(F.array_distinct(F.flatten("ends")), lambda k: F.forall("ends", lambda e: F.array_contains(e, k)))
     best = F.array_min(F.transform(common, lambda k: F.struct(F.get(F.col("conf"), k).alias("c"), k.alias("k"))))
     return df.select("recording", "t", F.col("n").alias("n_bones"), F.coalesce(best["k"], F.lit(-1)).alias("suspect"))
+
+
+def project(points: DataFrame, rounds: int = 32) -> DataFrame:
+    """Move a point into discs: (x, y, discs array<struct<px, py, r>>) gains nx, ny and moved.
+
+    A fold over rounds: the disc that the point is furthest outside of pulls it to its edge, until none is left.
+    """
+    far = lambda s: F.array_max(
+        F.transform(
+            "discs",
+            lambda c: F.struct(
+                (F.sqrt((s["x"] - c["px"]) ** 2 + (s["y"] - c["py"]) ** 2) - c["r"]).alias("e"), c["px"].alias("px"), c["py"].alias("py"), c["r"].alias("r")
+            ),
+        )
+    )
+
+    def step(s, _):
+        def pull(w):
+            scale, out = w["r"] / F.greatest(w["e"] + w["r"], F.lit(1e-12)), w["e"] > 1e-9
+            x, y = w["px"] + (s["x"] - w["px"]) * scale, w["py"] + (s["y"] - w["py"]) * scale
+            return F.struct(F.when(out, x).otherwise(s["x"]).alias("x"), F.when(out, y).otherwise(s["y"]).alias("y"))
+
+        # An array of one binds the furthest disc to a name, so that it is found once a round.
+        return F.get(F.transform(F.array(far(s)), pull), F.lit(0))
+
+    fold = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.col("x").alias("x"), F.col("y").alias("y")), step)
+    out = points.withColumn("_p", fold)
+    return out.withColumns({"nx": F.col("_p.x"), "ny": F.col("_p.y"), "moved": F.sqrt((F.col("_p.x") - F.col("x")) ** 2 + (F.col("_p.y") - F.col("y")) ** 2)}).drop("_p")
