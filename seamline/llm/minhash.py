@@ -8,8 +8,10 @@ to their similarity. Ranks are searched only as far as some ``n ln n`` darts rea
 text plus the size of the signature, not their product.
 
 Texts with one multiset are one class before anything is joined. Bands of coordinates file the classes; bands met by very
-many are dealt into blocks and the blocks joined in pairs. A group emits no more links than members: a spanning forest
-by estimated similarity. Links are then verified on the whole shingle multisets, and connected components of verified
+many are dealt into blocks and the blocks joined in pairs. A group first emits no more links than members: a spanning
+forest by estimated similarity. Links are then verified on the whole shingle multisets. As a link can fail while another
+one of its member would hold, groups are met again with the components of verified links: members of different
+components are paired, the likeliest pairs first, until every such pair was verified. Connected components of verified
 links give each document its class.
 
 Defined cases: a null text is the empty one; a text without words is like no other; a text under five words is one
@@ -33,8 +35,11 @@ from seamline.llm.rolling import mix
 SHINGLE = 5
 COORDINATES, BANDS = 128, 25
 SIMILAR = 0.8
-#: Estimates from 128 coordinates deviate by 0.035; links under three of these are not verified, over three need no rival.
-MAYBE, SURE = 0.69, 0.91
+#: Estimates from 128 coordinates deviate by 0.035. A pair of similarity 0.8 falls under MAYBE, and is not verified, once in
+#: 13 million (the bands miss it once in 20,000); one over SURE needs no rival at first.
+MAYBE, SURE = 0.6, 0.91
+#: Pairs with other components that each member of a group emits, round by round; None: all.
+ROUNDS = (8, 128, None)
 #: Members of a band's group that are compared in one task.
 BLOCK = 1024
 _U = np.uint64
@@ -131,14 +136,22 @@ def _sign(batches):
         )
 
 
-def forest(sig: np.ndarray) -> list[tuple[int, int]]:
+def _agree(sig: np.ndarray, sizes: np.ndarray | None, i: int, rows: np.ndarray | slice, similar: float) -> np.ndarray:
+    """Coordinates in which rows agree with row ``i``; none where sizes alone keep them apart."""
+    n = (sig[rows] == sig[i]).sum(axis=1)
+    if sizes is not None:
+        n[np.minimum(sizes[rows], sizes[i]) < similar * np.maximum(sizes[rows], sizes[i])] = 0
+    return n
+
+
+def forest(sig: np.ndarray, sizes: np.ndarray | None = None, similar: float = SIMILAR) -> list[tuple[int, int]]:
     """Links of a group: all that surely resemble the first member to it, the others by a maximum spanning forest.
 
     Rows are byte-wide coordinates, of which unlike ones agree once in 256.
     """
     k = sig.shape[1]
     least, sure = MAYBE * k, SURE * k
-    best = (sig == sig[0]).sum(axis=1)
+    best = _agree(sig, sizes, 0, slice(None), similar)
     inside = best >= sure
     inside[0] = True
     links = [(0, int(i)) for i in np.flatnonzero(inside)[1:]]
@@ -148,7 +161,7 @@ def forest(sig: np.ndarray) -> list[tuple[int, int]]:
     parent = np.zeros(len(out), dtype=np.int64)
     best = best[out]
     for i in np.flatnonzero(inside)[1:]:  # nearest of the members that are in
-        now = (sig[out] == sig[i]).sum(axis=1)
+        now = _agree(sig, sizes, i, out, similar)
         better = now > best
         best[better], parent[better] = now[better], i
     while len(out):
@@ -159,42 +172,76 @@ def forest(sig: np.ndarray) -> list[tuple[int, int]]:
         rest = np.arange(len(out)) != j
         out, best, parent = out[rest], best[rest], parent[rest]
         if len(out):
-            now = (sig[out] == sig[i]).sum(axis=1)
+            now = _agree(sig, sizes, i, out, similar)
             better = now > best
             best[better], parent[better] = now[better], i
     return links
 
 
-def _group(batches):
-    """Rows sorted by group to links; a group may run over batches."""
+def rivals(sig: np.ndarray, sizes: np.ndarray, root: np.ndarray, degree: np.ndarray, most: int | None, similar: float = SIMILAR) -> tuple[set[tuple[int, int]], bool]:
+    """Pairs of a group's members in different components; and if any were held back.
+
+    Of each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies.
+    """
+    least, links, short = MAYBE * sig.shape[1], set(), False
+    for i in range(len(sig)):
+        other = np.flatnonzero(root != root[i])
+        n = _agree(sig, sizes, i, other, similar)
+        near = np.flatnonzero(n >= least)
+        if most is not None and len(near) > most:
+            short = True
+            near = near[np.argsort(-n[near], kind="stable")]
+            near = np.concatenate((near[:most], near[np.argsort(-degree[other[near]], kind="stable")[:most]]))
+        links.update((min(i, j), max(i, j)) for j in other[near].tolist())
+    return links, short
+
+
+def _group(similar: float, most: int | None = 0):
+    """Rows sorted by group to links; a group may run over batches.
+
+    At first (``most`` 0) by forests, then by rivals; a row without ends tells that links were held back.
+    """
     names = ["a", "b"]
     pair = pa.struct([("id", pa.int64()), ("fp", pa.int64())])
-    held: list[tuple[int, int, bytes]] = []
-    last = None
-
-    def flush(out):
-        if len(held) > 1:
-            own = sorted(set(held))
-            sig = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), -1)
-            out += [((own[i][0], own[i][1]), (own[j][0], own[j][1])) for i, j in forest(sig)]
-        held.clear()
 
-    def emit(out):
-        cols = [pa.array([{"id": e[s][0], "fp": e[s][1]} for e in out], pair) for s in (0, 1)]
-        return pa.RecordBatch.from_arrays(cols, names)
+    def run(batches):
+        held: list[tuple] = []
+        last = None
+
+        def flush(out):
+            if len(held) > 1:
+                own = sorted(set(held))
+                sig = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), -1)
+                sizes = np.array([r[3] for r in own])
+                if most == 0:
+                    links, short = forest(sig, sizes, similar), False
+                else:
+                    known: dict[tuple, int] = {}
+                    root = np.array([known.setdefault(r[5:], len(known)) for r in own])
+                    links, short = rivals(sig, sizes, root, np.array([r[4] for r in own]), most, similar)
+                out += [(own[min(e)][:2], own[max(e)][:2]) for e in links]
+                if short:
+                    out.append((None, None))
+            held.clear()
+
+        def emit(out):
+            cols = [pa.array([e[s] and {"id": e[s][0], "fp": e[s][1]} for e in out], pair) for s in (0, 1)]
+            return pa.RecordBatch.from_arrays(cols, names)
 
-    for batch in batches:
-        out: list = []
-        cols = [batch.column(c).to_pylist() for c in ("band", "i", "j", "_id", "_fp", "sig")]
-        for band, i, j, doc, fp, sig in zip(*cols, strict=True):
-            if (band, i, j) != last:
-                flush(out)
-                last = (band, i, j)
-            held.append((doc, fp, sig))
+        for batch in batches:
+            out: list = []
+            cols = [batch.column(c).to_pylist() for c in batch.schema.names]
+            for band, i, j, *member in zip(*cols, strict=True):
+                if (band, i, j) != last:
+                    flush(out)
+                    last = (band, i, j)
+                held.append(tuple(member))
+            yield emit(out)
+        out = []
+        flush(out)
         yield emit(out)
-    out = []
-    flush(out)
-    yield emit(out)
+
+    return run
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -239,6 +286,29 @@ def _verify(least: float):
 
 
 _VERTEX = "struct<id: long, fp: long>"
+_LINK = f"a {_VERTEX}, b {_VERTEX}"
+
+
+def _met(members: DataFrame, parts: int) -> DataFrame:
+    """Rows of the groups that share a band, by block pairs; where components are known (root), only of bands that more than one meets."""
+    known = [c for c in ("degree", "root") if c in members.columns]
+    rows = members.select("rep", *known[1:], F.posexplode("bands").alias("n", "band"))
+    met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *[f("root").alias(f.__name__) for f in (F.min, F.max) if known])
+    met = met.where("min <> max" if known else "members > 1").select("band", "members")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.join(met, "band").select("rep", "band", blocks.alias("s"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.select("rep", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(members.select("rep", "sig", "n_shingles", *known), "rep")
+    own = [F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig", "n_shingles", *known[:1], *[F.col(f"root.{c}").alias(f"_root_{c}") for c in ("id", "fp") if known]]
+    return rows.select("band", "i", "j", *own).repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _hold(links: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The links that hold on the whole shingle multisets."""
+    pairs = links.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
+    pairs = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
+    return arrow_map(pairs.select("a", "b", "sa", "sb"), _verify(similar), _LINK, rows=256)
 
 
 def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -251,26 +321,30 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
     base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_fp"), F.col(text).alias("_text"))
     signed = durable(arrow_map(base, _sign, _SIGNED, rows=512).dropDuplicates(["_id", "_fp"]))
     vertex = F.struct(F.col("_id").alias("id"), F.col("_fp").alias("fp"))
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min(vertex).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = signed.where("digest is not null").groupBy("digest").agg(F.min(vertex).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     reps = durable(reps)
 
-    rows = reps.select("rep", F.posexplode("bands").alias("n", "band"))
-    met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.join(met, "band").select("rep", "band", blocks.alias("s"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.select("rep", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(reps.select("rep", "sig"), "rep").select("band", "i", "j", F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig")
-    rows = rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    links = durable(arrow_map(rows, _group, f"a {_VERTEX}, b {_VERTEX}", rows=4096).distinct())
-
+    links = durable(arrow_map(_met(reps, parts), _group(similar), _LINK, rows=4096).distinct())
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    sets = arrow_map(base, _sets, f"v {_VERTEX}, shingles binary", rows=512).dropDuplicates(["v"]).join(ends, "v")
-    pairs = links.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
-    edges = arrow_map(pairs.select("a", "b", "sa", "sb"), _verify(similar), f"a {_VERTEX}, b {_VERTEX}", rows=256)
-
+    # Whoever has a pair to verify in a later round has a link in the first: no other sets are needed.
+    sets = durable(arrow_map(base, _sets, f"v {_VERTEX}, shingles binary", rows=512).dropDuplicates(["v"]).join(ends, "v"))
+    edges = durable(_hold(links, sets, similar))
     roots = components(edges)
+    for most in ROUNDS:
+        root = roots.select(F.col("vertex").alias("rep"), "root")
+        degree = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        members = reps.join(sets.select(F.col("v").alias("rep")), "rep").join(root, "rep", "left").join(degree, "rep", "left")
+        members = durable(members.withColumns({"root": F.coalesce("root", "rep"), "degree": F.coalesce("degree", F.lit(0))}))
+        pairs = durable(arrow_map(_met(members, parts), _group(similar, most), _LINK, rows=4096).distinct())
+        fresh = durable(pairs.where("a is not null").join(links, ["a", "b"], "left_anti"))
+        found = durable(_hold(fresh, sets, similar))
+        if not found.isEmpty():
+            edges = edges.union(found)
+            roots = components(edges)
+        if pairs.where("a is null").isEmpty():
+            break
+        links = links.union(fresh)
+
     named = reps.select("digest", "rep").join(roots.select(F.col("vertex").alias("rep"), "root"), "rep", "left")
     named = named.select("digest", F.coalesce("root", "rep").alias("root"))
     out = signed.select("_id", "_fp", "digest", "n_shingles").join(named, "digest", "left")

@@ -158,6 +158,32 @@ def test_forest_reaches_all_members_of_a_chain():
     assert {x for e in links for x in e} == set(range(7)) and len(links) == 6
 
 
+def test_rivals_of_other_components_are_paired():
+    sig = np.zeros((4, 128), dtype=np.uint8)
+    sig[1, :30] = sig[2, 30:64] = sig[3, 64:] = 1
+    sizes, degree = np.full(4, 100), np.array([0, 0, 5, 0])
+    assert minhash.rivals(sig, sizes, np.array([0, 0, 1, 1]), degree, None) == ({(0, 2)}, False)
+    assert minhash.rivals(sig, sizes, np.arange(4), degree, None) == ({(0, 1), (0, 2)}, False)
+    assert minhash.rivals(sig, sizes, np.array([0, 1, 2, 0]), 0 * degree, 1) == ({(0, 1), (0, 2)}, True)
+    assert minhash.rivals(sig, np.array([100, 79, 100, 100]), np.arange(4), degree, None) == ({(0, 2)}, False)
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    """Copies of 0.81 to their base, each under 0.8 to all others: nearly always another's estimate beats the base's."""
+    base = [f"w{i}" for i in range(254)]
+    rows = [(0, " ".join(base))]
+    for i, (p, q) in enumerate([(p, q) for p in range(4, 106, 3) for q in range(130, 232, 3)][:1100], 1):
+        c = list(base)
+        for at in (p, q):
+            c[at : at + 9] = [f"v{i}x{at + j}" for j in range(9)]
+        rows.append((i, " ".join(c)))
+    own = [sets(t) for _, t in rows]
+    alike = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    assert all(alike(own[0], c) for c in own[1:]) and not any(alike(a, b) for a in own[1:20] for b in own[1:] if a is not b)
+    got = minhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (7, 7)]
     got = {r.vertex: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
