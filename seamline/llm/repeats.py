@@ -10,8 +10,9 @@ judged on the input.
    of them before anything is shuffled, and what is shuffled are hashes and places, not text.
 2. By anchor: equal regions fall to the first of all. An anchor with one distinct region, not periodic, has nothing left to find. For
    the others, the bytes of each distinct region are asked for.
-3. The documents answer. The regions of an anchor with very many of them are cut by offset into slices, each filed under
-   the bytes that all its strings share, so that no group grows with the number of documents that hold a common line.
+3. The documents answer. The regions of an anchor with very many of them, periodic or not, are cut into their strings, each
+   filed under all its bytes. Equal strings have one anchor, so that they meet here as well, and a group holds copies of one
+   string, of which a task sends the first: no group's text grows with the number of documents that hold a common line.
 4. The regions of a bucket of anchors are laid end to end, from their anchors on, in 8-byte symbols, and sorted as one
    suffix array (linear grouping, see suffix_array). Strings at one offset are equal where neighbours in the array
    agree far enough to the right and hashes agree to the left. All but the first of each class repeat. Regions that
@@ -46,14 +47,15 @@ GRAM = 32
 REGION, SEGMENT = 4096, 1 << 20
 #: Bytes of text, or of regions, that a task gathers before it writes blocks.
 BATCH = 6 << 20
-#: Distinct regions of an anchor from which on they are sliced by offset, and offsets of a slice.
-MANY, SLICE = 1024, 8
+#: Distinct regions of an anchor from which on their strings are filed one by one.
+MANY = 1024
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
 PLACE = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("lo", "<i8"), ("n", "<i4"), ("at", "<i4")])
 ANCHOR = np.dtype([("hash", "<u8"), ("digest", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("n", "<u2"), ("at", "<i2")])
-PERIODIC = -1
+#: In place of an anchor's offset: a region that holds its anchor twice; a single string, filed under its bytes.
+PERIODIC, STRING = -1, -2
 
 
 def fingerprint(raw: bytes) -> int:
@@ -248,10 +250,15 @@ def _answer(buckets: int, length: int):
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         held: dict[int, list] = {}
+        alone: dict[bytes, tuple[int, int, int]] = {}
+        again: list[tuple[int, int, int]] = []
         size = 0
 
         def flush():
-            rows = []
+            for raw, (doc, fp, lo) in alone.items():
+                put(xxhash.xxh64_intdigest(raw, seed=1), doc, fp, lo, STRING, raw)
+            doc, fp, lo = (np.array([p[i] for p in again], np.int64) for i in (0, 1, 2))
+            rows = _doc_rows(doc, fp, np.stack((lo, lo + length), axis=1), buckets, True)
             for b, parts in held.items():
                 place = np.array([p[1] for p in parts], dtype=PLACE)
                 names = np.array([p[0] for p in parts], dtype=np.uint64)
@@ -273,21 +280,23 @@ def _answer(buckets: int, length: int):
                 raw = zstandard.decompress(r["z"])
                 for h, lo, n, at, many in np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 5) for s in r["asks"]]).tolist():
                     name = h & ((1 << 64) - 1)
-                    if many < MANY or at == PERIODIC:
+                    if many < MANY:
                         put(name, doc, fp, lo, at, raw[lo : lo + n])
                         size += n
                         continue
-                    # Strings start at lo .. lo + n - length; the offset of a start p is anchor - p.
-                    anchor = lo + at
-                    for s in range((anchor - (lo + n - length)) // SLICE, at // SLICE + 1):
-                        a, b = max(lo, anchor - s * SLICE - SLICE + 1), min(lo + n - length, anchor - s * SLICE)
-                        shared = raw[anchor - s * SLICE : anchor - s * SLICE - SLICE + 1 + length]
-                        put(xxhash.xxh64_intdigest(shared, seed=s + 1), doc, fp, a, anchor - a, raw[a : b + length])
-                        size += b + length - a
+                    for p in range(lo, lo + n - length + 1):
+                        string, place = raw[p : p + length], (doc, fp, p)
+                        was = alone.setdefault(string, place)
+                        if was is place:
+                            size += length
+                        elif was != place:
+                            alone[string] = min(was, place)
+                            again.append(max(was, place))
+                    size += n
                 if size >= BATCH:
                     yield _rows(rows)
                     yield flush()
-                    rows, held, size = [], {}, 0
+                    rows, held, alone, again, size = [], {}, {}, [], 0
             yield _rows(rows)
         yield flush()
 
@@ -382,7 +391,7 @@ def _search(buckets: int, length: int):
                     doc.append(later[0]), fp.append(later[1]), spans.append((later[2], later[2] + later[3]))
         loose = {k[0] for k in first if k[1] == PERIODIC}
         for odd in (False, True):
-            own = [k for k in first if (k[0] in loose) == odd]
+            own = [k for k in first if k[1] != STRING and (k[0] in loose) == odd]
             if len(own) > (0 if odd else 1):
                 place = np.array([first[k] for k in own], dtype=PLACE)
                 d, f, a, b = (_periodic if odd else _aligned)(place, [k[2] for k in own], length)

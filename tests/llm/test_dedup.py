@@ -80,6 +80,48 @@ def test_repeats_of_many_regions_are_sliced(monkeypatch):
         assert (int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts)) == (gone, spans)
 
 
+def staged(rows, n=3):
+    """(doc_id, bytes removed, spans) by the stages in this process, so that bounds can be lowered."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["_id", "_text"])
+    by = lambda rs: [pa.Table.from_pylist([r for r in rs if r["bucket"] == b], schema=repeats._STAGE) for b in range(n)]
+    flat = lambda bs: [r for b in bs for r in b.to_pylist()]
+    met = [r for t in by(flat(repeats._scan(n, 100)([batch]))) for r in repeats._compare(n)(None, t).to_pylist()]
+    of = lambda i, c: [r[c] for r in met if r["doc"] == i and r[c]]
+    asked = [{"doc": i, "fp": repeats.fingerprint(t.encode()), "spans": of(i, "spans"), "asks": of(i, "block"), "z": repeats.zstandard.compress(t.encode())} for i, t in rows]
+    kinds = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("spans", pa.list_(pa.binary())), ("asks", pa.list_(pa.binary())), ("z", pa.binary())])
+    # Two tasks answer.
+    answers = [r for k in (0, 1) for r in flat(repeats._answer(n, 100)(pa.Table.from_pylist(asked[k::2], schema=kinds).to_batches()))]
+    found = [r for t in by(answers) for r in repeats._search(n, 100)(None, t).to_pylist()]
+    out = []
+    for i, _ in rows:
+        mine = [np.frombuffer(r["spans"], np.int64).reshape(-1, 2) for r in found if r["doc"] == i and r["spans"]]
+        cuts = repeats.merge(np.concatenate(mine)) if mine else np.zeros((0, 2), int)
+        out.append((i, int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts)))
+    return sorted(out)
+
+
+def lines_once_and_twice(seed, n=40):
+    """A common line in varied contexts, once or twice in a string's reach, and rules of dashes of many lengths."""
+    rng = random.Random(seed)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line, after = some(40), [some(90) for _ in range(4)]
+    rows = []
+    for i in range(n):
+        twice = rng.random() < 0.5
+        rule = "-" * rng.randint(32, 400)
+        rows.append((i, some(70) + (line + some(rng.randint(0, 25)) if twice else "") + line + rng.choice(after) + some(20) + rule + rng.choice(after) + some(30)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_a_common_line_held_once_and_twice(monkeypatch, seed):
+    monkeypatch.setattr(repeats, "MANY", 2)
+    rows = lines_once_and_twice(seed)
+    assert staged(rows) == sorted((i, gone, spans) for i, _, gone, spans, _ in brute_repeats(rows))
+
+
 def test_repeated_rows_are_one_document(spark):
     rng = random.Random(9)
     t = "".join(rng.choice("abcdefgh ") for _ in range(300))
