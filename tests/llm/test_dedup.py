@@ -122,6 +122,18 @@ def test_repeats_of_a_common_line_held_once_and_twice(monkeypatch, seed):
     assert staged(rows) == sorted((i, gone, spans) for i, _, gone, spans, _ in brute_repeats(rows))
 
 
+def test_repeats_of_hot_periodic_regions_share_no_suffix_array(monkeypatch):
+    """Runs of one character in all documents: strings are filed one by one, and a task sends each once."""
+    monkeypatch.setattr(repeats, "MANY", 8)
+    periodic, met = repeats._periodic, []
+    monkeypatch.setattr(repeats, "_periodic", lambda place, *a: met.append(len(place)) or periodic(place, *a))
+    rng = random.Random(3)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    rows = [(i, some(80) + "-" * rng.randint(170, 900) + some(80)) for i in range(60)]
+    assert staged(rows) == sorted((i, gone, spans) for i, _, gone, spans, _ in brute_repeats(rows))
+    assert not met
+
+
 def test_repeated_rows_are_one_document(spark):
     rng = random.Random(9)
     t = "".join(rng.choice("abcdefgh ") for _ in range(300))
