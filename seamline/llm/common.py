@@ -53,6 +53,12 @@ def width(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1024) -> DataFrame:
-    """``mapInArrow`` with small batches, so that a batch of long texts stays small next to a task's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over batches of ``rows`` rows at most, so that what a batch is turned into stays small.
+
+    Spark bounds the bytes of the batches it sends; they are cut here, so no setting of the session is touched.
+    """
+
+    def cut(batches):
+        return fn(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(cut, schema)
