@@ -7,7 +7,8 @@ judged on the input.
 1. Each string is filed under its smallest 32-byte hash (its anchor). The strings of a document under one anchor start
    next to each other; together they are a region, a few dozen bytes longer than a string. Equal strings have equal
    anchors at equal offsets, so only regions under one anchor need comparing. Equal regions of a task fall to the first
-   of them before anything is shuffled, and what is shuffled are hashes and places, not text.
+   of them before anything is shuffled, and what is shuffled are digests and places, not text. A region's digest is 128
+   bits of BLAKE2b over its bytes: no two different regions that anyone can write down share one.
 2. By anchor: equal regions fall to the first of all. An anchor with one distinct region, not periodic, has nothing left to find. For
    the others, the bytes of each distinct region are asked for.
 3. The documents answer. The regions of an anchor with very many of them, periodic or not, are cut into their strings, each
@@ -15,10 +16,14 @@ judged on the input.
    string, of which a task sends the first: no group's text grows with the number of documents that hold a common line.
 4. The regions of a bucket of anchors are laid end to end, from their anchors on, in 8-byte symbols, and sorted as one
    suffix array (linear grouping, see suffix_array). Strings at one offset are equal where neighbours in the array
-   agree far enough to the right and hashes agree to the left. All but the first of each class repeat. Regions that
-   hold their anchor twice (periodic text) go through a suffix array over single bytes instead.
+   agree far enough to the right, and neighbours in the order of the bytes before the anchor agree far enough to the left:
+   both are comparisons of bytes. All but the first of each class repeat. Regions that hold their anchor twice (periodic
+   text) go through a suffix array over single bytes instead.
 5. By document: spans are merged and cut.
 
+The number of buckets follows the bytes of all texts, so that a bucket has one size whatever the input and whatever the
+session's number of shuffle partitions.
+
 Defined cases: a null text is the empty one and nothing is removed from it; a null doc_id comes before all others; rows
 that share doc_id and text are one document and all get its result; rows that share only doc_id order by a hash of
 their text; texts under ``length`` bytes stay whole; an empty table gives an empty result; other columns pass through,
@@ -27,6 +32,7 @@ clashing names are replaced. Removing bytes can split a character, so text that
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 
@@ -47,13 +53,14 @@ GRAM = 32
 REGION, SEGMENT = 4096, 1 << 20
 #: Bytes of text, or of regions, that a task gathers before it writes blocks.
 BATCH = 6 << 20
+#: Bytes of text for each bucket of anchors.
+BUCKET = 8 << 20
 #: Distinct regions of an anchor from which on their strings are filed one by one.
 MANY = 1024
 _U = np.uint64
-_BASE = 0xD1342543DE82EF95
-_INV = pow(_BASE, -1, 1 << 64)
+DIGEST = np.dtype([("one", "<u8"), ("two", "<u8")])
 PLACE = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("lo", "<i8"), ("n", "<i4"), ("at", "<i4")])
-ANCHOR = np.dtype([("hash", "<u8"), ("digest", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("n", "<u2"), ("at", "<i2")])
+ANCHOR = np.dtype([("hash", "<u8"), ("one", "<u8"), ("two", "<u8"), ("row", "<u4"), ("lo", "<u4"), ("n", "<u2"), ("at", "<i2")])
 #: In place of an anchor's offset: a region that holds its anchor twice; a single string, filed under its bytes.
 PERIODIC, STRING = -1, -2
 
@@ -62,27 +69,17 @@ def fingerprint(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw, seed=7) - (1 << 63)
 
 
-class _Powers:
-    """Powers of the digest's base and of its inverse, grown on demand."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=_U)
-
-    def get(self, n: int):
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            fill = lambda x: np.cumprod(np.concatenate((np.ones(1, _U), np.full(n - 1, x, dtype=_U))), dtype=_U)
-            self.up, self.down = fill(_BASE), fill(_INV)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+def digests(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit digests of byte ranges."""
+    blake = functools.partial(hashlib.blake2b, digest_size=DIGEST.itemsize)
+    return np.frombuffer(b"".join([blake(raw[a:b]).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), dtype=DIGEST)
 
 
-def regions(data: np.ndarray, length: int = LENGTH):
+def regions(raw: bytes, length: int = LENGTH):
     """(hash, digest, lo, n bytes, anchor's offset or PERIODIC) of each region of a text, as arrays."""
-    if len(data) < length:
+    if len(raw) < length:
         return None
+    data = np.frombuffer(raw, dtype=np.uint8)
     w = length - GRAM + 1
     h = windows(data, GRAM) >> _U(7)
     low = sliding_min(h, w)
@@ -103,11 +100,8 @@ def regions(data: np.ndarray, length: int = LENGTH):
         cut = [(p, min(p + REGION, b), v, x) for a, b, v, x in zip(start.tolist(), end.tolist(), value, at.tolist(), strict=True) for p in range(a, b, REGION)]
         start, end, at = (np.array([c[i] for c in cut]) for i in (0, 1, 3))
         value = np.array([c[2] for c in cut], dtype=_U)
-    up, down = _POWERS.get(len(data))
-    total = np.concatenate((np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)))
     stop = end + (length - 1)
-    digest = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(_U))
-    return mix(value), digest, start, stop - start, at
+    return mix(value), digests(raw, start, stop), start, stop - start, at
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -168,9 +162,12 @@ def _scan(buckets: int, length: int):
         def flush():
             doc, fp = (np.array([d[i] for d in docs], dtype=np.int64) for i in (0, 1))
             a = np.concatenate(held) if held else np.zeros(0, ANCHOR)
-            order = np.lexsort((a["lo"], fp[a["row"]], doc[a["row"]], a["digest"], a["hash"])) if len(a) else np.zeros(0, np.int64)
+            order = np.lexsort((a["lo"], fp[a["row"]], doc[a["row"]], a["two"], a["one"], a["hash"])) if len(a) else np.zeros(0, np.int64)
             a = a[order]
-            same = np.concatenate(([False], (a["hash"][1:] == a["hash"][:-1]) & (a["digest"][1:] == a["digest"][:-1])))[: len(a)]
+            same = np.ones(len(a), dtype=bool)
+            same[:1] = False
+            for c in ("hash", *DIGEST.names):
+                same[1:] &= a[c][1:] == a[c][:-1]
             spare, first = a[same], a[~same]
             # A row that repeats its document's first region is the same document once more, not a later one.
             lead = a[np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))][same] if len(a) else spare
@@ -198,12 +195,11 @@ def _scan(buckets: int, length: int):
                 raw = (t.as_py() or "").encode("utf-8")
                 if len(raw) < length:
                     continue
-                data = np.frombuffer(raw, dtype=np.uint8)
                 docs.append((NULL_ID if i is None else i, fingerprint(raw)))
                 for at in range(0, len(raw) - length + 1, SEGMENT):
-                    h, g, lo, n, anchor = regions(data[at : at + SEGMENT + length - 1], length)
+                    h, g, lo, n, anchor = regions(raw[at : at + SEGMENT + length - 1], length)
                     part = np.empty(len(h), dtype=ANCHOR)
-                    part["hash"], part["digest"], part["row"], part["lo"], part["n"], part["at"] = h, g, len(docs) - 1, lo + at, n, anchor
+                    part["hash"], part["one"], part["two"], part["row"], part["lo"], part["n"], part["at"] = h, g["one"], g["two"], len(docs) - 1, lo + at, n, anchor
                     held.append(part)
                 size += len(raw)
                 if size >= BATCH:
@@ -224,13 +220,14 @@ def _compare(buckets: int):
                 rows.append((r["bucket"], r["doc"], r["fp"], r["spans"], None))
             else:
                 got = _unpack(r["block"], "<i8", "<i8", *[ANCHOR[c] for c in ANCHOR.names])
-                blocks.append((got[2], got[3], got[0][got[4]], got[1][got[4]], got[5].astype(np.int64), got[6], got[7]))
+                h, one, two, row, lo, n, at = got[2:]
+                blocks.append((h, one, two, got[0][row], got[1][row], lo.astype(np.int64), n, at))
         if blocks:
-            h, g, doc, fp, lo, n, at = (np.concatenate(c) for c in zip(*blocks, strict=True))
-            order = np.lexsort((lo, fp, doc, g, h))
-            h, g, doc, fp, lo, n, at = (x[order] for x in (h, g, doc, fp, lo, n, at))
+            h, one, two, doc, fp, lo, n, at = (np.concatenate(c) for c in zip(*blocks, strict=True))
+            order = np.lexsort((lo, fp, doc, two, one, h))
+            h, one, two, doc, fp, lo, n, at = (x[order] for x in (h, one, two, doc, fp, lo, n, at))
             new_hash = np.concatenate(([True], h[1:] != h[:-1]))
-            new = new_hash | np.concatenate(([True], g[1:] != g[:-1]))
+            new = new_hash | np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             later = ~new & ((lo != lo[lead]) | (doc != doc[lead]) | (fp != fp[lead]))
             rows += _doc_rows(doc[later], fp[later], np.stack((lo[later], lo[later] + n[later]), axis=1), buckets, True)
@@ -312,7 +309,7 @@ def _starts_of(parts: list[bytes], step: int):
 
 def _aligned(place: np.ndarray, parts: list[bytes], length: int):
     """Repeating strings among regions compared at their anchors; (region, first start, last start) arrays."""
-    reach = GRAM and length - GRAM
+    reach = length - GRAM
     data, start = _starts_of([p[a:] for p, a in zip(parts, place["at"].tolist(), strict=True)], 8)
     rank = np.empty(len(data) // 8, dtype=np.int64)
     order = suffix_array(data.view(">u8").astype(np.uint64))
@@ -326,21 +323,24 @@ def _aligned(place: np.ndarray, parts: list[bytes], length: int):
     left = np.zeros((len(by), reach + 1), dtype=np.uint8)
     for i, (k, a) in enumerate(zip(by.tolist(), place["at"].tolist(), strict=True)):
         left[i, :a] = np.frombuffer(parts[k], np.uint8, count=a)[::-1]
+    # The zeros that fill a row lie beyond the bytes that its strings have before the anchor, so they are never compared.
+    turned = np.argsort(left.view(f"S{reach + 1}").reshape(-1), kind="stable")
+    differs = left[turned[1:]] != left[turned[:-1]]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), reach + 1)
     age = np.empty(len(by), dtype=np.int64)
     age[np.lexsort((place["lo"] + place["at"], place["fp"], place["doc"]))] = np.arange(len(by))
     far = place["at"].astype(np.int64)
     near = far - (place["n"].astype(np.int64) - length)
     seen = np.zeros((len(by), reach + 3), dtype=bool)
-    name = np.zeros(len(by), dtype=_U)
+    name = np.zeros(len(by), dtype=np.int64)
     for d in range(int(far.max()) + 1):
-        if d:
-            name = mix(name * _U(_BASE) + left[:, d - 1].astype(_U) + _U(1))
         who = np.flatnonzero((near <= d) & (d <= far))
         if len(who) > 1:
-            block = np.concatenate(([0], np.cumsum(common < length - d)))[who]
-            rows = np.lexsort((age[who], name[who], block))
-            block, key = block[rows], name[who][rows]
-            again = np.concatenate(([False], (block[1:] == block[:-1]) & (key[1:] == key[:-1])))
+            name[turned] = np.concatenate(([0], np.cumsum(shared < d)))
+            key = (np.concatenate(([0], np.cumsum(common < length - d))) * len(by) + name)[who]
+            rows = np.lexsort((age[who], key))
+            key = key[rows]
+            again = np.concatenate(([False], key[1:] == key[:-1]))
             seen[who[rows[again]], d + 1] = True
     edge = np.diff(seen.astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
@@ -458,7 +458,8 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", give_text:
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     keep = [c for c in docs.columns if c != text and c not in added]
     doc_id = F.col("doc_id")
-    buckets = 4 * width(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    buckets = max(4 * width(spark), -(-size // BUCKET))
     block = lambda df, f: df.groupBy("bucket").applyInArrow(f, STAGE)
     small = [c for c in ("doc", "fp")]
 

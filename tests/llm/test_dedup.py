@@ -59,25 +59,12 @@ def test_repeats_equal_brute_force(spark, seed):
 
 def test_repeats_of_many_regions_are_sliced(monkeypatch):
     """Stages run in this process, so that the bound on regions of an anchor can be lowered."""
-    import pyarrow as pa
-
     monkeypatch.setattr(repeats, "MANY", 2)
     rng = random.Random(5)
-    common = "".join(rng.choice("abcdefgh") for _ in range(130))
-    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(60)) + common + "".join(rng.choice("ab") for _ in range(60))) for i in range(25)]
-    n = 3
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["_id", "_text"])
-    by = lambda rs: [pa.Table.from_pylist([r for r in rs if r["bucket"] == b], schema=repeats._STAGE) for b in range(n)]
-    flat = lambda bs: [r for b in bs for r in b.to_pylist()]
-    met = [r for t in by(flat(repeats._scan(n, 100)([batch]))) for r in repeats._compare(n)(None, t).to_pylist()]
-    z = {i: repeats.zstandard.compress(t.encode()) for i, t in rows}
-    asked = [{"doc": i, "fp": repeats.fingerprint(t.encode()), "spans": [r["spans"] for r in met if r["doc"] == i and r["spans"]], "asks": [r["block"] for r in met if r["doc"] == i and r["block"]], "z": z[i]} for i, t in rows]
-    kinds = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("spans", pa.list_(pa.binary())), ("asks", pa.list_(pa.binary())), ("z", pa.binary())])
-    found = [r for t in by(flat(repeats._answer(n, 100)([pa.Table.from_pylist(asked, schema=kinds).to_batches()[0]]))) for r in repeats._search(n, 100)(None, t).to_pylist()]
-    for i, size, gone, spans, _ in brute_repeats(rows):
-        mine = [np.frombuffer(r["spans"], np.int64).reshape(-1, 2) for r in found if r["doc"] == i and r["spans"]]
-        cuts = repeats.merge(np.concatenate(mine)) if mine else np.zeros((0, 2), int)
-        assert (int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts)) == (gone, spans)
+    some = lambda k, of="abcdefgh": "".join(rng.choice(of) for _ in range(k))
+    common = some(130)
+    rows = [(i, some(60) + common + some(60, "ab")) for i in range(25)]
+    assert staged(rows) == sorted((i, gone, spans) for i, _, gone, spans, _ in brute_repeats(rows))
 
 
 def staged(rows, n=3):
@@ -134,6 +121,41 @@ def test_repeats_of_hot_periodic_regions_share_no_suffix_array(monkeypatch):
     assert not met
 
 
+def thue_morse_pair(seed=3):
+    """Two documents without a common string whose regions collide under any polynomial hash modulo a power of two."""
+    rng = random.Random(seed)
+    some = lambda k: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    fill = lambda block, turn: bytes(b"AB"[(bin(block * 16 + i).count("1") + turn) % 2] for i in range(16))
+    around = [some(8) for _ in range(64)]
+    while True:  # until the anchor has the smallest hash of all windows
+        anchor = some(32)
+        texts = [b"".join(anchor + around[k] + fill(k, turn) + around[-k] for k in range(64)) for turn in (0, 1)]
+        hashes = [repeats.windows(np.frombuffer(t, np.uint8), repeats.GRAM) >> np.uint64(7) for t in texts]
+        if all((h[::64] == h.min()).all() for h in hashes):
+            return [(i, t.decode()) for i, t in enumerate(texts, 1)]
+
+
+def test_repeats_of_texts_that_collide_in_polynomial_hashes(spark):
+    rows = thue_morse_pair()
+    own = [{t[i : i + 100] for i in range(len(t) - 99)} for _, t in rows]
+    assert not own[0] & own[1]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_repeats(rows)
+    assert got[1][2] == 0
+
+
+def test_repeats_of_a_text_over_a_segment_and_long_regions(spark):
+    """1.1 MB of aperiodic text with a passage on both sides of the segment's edge, and a region over REGION bytes."""
+    rng = random.Random(11)
+    some = lambda k: rng.getrandbits(4 * k).to_bytes(k // 2, "big").hex()
+    passage = some(5000)
+    long = some(1 << 20)[: (1 << 20) - 2000] + passage + some(60_000)
+    flat = "-" * 9000  # one hash throughout: a region that is cut
+    rows = [(1, passage[100:400] + flat), (2, long), (3, some(300) + long[-700:] + flat)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
 def test_repeated_rows_are_one_document(spark):
     rng = random.Random(9)
     t = "".join(rng.choice("abcdefgh ") for _ in range(300))
