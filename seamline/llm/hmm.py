@@ -6,13 +6,15 @@ one count in each class. So the states' tables have a bounded size, whatever the
 corpus enter the probabilities; and these sum to one over all known words and the classes' unknown ones. Small vocabularies
 get fewer classes (one for each ``TYPES`` words), lest the classes' unknown words take a share of their own.
 
-1. Documents become blocks of token numbers with a word list per block. The lists go, by hash, to counters; counters
-   return to each block the training counts of its own words, so no task ever holds the vocabulary and none is broadcast.
-2. Baum-Welch: each task runs scaled forward and backward passes over its blocks' training texts, in stretches of
-   ``STRETCH`` tokens that move in step, and adds up expected counts; these are summed across tasks and give the next
-   parameters. The first ``WARM`` rounds take one shard of the training texts each, in turn, to part the states from
-   their random start; the last ``FULL`` rounds take all training texts.
-3. Each whole text is scored by the forward recursion, scaled at each token.
+1. Documents become blocks of token numbers, and each block a row per word of its own. Counts of words are an aggregate
+   over these rows, joined back to them, so no task ever holds the vocabulary and none is broadcast.
+2. Baum-Welch: each task runs scaled forward and backward passes over its blocks' training texts and adds up expected
+   counts; Spark sums these across tasks, which gives the next parameters. Texts are whole, however long: a pass keeps
+   the states at the edges of stretches of ``ROWS`` tokens and goes back over a stretch from its edge, which bounds memory and
+   changes no number. The first ``WARM`` rounds take one shard of the training texts each, in turn, to part the states
+   from their random start; then rounds take all training texts, until one adds less than ``GAIN`` to the mean
+   log-likelihood of a token.
+3. Each whole text is scored by the forward recursion.
 
 Defined cases: a null text is the empty one, whose only token is the end; a null doc_id counts as empty text for the
 split; rows are scored one by one, so repeated rows keep a row each and count each time; without training texts all
@@ -33,25 +35,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NULL_ID, arrow_map, durable, width
+from seamline.llm.common import arrow_map, durable
 
 #: Classes are hashes below CLASSES, folded to a smaller power of two where the vocabulary is small.
 STATES, CLASSES, LEAST_CLASSES, TYPES = 12, 1 << 14, 1 << 8, 4
 FOLDS, HELD = 7, 2
-SHARDS, WARM, FULL = 32, 10, 3
+SHARDS, WARM = 32, 10
+#: Nats a token (log-likelihood of the training texts) that a round over all of them has to add for another to follow.
+GAIN = 0.005
 #: Tokens that a shard should have; with fewer there are fewer shards.
 SHARD_TOKENS = 200_000
-STRETCH = 256
+#: Tokens whose states are held at once, and steps after which states are scaled.
+ROWS, EVERY = 1 << 16, 8
 #: Weight of the corpus' class shares in each state's emissions, of a flat count in moves, and the start's staying rate.
 SMOOTH, FLAT, STAY = 2000.0, 1.0, 0.9
 BLOCK = 8 << 20
 SEED = 7
-#: Rows in which tasks send their expected counts.
-PIECES = 64
+#: Spark's own seed of xxhash64, so that tasks and SQL agree on a word's class.
+HASH_SEED = 42
 
-_STAGE = "key int, block long, kind int, data binary"
-_SCHEMA = pa.schema([("key", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-DOCS, WORDS, COUNTS, TOTALS = 0, 1, 2, 3
+_STAGE = "block long, data binary, word string, number int, n long"
+_SCHEMA = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("word", pa.string()), ("number", pa.int32()), ("n", pa.int64())])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -68,11 +72,6 @@ def _unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
-
-
 class Numbers(dict):
     """Numbers words in the order in which they come."""
 
@@ -85,69 +84,40 @@ def fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def _blocks(parts: int):
-    def run(batches):
-        home, number = TaskContext.get().partitionId() << 24, 0
-        words, ids, docs, size = Numbers(), [], [], 0
-
-        def flush():
-            block = home + number
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            length = np.array([len(x) for x in ids], dtype=np.int64)
-            doc, crc, null = (np.array([d[i] for d in docs], dtype=np.int64) for i in range(3))
-            train = crc % FOLDS != HELD
-            counts = np.bincount(flat[np.repeat(train, length)], minlength=len(words)).astype(np.int32)
-            vocabulary = list(words)
-            classes = np.fromiter((xxhash.xxh64_intdigest(w, seed=SEED) % CLASSES for w in vocabulary), np.uint16, count=len(vocabulary))
-            rows = [((block * 31 + 7) % parts, block, DOCS, _pack(doc, crc, null, length, flat, classes))]
-            of = classes % parts
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(parts + 1))
-            for p in range(parts):
-                own = order[ends[p] : ends[p + 1]]
-                if len(own):
-                    text = np.frombuffer(b" ".join([vocabulary[i] for i in own.tolist()]), np.uint8)
-                    rows.append((p, block, WORDS, _pack(counts[own], classes[own], text)))
-            return _rows(rows)
-
-        for batch in batches:
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = (t.as_py() or "").encode("utf-8").lower().split()
-                ids.append(np.fromiter(map(words.__getitem__, raw), np.int32, count=len(raw)))
-                docs.append((0 if d is None else d, fold(d), d is None))
-                size += 8 * len(raw) + 16
-                if size >= BLOCK:
-                    yield flush()
-                    words, ids, docs, size, number = Numbers(), [], [], 0, number + 1
-        if docs:
-            yield flush()
-
-    return run
-
-
-def _count(key, table):
-    """Word lists of one part of the vocabulary to each block's counts, and this part's totals."""
-    total: dict[bytes, int] = {}
-    rows, lists, class_of = [], [], {}
-    for r in table.to_pylist():
-        if r["kind"] == DOCS:
-            rows.append((r["key"], r["block"], DOCS, r["data"]))
-            continue
-        counts, classes, text = _unpack(r["data"], np.int32, np.uint16, np.uint8)
-        words = text.tobytes().split(b" ")
-        lists.append((r["block"], words))
-        class_of.update(zip(words, classes.tolist(), strict=True))
-        for w, n in zip(words, counts.tolist(), strict=True):
-            total[w] = total.get(w, 0) + n
-    known = [(class_of[w], n) for w, n in total.items() if n]
-    if known:
-        c, n = np.array(known, dtype=np.int64).T
-        used = np.unique(c)
-        mass, types = (np.bincount(c, weights=x, minlength=CLASSES)[used].astype(np.int64) for x in (n, np.ones(len(n))))
-        rows.append((0, 0, TOTALS, _pack(used, mass, types)))
-    for block, words in lists:
-        rows.append((r["key"], block, COUNTS, _pack(np.array([key[0].as_py()], np.int32), np.fromiter(map(total.__getitem__, words), np.int64, count=len(words)))))
-    return pa.Table.from_batches([_rows(rows)])
+def _blocks(batches):
+    """Documents to blocks: a row with the block's texts as word numbers, and a row per word with its count in training texts."""
+    home, number = TaskContext.get().partitionId() << 24, 0
+    words, ids, docs, size = Numbers(), [], [], 0
+
+    def flush():
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        length = np.array([len(x) for x in ids], dtype=np.int64)
+        doc, crc, null = (np.array([d[i] for d in docs], dtype=np.int64) for i in range(3))
+        train = crc % FOLDS != HELD
+        counts = np.bincount(flat[np.repeat(train, length)], minlength=len(words))
+        vocabulary = list(words)
+        classes = np.fromiter((xxhash.xxh64_intdigest(w, seed=HASH_SEED) % CLASSES for w in vocabulary), np.uint16, count=len(vocabulary))
+        k = len(vocabulary)
+        cols = [
+            np.full(k + 1, home + number),
+            [_pack(doc, crc, null, length, flat, classes)] + [None] * k,
+            [None] + [w.decode() for w in vocabulary],
+            [None, *range(k)],
+            [None, *counts.tolist()],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+    for batch in batches:
+        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            raw = (t.as_py() or "").encode("utf-8").lower().split()
+            ids.append(np.fromiter(map(words.__getitem__, raw), np.int32, count=len(raw)))
+            docs.append((0 if d is None else d, fold(d), d is None))
+            size += 8 * len(raw) + 16
+            if size >= BLOCK:
+                yield flush()
+                words, ids, docs, size, number = Numbers(), [], [], 0, number + 1
+    if docs:
+        yield flush()
 
 
 class Model:
@@ -173,61 +143,102 @@ class Model:
 
 
 class InStep:
-    """Sequences sorted by length, longest first, so that those still running at a step are a leading part."""
+    """Sequences in step: symbols by time, then by sequence, longest first, so that those that still run are a leading part."""
 
     def __init__(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray):
         self.order = np.argsort(-length, kind="stable")
-        self.flat, self.start, self.length = flat, start[self.order], length[self.order]
-        steps = int(self.length[0]) if len(length) else 0
-        self.running = np.searchsorted(-self.length, -np.arange(steps), side="left")
-
-    def at(self, t: int) -> np.ndarray:
-        return self.flat[self.start[: self.running[t]] + t]
+        start, length = start[self.order], length[self.order]
+        steps = int(length[0]) if len(length) else 0
+        self.running = np.append(np.searchsorted(-length, -np.arange(steps), side="left"), 0)
+        self.first = np.concatenate(([0], np.cumsum(self.running)))  # of each step: its first row
+        self.steps, self.at, self.flat, self.start = steps, self.first.tolist(), flat, start
+
+    def stretches(self, rows: int):
+        """Ranges of steps that have some ``rows`` rows."""
+        edges = np.unique(np.append(np.searchsorted(self.first, np.arange(0, self.first[-1], rows)), self.steps))
+        return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+    def symbols(self, lo: int, hi: int):
+        """Symbols, steps and sequences of the rows of a range of steps."""
+        n = self.running[lo:hi]
+        step = np.repeat(np.arange(lo, hi), n)
+        who = np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)
+        return self.flat[self.start[who] + step], step, who
+
+
+def _forward(model: Model, seqs: InStep, lo: int, hi: int, state, emit: np.ndarray, logs: np.ndarray | None) -> np.ndarray:
+    """States of steps lo to hi, from those before. States are scaled now and then; ``logs`` gets the logarithms."""
+    at, base, move = seqs.at, seqs.at[lo], model.move
+    out = np.empty_like(emit)
+    for t in range(lo, hi):
+        a, b = at[t] - base, at[t + 1] - base
+        now = out[a:b]
+        if t:
+            np.matmul(state[: b - a], move, out=now)
+            now *= emit[a:b]
+        else:
+            np.multiply(model.start, emit[a:b], out=now)
+        if t % EVERY == EVERY - 1:
+            scale = now.sum(axis=1)
+            now /= scale[:, None]
+            if logs is not None:
+                logs[: b - a] += np.log(scale)
+        n = at[t + 2] - at[t + 1]
+        if logs is not None and n < b - a:  # sequences that end here
+            logs[n : b - a] += np.log(now[n:].sum(axis=1))
+        state = now
+    return out
 
 
-def likelihood(model: Model, seqs: InStep) -> np.ndarray:
+def likelihood(model: Model, seqs: InStep, rows: int = ROWS) -> np.ndarray:
     """Natural log-likelihood of each sequence, in the order it was given in."""
-    out = np.zeros(len(seqs.order))
-    state = None
-    for t in range(len(seqs.running)):
-        e = model.emit[seqs.at(t)]
-        n = len(e)
-        state = (model.start if state is None else state[:n] @ model.move) * e
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        out[:n] += np.log(scale)
-    back = np.empty_like(out)
-    back[seqs.order] = out
+    logs, state = np.zeros(len(seqs.order)), None
+    for lo, hi in seqs.stretches(rows):
+        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)[0]], logs)
+        state = states[seqs.at[hi - 1] - seqs.at[lo] :].copy()
+    back = np.empty_like(logs)
+    back[seqs.order] = logs
     return back
 
 
-def expect(model: Model, seqs: InStep):
+def expect(model: Model, seqs: InStep, rows: int = ROWS):
     """Expected counts of starts, moves and emissions, and the log-likelihood."""
     k = len(model.start)
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    first = np.concatenate(([0], np.cumsum(seqs.running)))
-    symbols = np.concatenate([seqs.at(t) for t in range(len(seqs.running))])
-    states, scales = np.empty((len(symbols), k), np.float32), np.empty(len(symbols), np.float32)
-    for t in range(len(seqs.running)):
-        a, b = first[t], first[t + 1]
-        s = (model.start.astype(np.float32) if t == 0 else states[first[t - 1] : first[t - 1] + b - a] @ move) * emit[symbols[a:b]]
-        scales[a:b] = s.sum(axis=1)
-        states[a:b] = s / scales[a:b, None]
-    fit = float(np.log(scales.astype(np.float64)).sum())
-    moves = np.zeros((k, k))
-    later = None
-    for t in range(len(seqs.running) - 1, -1, -1):
-        a, b = first[t], first[t + 1]
-        after = np.ones((b - a, k), np.float32)
-        if later is not None:
-            n = len(later)
-            moves += states[a : a + n].T.astype(np.float64) @ later
-            after[:n] = later @ move.T
-        later = emit[symbols[a:b]] * after / scales[a:b, None]
-        states[a:b] *= after
-    starts = states[: first[1]].sum(axis=0, dtype=np.float64)
-    emits = np.stack([np.bincount(symbols, weights=states[:, z], minlength=len(model.emit)) for z in range(k)], axis=1)
-    return starts, moves * model.move, emits, fit
+    at, ways = seqs.at, seqs.stretches(rows)
+    logs, state, edges = np.zeros(len(seqs.order)), None, []
+    for lo, hi in ways:
+        edges.append(state)
+        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)[0]], logs)
+        state = states[at[hi - 1] - at[lo] :].copy()
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
+    later = np.zeros((0, k))  # emission times backward state, of the first step of the stretch behind
+    back = np.ascontiguousarray(model.move.T)
+    for (lo, hi), edge in zip(reversed(ways), reversed(edges), strict=True):
+        symbols, step, who = seqs.symbols(lo, hi)
+        emit = model.emit[symbols]
+        states = states if hi == seqs.steps else _forward(model, seqs, lo, hi, edge, emit, None)
+        base, size = at[lo], len(symbols)
+        beta, told = np.ones((size, k)), np.empty((size + len(later), k))
+        told[size:] = later
+        for t in range(hi - 1, lo - 1, -1):
+            a, b, n = at[t] - base, at[t + 1] - base, at[t + 2] - at[t + 1]
+            if n:
+                np.matmul(told[b : b + n], back, out=beta[a : a + n])
+            own = told[a:b]
+            np.multiply(emit[a:b], beta[a:b], out=own)
+            if t % EVERY == 0:
+                own /= own.sum(axis=1)[:, None]
+        later = told[: at[lo + 1] - base].copy()
+        beta *= states
+        total = beta.sum(axis=1)
+        going = np.flatnonzero(who < seqs.running[step + 1])
+        moves += (states[going] / total[going, None]).T @ told[seqs.first[step[going] + 1] + who[going] - base]
+        beta /= total[:, None]
+        if lo == 0:
+            starts = beta[: at[1]].sum(axis=0)
+        for z in range(k):
+            emits[:, z] += np.bincount(symbols, weights=beta[:, z], minlength=len(emits))
+    return starts, moves * model.move, emits, float(logs.sum())
 
 
 def _read_docs(data: bytes, folded: int):
@@ -245,10 +256,11 @@ def _read_docs(data: bytes, folded: int):
 
 
 def _expect(model: Model, shard: int | None, shards: int):
-    """Blocks to this task's expected counts, in PIECES rows."""
+    """Blocks to this task's expected counts: rows of classes, and under negative numbers starts, moves and likelihood."""
+    k = len(model.start)
+    names = ["symbol", *(f"s{z}" for z in range(k))]
 
     def run(batches):
-        k = len(model.start)
         starts, moves, emits, fit = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k)), 0.0
         for batch in batches:
             for data in batch.column("data"):
@@ -257,58 +269,51 @@ def _expect(model: Model, shard: int | None, shards: int):
                 own = crc % FOLDS != HELD
                 if shard is not None:
                     own &= crc // FOLDS % shards == shard
-                begin, length = begin[own], length[own]
-                if not len(length):
-                    continue
-                pieces = -(-length // STRETCH)
-                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = np.repeat(begin, pieces) + nth * STRETCH
-                length = np.minimum(STRETCH, np.repeat(length, pieces) - nth * STRETCH)
-                got = expect(model, InStep(symbols, begin, length))
-                starts, moves, emits, fit = starts + got[0], moves + got[1], emits + got[2], fit + got[3]
-        rows = [(i, part.astype(np.float64).tobytes()) for i, part in enumerate(np.array_split(emits, PIECES))]
-        rows.append((PIECES, np.concatenate((starts, moves.reshape(-1), [fit])).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["piece", "data"])
+                if own.any():
+                    got = expect(model, InStep(symbols, begin[own], length[own]))
+                    starts, moves, emits, fit = starts + got[0], moves + got[1], emits + got[2], fit + got[3]
+        some = np.flatnonzero(emits.any(axis=1))
+        table = np.vstack((emits[some], starts, moves, np.full(k, fit)))
+        symbol = np.concatenate((some, -1 - np.arange(k + 2)))
+        yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int32()), *(pa.array(c) for c in table.T)], names)
 
     return run
 
 
-def _add(key, table):
-    total = np.sum([np.frombuffer(x, np.float64) for x in table.column("data").to_pylist()], axis=0)
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-
-def train(docs_blocks: DataFrame, share: np.ndarray, tokens: int, states: int = STATES) -> Model:
+def train(blocks: DataFrame, share: np.ndarray, tokens: int, states: int = STATES) -> Model:
     """Baum-Welch over the blocks. What reaches the driver in a round has the model's size, which is fixed."""
     model = Model.begin(share, states)
     shards = min(SHARDS, max(1, tokens // SHARD_TOKENS))
-    for shard in [*(i % shards for i in range(WARM)), *[None] * FULL]:
-        sent = arrow_map(docs_blocks.select("data"), _expect(model, shard, shards), "piece int, data binary", rows=1)
-        rows = sorted(sent.groupBy("piece").applyInArrow(_add, "piece int, data binary").collect())
-        if not rows:
-            break
-        emits = np.concatenate([np.frombuffer(r["data"], np.float64) for r in rows[:-1]]).reshape(-1, states)
-        rest = np.frombuffer(rows[-1]["data"], np.float64)
-        model = Model.fit(rest[:states], rest[states:-1].reshape(states, states), emits, share)
-    return model
-
-
-def _score(model: Model, parts: int, tokens: int, types: int, ends: int, class_mass: np.ndarray):
+    names = [f"s{z}" for z in range(states)]
+    warm, last = [i % shards for i in range(WARM)], None
+    while True:
+        shard = warm.pop(0) if warm else None
+        sent = arrow_map(blocks.select("data"), _expect(model, shard, shards), ", ".join(["symbol int", *(f"{c} double" for c in names)]), rows=1)
+        got = sent.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        if not got.num_rows:
+            return model
+        table = np.zeros((len(share) + states + 2, states))
+        table[got.column("symbol").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], axis=1)  # negative numbers count from the end
+        rest = table[len(share) :][::-1]
+        model = Model.fit(rest[0], rest[1 : states + 1], table[: len(share)], share)
+        if shard is None:
+            fit = rest[-1][0]
+            if last is not None and fit - last < GAIN * tokens:
+                return model
+            last = fit
+
+
+def _score(model: Model, tokens: int, types: int, ends: int, class_mass: np.ndarray):
     """A block and its words' counts to a row per document."""
     floor = math.log10(tokens + types + 1)
     log_mass = np.log10(class_mass)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(key, table):
-        rows = table.to_pylist()
-        doc, crc, null, length, symbols, flat, classes = _read_docs(next(r["data"] for r in rows if r["kind"] == DOCS), len(class_mass) - 1)
-        count = np.zeros(len(classes), dtype=np.int64)
-        of = classes % parts
-        for r in rows:
-            if r["kind"] == COUNTS:
-                part, n = _unpack(r["data"], np.int32, np.int64)
-                count[of == part[0]] = n
-        count = np.append(count, ends)  # the end's
+    def run(block, counts):
+        doc, crc, null, length, symbols, flat, classes = _read_docs(block.column("data")[0].as_py(), len(class_mass) - 1)
+        count = np.zeros(len(classes) + 1, dtype=np.int64)
+        count[counts.column("number").to_numpy()] = counts.column("total").to_numpy()
+        count[-1] = ends
         begin = np.cumsum(length) - length
         number = np.full(len(symbols), len(classes), dtype=np.int64)
         number[symbols != len(class_mass) - 1] = flat
@@ -326,26 +331,19 @@ def _score(model: Model, parts: int, tokens: int, types: int, ends: int, class_m
 
 def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    parts = min(4 * width(docs.sparkSession), CLASSES)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    met = arrow_map(source, _blocks(parts), _STAGE, rows=256).groupBy("key").applyInArrow(_count, _STAGE)
-    met = durable(met)
-    blocks = met.where(F.col("kind") == DOCS)
-
-    # Totals: a row per class and part of the vocabulary at most.
-    def totals(batches):
-        for batch in batches:
-            for data in batch.column("data"):
-                used, mass, types = _unpack(data.as_py(), np.int64, np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, mass, types)], ["class", "n", "types"])
+    met = durable(arrow_map(source, _blocks, _STAGE, rows=256))
+    blocks = met.where("data is not null").select("block", "data")
+    words = met.where("word is not null").select("block", "word", "number", "n")
+    counted = durable(words.groupBy("word").agg(F.sum("n").alias("total")))
 
     def ends(batches):
         for batch in batches:
             n = [int((_unpack(x.as_py(), np.int64, np.int64)[1] % FOLDS != HELD).sum()) for x in batch.column("data")]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-    by_class = arrow_map(met.where(F.col("kind") == TOTALS).select("data"), totals, "class long, n long, types long", rows=16)
-    known = by_class.groupBy("class").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()  # CLASSES rows at most
+    by_class = counted.where("total > 0").groupBy(F.pmod(F.xxhash64("word"), F.lit(CLASSES)).alias("class"))
+    known = by_class.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("types")).collect()  # CLASSES rows at most
     n_ends = arrow_map(blocks.select("data"), ends, "n long", rows=1).agg(F.sum("n")).first()[0] or 0
     tokens = sum(r["n"] for r in known) + n_ends
     types = sum(r["types"] for r in known) + (n_ends > 0)
@@ -355,5 +353,6 @@ def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFram
         mass[r["class"] % folded] += r["n"] + r["types"]
     mass[folded] = n_ends + 1
     model = train(blocks, mass / mass.sum(), tokens, states)
+    told = words.join(counted, "word").select(F.col("block").alias("of"), "number", "total")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return met.where(F.col("kind") != TOTALS).groupBy("block").applyInArrow(_score(model, parts, tokens, types, n_ends, mass), schema)
+    return blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_score(model, tokens, types, n_ends, mass), schema)

@@ -132,3 +132,42 @@ def test_expected_counts_conserve_and_raise_the_likelihood():
         assert fit >= last - 1e-3
         last = fit
         m = hmm.Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), (emits + 1e-12 * share[:, None]) / (emits + 1e-12 * share[:, None]).sum(axis=0))
+
+
+def test_stretches_change_no_number():
+    """A text of 20,000 tokens is trained and scored whole, whatever the stretch."""
+    m = model(3, 6)
+    _, seqs = sequences([20_000, 3, 500, 1], 6)
+    whole, cut = hmm.expect(m, seqs, 1 << 30), hmm.expect(m, seqs, 777)
+    for a, b in zip(whole, cut, strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+    assert whole[1].sum() == pytest.approx(20_000 + 3 + 500 + 1 - 4)
+    assert np.allclose(hmm.likelihood(m, seqs, 1 << 30), hmm.likelihood(m, seqs, 777))
+
+
+def test_query_scores_are_the_forward_sums_of_its_model(spark, monkeypatch):
+    """Each score of the query against a plain forward pass, word by word, under the model that it trained."""
+    import xxhash
+
+    from seamline.llm import registry
+
+    train, kept = hmm.train, []
+    monkeypatch.setattr(hmm, "train", lambda blocks, share, *a: kept.append((train(blocks, share, *a), share)) or kept[-1][0])
+    got = {r.doc_id: r.score for r in registry.queries()["op4_hmm_scoring"](spark, SF).collect()}
+    m, share = kept[0]
+    words = {r.doc_id: tokens(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    counts = Counter(w for d, ws in words.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
+    end = len(share) - 1
+    symbol = lambda w: xxhash.xxh64_intdigest(w, seed=42) % hmm.CLASSES % end if w else end
+    mass = Counter({c: 1 for c in range(end + 1)})
+    for w, n in counts.items():
+        mass[symbol(w)] += n + 1 if w else n
+    for d, ws in words.items():
+        state, total = None, 0.0
+        for w in ws:
+            z = symbol(w)
+            state = (m.start if state is None else state @ m.move) * m.emit[z] * ((counts[w] + 1) / mass[z])
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        assert got[d] == pytest.approx(total, rel=1e-9)
+    assert np.allclose([mass[c] for c in range(end + 1)], share * sum(mass.values()))
