@@ -1,11 +1,16 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, smoothing, threshold clusters.
 
 The standard library's streaming parser turns a page into lines, one per block of text, with the tags seen on each.
-A line's ratio is its code points outside links for each tag; lines in containers that declare themselves as something
-else than the article (menus, headers, footers, side bars, notices, adverts, forms, comments, by element, role or class)
-have ratio 0. Ratios are smoothed with a Gaussian along the page; lines above the standard deviation of the smoothed
-ratios form clusters. Clusters vote with their text for the container they stand in, and the winner is the content
-region: all its lines outside such declared containers, short ones too, are the main text.
+A line's ratio is its code points outside links for each tag. Ratios are smoothed with a Gaussian along the page; lines
+above the standard deviation of the smoothed ratios form clusters. The clusters decide twice. First, which declarations to
+believe: a container can declare itself as something else than the article (menus, headers, footers, side bars, notices,
+adverts, forms, comments, by element, role or class), but where such containers hold all but a tenth of the page's
+clustered text, the one that holds most is a wrapper of the page and its declaration is dropped. Then clusters vote with
+their text for the container they stand in, and the winner is the content region: all its lines outside containers whose
+declaration stands, short ones too, are the main text.
+
+A class declares only as a whole token: ``header`` and ``site-header`` do, ``header-wide`` and ``notice-board`` do not. Tags
+that HTML lets authors leave out are implied: content ends an open head, blocks end an open button, option list or title.
 
 Pages are independent, so the plan is one narrow map over them: no shuffle, no key, nothing larger than a page.
 
@@ -38,36 +43,61 @@ OTHER_WORDS = frozenset(
     "breadcrumb breadcrumbs comment comments disqus replies reply cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended widget pagination pager toolbar masthead skip alert".split()
 )
+#: Words that may stand beside one of the others in a token without changing what it says.
+PLACE_WORDS = frozenset("site page top bottom left right main global primary secondary block box area section container wrapper inner list item items bar slot unit user reader article post".split())
+CONTENT_WORDS = frozenset("article content post entry story main".split())
+COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
+#: Elements that a block of the page ends, should they still be open.
+SHORT = frozenset("button select textarea title map head".split())
+BLOCKS = SCOPES | frozenset("p h1 h2 h3 h4 h5 h6 pre address hr".split())
+#: Containers that are parts of a text and never the whole of it.
+PARTS = frozenset("blockquote figure ul ol dl table details".split())
 WORD = re.compile(r"[a-z0-9]+")
 
 SIGMA = 1.0
 #: Share of the clusters' text that a container has to hold on pages without an article or main element.
 MOST = 0.8
+#: Share of the clusters' text outside declared containers from which all declarations are believed.
+LEAST = 0.1
+
+
+def declares(token: str, words: frozenset = OTHER_WORDS) -> bool:
+    """Whether a class token says, by all its words, that its container is one of ``words``."""
+    parts = set(WORD.findall(token))
+    return not parts.isdisjoint(words) and parts <= words | PLACE_WORDS
 
 
 class Scope:
     """An open container: its place in the page, its parent, and what it means for the lines in it."""
 
-    __slots__ = ("article", "mute", "other", "parent", "tag")
+    __slots__ = ("article", "mute", "own", "parent", "tag")
 
     def __init__(self, tag: str, parent: Scope | None, attrs):
         self.tag, self.parent = tag, parent
         self.mute = tag in MUTE or bool(parent and parent.mute)
-        self.other = bool(parent and parent.other) or tag in OTHER
-        self.article = parent.article if parent else None
-        if not self.other and tag not in ("html", "body"):
+        self.own = tag in OTHER  # declares itself as something else than the article
+        if tag not in ("html", "body"):
             for name, value in attrs:
-                if name in ("class", "id") and value and tag not in ARTICLE:
-                    self.other |= not OTHER_WORDS.isdisjoint(WORD.findall(value.lower()))
-                elif name == "class" and value:
-                    self.other |= not {"comment", "comments", "reply"}.isdisjoint(WORD.findall(value.lower()))
-                elif name == "role" and value:
-                    self.other |= value.strip().lower() in OTHER_ROLES
+                value = (value or "").strip().lower()
+                if name in ("class", "id"):
+                    tokens = value.split()
+                    words = COMMENT_WORDS if tag in ARTICLE or not CONTENT_WORDS.isdisjoint(tokens) else OTHER_WORDS
+                    self.own |= any(declares(t, words) for t in tokens)
+                elif name == "role":
+                    self.own |= value in OTHER_ROLES
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     self.mute = True
-        if tag in ARTICLE and not self.other and self.article is None:
+        self.article = parent.article if parent else None
+        if tag in ARTICLE and self.article is None:
             self.article = self
 
+    def chain(self):
+        scope = self
+        while scope is not None:
+            yield scope
+            scope = scope.parent
+
 
 class Lines(HTMLParser):
     """Collects (text, tags, link characters, scope) for each block of text, in page order."""
@@ -86,7 +116,14 @@ class Lines(HTMLParser):
         self.parts, self.linked = [], 0
         self.tags = 0
 
+    def imply(self, tag: str):
+        """End what a start tag or text outside of it cannot be inside of."""
+        while self.stack[-1].tag in SHORT and (tag not in IN_HEAD if self.stack[-1].tag == "head" else tag in BLOCKS):
+            self.flush()
+            self.stack.pop()
+
     def handle_starttag(self, tag, attrs):
+        self.imply(tag)
         if tag in INLINE:
             self.tags += 1
             self.links += tag == "a"
@@ -115,6 +152,8 @@ class Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
+        if self.stack[-1].tag == "head" and not data.isspace():
+            self.imply("p")
         if not self.stack[-1].mute:
             self.parts.append(data)
             if self.links:
@@ -134,51 +173,54 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def believed(lines, dense: list[int]) -> set[Scope]:
+    """Containers whose declaration stands, given the clustered lines."""
+    scopes = {s: None for _, _, _, scope in lines for s in scope.chain()}
+    stands = {s for s in scopes if s.own}
+    weight = {i: len(lines[i][0]) - lines[i][2] for i in dense}
+    total = sum(weight.values())
+    while total:
+        outside, votes = 0, {}
+        for i, w in weight.items():
+            inside = [s for s in lines[i][3].chain() if s in stands]
+            if inside:
+                votes[inside[-1]] = votes.get(inside[-1], 0) + w  # the outermost
+            else:
+                outside += w
+        if outside >= LEAST * total or not votes:
+            break
+        stands.discard(max(votes, key=votes.get))
+    return stands
+
+
 def main_text(html: str | None) -> str:
     lines = Lines().read(html or "")
     lines = [x for x in lines if not x[3].mute]
     if not lines:
         return ""
-    ratio = np.array([0.0 if s.other else (len(t) - linked) / max(1, tags) for t, tags, linked, s in lines])
-    level = smooth(ratio)
-    dense = [i for i in np.flatnonzero(level >= level.std()).tolist() if not lines[i][3].other]
-    if not dense:
-        dense = [i for i, x in enumerate(lines) if not x[3].other]
+    level = smooth(np.array([(len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines]))
+    dense = np.flatnonzero(level >= level.std()).tolist()
+    stands = believed(lines, dense)
+    free = [stands.isdisjoint(s.chain()) for _, _, _, s in lines]
+    # Clusters of the lines that are left: those of the others no longer count, neither by themselves nor as neighbours.
+    level = smooth(np.array([f * (len(t) - linked) / max(1, tags) for f, (t, tags, linked, _) in zip(free, lines, strict=True)]))
+    dense = [i for i in np.flatnonzero(level >= level.std()).tolist() if free[i]] or np.flatnonzero(free).tolist()
     votes: dict[Scope, int] = {}
     articles: dict[Scope, int] = {}
     for i in dense:
         text, _, _, scope = lines[i]
         if scope.article is not None:
             articles[scope.article] = articles.get(scope.article, 0) + len(text)
-        while scope is not None:
-            votes[scope] = votes.get(scope, 0) + len(text)
-            scope = scope.parent
+        for s in scope.chain():
+            votes[s] = votes.get(s, 0) + len(text)
     if articles:
         region = max(articles, key=articles.get)
     elif votes:
         total = max(votes.values())
-        region = min((s for s, v in votes.items() if v >= MOST * total), key=_size_order(votes))
+        region = max((s for s, v in votes.items() if v >= MOST * total and s.tag not in PARTS), key=lambda s: (sum(1 for _ in s.chain()), -votes[s]))
     else:
         return ""
-    return " ".join(t for t, _, _, s in lines if not s.other and _inside(s, region))
-
-
-def _size_order(votes):
-    def depth(s):
-        n = 0
-        while s.parent is not None:
-            s, n = s.parent, n + 1
-        return n
-
-    return lambda s: (-depth(s), votes[s])
-
-
-def _inside(scope: Scope | None, region: Scope) -> bool:
-    while scope is not None:
-        if scope is region:
-            return True
-        scope = scope.parent
-    return False
+    return " ".join(t for (t, _, _, s), f in zip(lines, free, strict=True) if f and region in s.chain())
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

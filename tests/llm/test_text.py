@@ -141,6 +141,84 @@ def test_pages():
     assert html_text.main_text("text only &eacute;") == "text only é"
 
 
+SAID = "A sentence of the article that goes on for a while, as they do. " * 6
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content header-wide"><p>{SAID}</p></div><div class="footer"><p>Bottom words.</p></div>',
+    f"<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><link rel=x><nav><a href=/>Home</a></nav><article><p>{SAID}</p></article>",
+    f"<html><head><title>T</title><p>{SAID}</p>",
+    f"<body><nav><button>Menu</nav><main><p>{SAID}</p></main><footer>End</footer>",
+    f"<body><div><button>Menu<p>{SAID}</p></div>",
+    f'<body><form id="aspnet" action=/><nav><a href=/>Home</a></nav><div><p>{SAID}</p></div><div class="site-footer"><p>Bottom words.</p></div></form>',
+    f'<div class="page-header"><h1>Site</h1></div><div class="post"><p>{SAID}</p></div><div class="user-comments">' + "<p>A reader comment, rather long, as long as the article itself.</p>" * 6 + "</div>",
+    f'<div class="cookie-banner">We use cookies.</div><section><p>{SAID}</p><div class="ad-slot">Buy.</div></section><aside>Related</aside>',
+])
+def test_pages_with_odd_markup_give_their_article(page):
+    assert html_text.main_text(page) == SAID.strip()
+
+
+def test_notices_inside_an_article_by_whole_tokens():
+    page = '<article><p>One.</p><div class="notice-board"><p>Two.</p></div><div class="notice">Three.</div></article>'
+    assert html_text.main_text(page) == "One. Two."
+
+
+def made_page(rng):
+    """A page from parts and, known by construction, its main text."""
+    some = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    body, said = [], []
+    for _ in range(rng.randint(1, 7)):
+        words = some(rng.choice([1, 4, 30, 80]))
+        said.append(words)
+        tag = rng.choice(["p", "p", "h2", "blockquote", "li"])
+        body.append(f"<{tag}>" + words.replace(" ", rng.choice([" ", "\n ", " <b></b>"]), 1) + rng.choice([f"</{tag}>", f"</{tag}>", "" if tag in "pli" else f"</{tag}>"]))
+        if rng.random() < 0.3:
+            body.append(rng.choice([f'<div class="ad">{some(12)}</div>', f"<script>{some(3)}</script>", f"<aside><p>{some(20)}</p></aside>", f"<!-- {some(2)} -->", f"<form><input>{some(5)}</form>"]))
+    while sum(map(len, said)) < 60:
+        said.append(some(20))
+        body.append(f"<p>{said[-1]}</p>")
+    around = [f"<nav><ul><li><a href=/>{some(2)}</a></ul></nav>", f"<header><h1>{some(3)}</h1></header>", f'<div class="{rng.choice(["sidebar", "site-footer", "cookie-notice"])}"><p>{some(15)}</p></div>']
+    rng.shuffle(around)
+    cut = rng.randint(0, len(around))
+    open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div id=story>", "</div>")])
+    comments = f'<section class="comments"><p>{some(rng.choice([3, 40]))}</p></section>' if rng.random() < 0.5 else ""
+    head = rng.choice(["<head><title>x y</title></head><body>", "<head><title>x y</title>", "<body>"])
+    return "<html>" + head + "".join(around[:cut]) + open_ + "".join(body) + close + comments + "".join(around[cut:]), " ".join(said)
+
+
+def test_query_gives_the_main_text_of_made_pages(spark, tmp_path):
+    """The query over pages whose main text is known by construction, a very long one and repeated rows among them."""
+    from seamline.llm import registry
+
+    rng = random.Random(17)
+    made = [made_page(rng) for _ in range(150)]
+    made.append(("<article>" + "".join(f"<p>{i} word</p>" for i in range(40_000)) + "</article><footer>x</footer>", " ".join(f"{i} word" for i in range(40_000))))
+    made.append(made[0])
+    spark.createDataFrame([(min(i, 150), f"u{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, int(r.url[1:]), r.text, r.n_chars) for r in registry.queries()["op9_html_extraction"](spark, str(tmp_path)).collect())
+    assert got == [(min(i, 150), i, t, len(t)) for i, (_, t) in enumerate(made)]
+
+
+def plain_article(html):
+    """Main text of the driver's pages, which all have one article element: a plain cut with regular expressions."""
+    import html as h
+    import re
+
+    body = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    body = re.sub(r"<!--.*?-->|<(script|style|nav|form|aside|button|footer|header)\b.*?</\1>|<div class=.?ad.?>.*?</div>", " ", body, flags=re.S)
+    body = re.sub(r"</?(b|i|a|em|strong|span|u|code)\b[^>]*>", "", body)
+    return " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
+def test_query_equals_a_plain_version_on_the_small_table(spark):
+    from seamline.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.page_id: plain_article(r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").collect()}
+    got = {r.page_id: r.text for r in registry.queries()["op9_html_extraction"](spark, sf).collect()}
+    assert {p: got[p] for p in want} == want
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 6), (3, "u", PAGE, 7), (3, "u", PAGE, 7)], "page_id long, url string, html string, n_chars long")
     got = html_text.extract(df).collect()
