@@ -1,9 +1,15 @@
 """License scans: canonical digests of whole texts, looked up among the digests of known licences.
 
 Canonical form: copyright lines go, ASCII letters turn small, equivalent spellings become one, and every run of other
-characters than ASCII letters and digits becomes one blank. Two texts that differ only in these respects have one
-SHA-256. Known licences are a fixed list held here, so their digest table has a size bound (it does not grow with the
-input) and is broadcast; the documents are neither shuffled nor compared with each other. Only Spark SQL functions run.
+characters than ASCII letters and digits becomes one blank. Two texts that differ only in these respects, line breaks
+among them, have one SHA-256. A copyright line opens, after comment marks, with the word or the sign and goes on with a year, a
+second sign or a year's place holder; a wrapped line that just happens to open with the word stays. Lines that say no
+more than that all rights are reserved go with them. Known licences are a fixed list held here (short texts below, long
+ones in ``licence_texts``), so their digest table has a size bound (a few hundred rows, it does not grow with the input)
+and is broadcast; the documents are neither shuffled nor compared with each other. Only Spark SQL functions run.
+
+The longer licences hold copyright lines inside their paragraphs, and which words share a line with one depends on where
+lines break; so these are listed at several widths, with and without the appendix that tells how to apply them.
 
 Next to the whole text, each line is looked up among the known one-line notices, which is how such lines are found
 inside longer documents.
@@ -14,8 +20,12 @@ repeated rows keep a row each; columns that clash with added names are replaced;
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
+import textwrap
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,12 +75,27 @@ TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF TH
 POSSIBILITY OF SUCH DAMAGE.
 """
 
+
+
+def _bsd(heads: tuple[str, ...], name: str) -> tuple[str, ...]:
+    """Clauses with numbers or bullets, disclaimed by copyright holders or by the author."""
+    out = []
+    for head, bullets, author in itertools.product(heads, (False, True), (False, True)):
+        clauses, warranty = _BSD_GRANT + name, _BSD_WARRANTY
+        if bullets:
+            clauses = re.sub(r"(?m)^[0-9]\. ", "* ", clauses)
+        if author:
+            warranty = re.sub("COPYRIGHT HOLDERS?", "AUTHOR", warranty)
+        out.append(head + clauses + warranty)
+    return tuple(out)
+
+
 # Whole licence texts.
 TEXTS: dict[str, tuple[str, ...]] = {
     "MIT": (_MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY, "MIT License\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY, "The MIT License (MIT)\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     "MIT-0": (_MIT_GRANT.replace(", subject to the following conditions:", ".") + _MIT_WARRANTY, "MIT No Attribution\n" + _MIT_GRANT.replace(", subject to the following conditions:", ".") + _MIT_WARRANTY),
-    "BSD-2-Clause": (_BSD_GRANT + _BSD_WARRANTY, "BSD 2-Clause License\n" + _BSD_GRANT + _BSD_WARRANTY),
-    "BSD-3-Clause": (_BSD_GRANT + _BSD_NAME + _BSD_WARRANTY, "BSD 3-Clause License\n" + _BSD_GRANT + _BSD_NAME + _BSD_WARRANTY),
+    "BSD-2-Clause": _bsd(("", "BSD 2-Clause License\n", "Simplified BSD License\n"), ""),
+    "BSD-3-Clause": _bsd(("", "BSD 3-Clause License\n", "New BSD License\n"), _BSD_NAME),
     "ISC": tuple(
         head
         + """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
@@ -101,6 +126,54 @@ as long as the name is changed.
 DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
 TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 0. You just DO WHAT THE FUCK YOU WANT TO.
+""",
+    ),
+    "0BSD": tuple(
+        head
+        + """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+        for head in ("", "BSD Zero Clause License\n", "Zero-Clause BSD\n")
+    ),
+    "BSL-1.0": (
+        """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT
+HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+""",
+    ),
+    "Unlicense": (
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>
 """,
     ),
     "Apache-2.0": (
@@ -125,13 +198,20 @@ NOTICES: dict[str, tuple[str, ...]] = {
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that starts, after comment marks, with a copyright word or sign.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n©]*(copyright|©|\(c\))[^\n]*"
+_YEAR = "((19|20)[0-9][0-9]|yyyy|year)"
+#: A line that opens, after comment marks, with a copyright word or sign, followed by a sign, a year or its place holder.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^a-z0-9\n©]*(copyright[^a-z0-9\n©]*(\(c\)|©|" + _YEAR + r")|(\(c\)|©)[^a-z0-9\n]*(copyright[^a-z0-9\n]*)?" + _YEAR + r")[^\n]*"
+)
+RIGHTS_LINE = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)"
+#: Line widths at which texts with copyright lines inside are listed; None: a paragraph a line.
+WIDTHS = (60, 66, 70, 72, 74, 76, 78, 79, 80, 100, 120, None)
+END = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -141,19 +221,43 @@ def canonical(text: Column) -> Column:
 def canonical_text(text: str) -> str:
     """The same form of a Python string, for the known texts."""
     t = text.translate(str.maketrans(UPPER, LOWER))
-    t = " " + re.sub("[^a-z0-9]+", " ", re.sub(COPYRIGHT_LINE, "\n", t)) + " "
+    t = re.sub(RIGHTS_LINE, "\n", re.sub(COPYRIGHT_LINE, "\n", t))
+    t = " " + re.sub("[^a-z0-9]+", " ", t) + " "
     for old, new in SPELLINGS:
         t = t.replace(f" {old} ", f" {new} ")
     return t.strip(" ")
 
 
-def _rows(known: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in known.items() for t in texts})
+def reflow(text: str, width: int | None) -> str:
+    """The same paragraphs with lines of ``width`` characters at most."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t\f]*\n", text)]
+    fill = lambda p: textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) if width else p
+    return "\n\n".join(map(fill, filter(None, paragraphs)))
+
+
+def _listed(text: str):
+    yield text
+    if re.search(r"copyright[^a-z0-9]*(\(c\)|©|" + _YEAR + ")", text.lower()):
+        yield from (reflow(text, w) for w in WIDTHS)
+
+
+@functools.cache
+def known_texts() -> dict[str, tuple[str, ...]]:
+    """Whole texts of each known licence: those above, and the files of ``licence_texts``, whose names are the licences'."""
+    known = {k: list(v) for k, v in TEXTS.items()}
+    for path in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(END)
+        known.setdefault(path.stem, []).extend(dict.fromkeys((text, terms + end, terms)))
+    return {k: tuple(v) for k, v in known.items()}
 
 
+@functools.cache
 def known_digests() -> list[tuple[str, str]]:
-    """(digest, licence) of the fixed list: under a hundred rows at any input size."""
-    return _rows({k: TEXTS.get(k, ()) + NOTICES.get(k, ()) for k in {**TEXTS, **NOTICES}})
+    """(digest, licence) of the fixed list: a few hundred rows at any input size."""
+    texts = [(name, w) for name, own in known_texts().items() for t in own for w in _listed(t)]
+    texts += [(name, t) for name, own in NOTICES.items() for t in own]
+    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, t in texts})
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -13,7 +13,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical(c: str) -> str:
-    t = f"' ' || regexp_replace(regexp_replace(translate(coalesce({c}, ''), '{lic.UPPER}', '{lic.LOWER}'), '{lic.COPYRIGHT_LINE}', chr(10), 'g'), '[^a-z0-9]+', ' ', 'g') || ' '"
+    t = f"translate(coalesce({c}, ''), '{lic.UPPER}', '{lic.LOWER}')"
+    for line in (lic.COPYRIGHT_LINE, lic.RIGHTS_LINE):
+        t = f"regexp_replace({t}, '{line}', chr(10), 'g')"
+    t = f"' ' || regexp_replace({t}, '[^a-z0-9]+', ' ', 'g') || ' '"
     for old, new in lic.SPELLINGS:
         t = f"replace({t}, ' {old} ', ' {new} ')"
     return f"trim({t}, ' ')"

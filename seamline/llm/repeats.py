@@ -267,14 +267,16 @@ def _answer(buckets: int, length: int):
 
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                doc, fp = r["doc"], r["fp"]
+            for r in batch.select(["_doc", "_fp", "spans", "asks", "_z"]).to_pylist():
+                if not r["spans"] and not r["asks"]:
+                    continue
+                doc, fp = r["_doc"], r["_fp"]
                 spans = [np.frombuffer(s, np.int64).reshape(-1, 2) for s in r["spans"]]
                 if spans:
                     rows.append(((doc ^ fp) % buckets, doc, fp, merge(np.concatenate(spans)).tobytes(), None))
                 if not r["asks"]:
                     continue
-                raw = zstandard.decompress(r["z"])
+                raw = zstandard.decompress(r["_z"])
                 for h, lo, n, at, many in np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 5) for s in r["asks"]]).tolist():
                     name = h & ((1 << 64) - 1)
                     if many < MANY:
@@ -461,17 +463,17 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", give_text:
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(4 * width(spark), -(-size // BUCKET))
     block = lambda df, f: df.groupBy("bucket").applyInArrow(f, STAGE)
-    small = [c for c in ("doc", "fp")]
+    small, name = ["_doc", "_fp"], [F.col("doc").alias("_doc"), F.col("fp").alias("_fp")]
 
     anchors = arrow_map(docs.select(doc_id.cast("long").alias("_id"), F.col(text).alias("_text")), _scan(buckets, length), STAGE, rows=256)
     met = block(anchors, _compare(buckets))
-    asked = met.groupBy(*small).agg(F.collect_list("spans").alias("spans"), F.collect_list("block").alias("asks"))
+    asked = met.groupBy(*name).agg(F.collect_list("spans").alias("spans"), F.collect_list("block").alias("asks"))
     source = docs.select(*keep, doc_id.cast("long").alias("_id"), F.col(text).alias("_text"))
     packed = arrow_map(source, _squeeze(keep), ", ".join([*_fields(docs, keep), "_doc long", "_fp long", "_z binary"]), rows=256)
-    asked = asked.join(packed.select(F.col("_doc").alias("doc"), F.col("_fp").alias("fp"), F.col("_z").alias("z")), small)
-    regions_ = arrow_map(asked.select(*small, "spans", "asks", "z"), _answer(buckets, length), STAGE, rows=256)
-    found = block(regions_, _search(buckets, length)).groupBy(*small).agg(F.collect_list("spans").alias("_spans"))
-    joined = packed.join(found.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), "_spans"), ["_doc", "_fp"], "left")
+    # Both joins take the same rows and columns of the packed texts, so that these are shuffled once.
+    regions_ = arrow_map(packed.join(asked, small, "left"), _answer(buckets, length), STAGE, rows=256)
+    found = block(regions_, _search(buckets, length)).groupBy(*name).agg(F.collect_list("spans").alias("_spans"))
+    joined = packed.join(found, small, "left")
     tail = ["n_bytes long", "n_removed long", "n_spans long", "_rest string" if give_text else "kept_sha256 string"]
     out = arrow_map(joined.select(*keep, "_z", "_spans"), _cut(keep, length, text if give_text else None), ", ".join([*_fields(docs, keep), *tail]), rows=256)
     if not give_text:

@@ -76,8 +76,8 @@ def staged(rows, n=3):
     flat = lambda bs: [r for b in bs for r in b.to_pylist()]
     met = [r for t in by(flat(repeats._scan(n, 100)([batch]))) for r in repeats._compare(n)(None, t).to_pylist()]
     of = lambda i, c: [r[c] for r in met if r["doc"] == i and r[c]]
-    asked = [{"doc": i, "fp": repeats.fingerprint(t.encode()), "spans": of(i, "spans"), "asks": of(i, "block"), "z": repeats.zstandard.compress(t.encode())} for i, t in rows]
-    kinds = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("spans", pa.list_(pa.binary())), ("asks", pa.list_(pa.binary())), ("z", pa.binary())])
+    asked = [{"_doc": i, "_fp": repeats.fingerprint(t.encode()), "spans": of(i, "spans"), "asks": of(i, "block"), "_z": repeats.zstandard.compress(t.encode())} for i, t in rows]
+    kinds = pa.schema([("_doc", pa.int64()), ("_fp", pa.int64()), ("spans", pa.list_(pa.binary())), ("asks", pa.list_(pa.binary())), ("_z", pa.binary())])
     # Two tasks answer.
     answers = [r for k in (0, 1) for r in flat(repeats._answer(n, 100)(pa.Table.from_pylist(asked[k::2], schema=kinds).to_batches()))]
     found = [r for t in by(answers) for r in repeats._search(n, 100)(None, t).to_pylist()]

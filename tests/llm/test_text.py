@@ -121,7 +121,25 @@ def test_licences(spark):
 
 def test_licence_digests_are_bounded_and_distinct():
     known = licences.known_digests()
-    assert len(known) < 100 and len({d for d, _ in known}) == len(known)
+    assert len(known) < 500 and len({d for d, _ in known}) == len(known)
+
+
+@pytest.mark.parametrize("width", [66, 80, 100])
+def test_licences_at_several_widths(spark, width):
+    """Every known text, wrapped anew, with somebody's copyright lines on top; the usual wrapping of the shortest one too."""
+    texts = [(name, t) for name, own in licences.known_texts().items() for t in own]
+    mine = "Copyright (c) 2019-2021 Jane Doe <jane@example.net>\n© 2022 Others\nAll rights reserved.\n\n"
+    rows = [(i, (mine if i % 2 else "") + licences.reflow(t, width)) for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.license_id for r in licences.scan(docs(spark, rows)).collect()}
+    assert {i: got[i] for i in got if got[i] != texts[i][0]} == {}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {n for n, _ in texts}
+
+
+def test_a_wrapped_line_may_open_with_the_word_copyright():
+    body = licences.TEXTS["MIT"][0]
+    for width in range(40, 121):
+        assert licences.canonical_text(licences.reflow(body, width)) == licences.canonical_text(" ".join(body.split()))
+    assert "you must retain" in licences.canonical_text("x\n(c) You must retain")
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
