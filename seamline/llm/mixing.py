@@ -1,12 +1,14 @@
 """Mixing sources to target weights by entropy balancing.
 
 Targets: each source's weight times a scale, cut at ``cap`` times the source's size; the scale is the one at which all
-targets add up to the budget (sorted by size per weight, running sums give it in closed form).
+targets add up to the budget. The sum of cut targets is concave in the scale and has a bend per source, so Newton steps from
+below reach the scale after a few sums over the sources.
 
-Rates: among all document rates ``r`` with ``0 < r <= cap`` whose words meet the targets, the ones closest to "each
-document once" in relative entropy per word are ``r = min(cap, exp(lambda_source))``. The dual is convex and a Newton
-step for it needs two sums per source, which Spark adds up over the (source, size) cells in each iteration. Rates do not
-favour short or long documents of a source, as the base measure counts words and not documents.
+Rates: among all document rates ``r`` with ``0 < r <= cap`` whose words meet a source's target, the ones closest to "each
+document once" in relative entropy, document by document, are ``r = min(cap, exp(lambda * size))``: an exponential tilt by
+the document's number of words. The dual is convex; a Newton step for all sources needs two sums per source (words taken and
+their derivative), which Spark adds up over the (source, size) cells in each iteration. Steps that leave the interval known to hold
+the solution halve it instead. A source whose target is its cap takes every document ``cap`` times.
 
 Copies: a cell of n documents of one size and source takes a whole number of copies. What rounding leaves over moves to
 the next smaller size of the source, so a source ends within half of its smallest documents of its target wherever
@@ -33,56 +35,94 @@ SHARE = 1.5
 CAP = 2
 #: Hash buckets of a (source, size) cell.
 BUCKETS = 4096
-TOLERANCE = 1e-12
-MAX_STEPS = 60
+#: Largest share of a target that the dual's solution may leave open.
+TOLERANCE = 1e-9
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
-def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(src, source, source_size) to the same with weight and target; one row per source, so one small window.
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Add ``place``, from 0: sources by UTF-8 bytes, which is the order of code points; null last.
 
-    Sources order by UTF-8 bytes, which is the order of code points; null comes last.
-    """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    by_ratio = Window.orderBy("ratio", "src")
-    out = sizes.withColumn("weight", weight).withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
-    full = cap * F.coalesce(F.sum("source_size").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    budget = share * F.sum("source_size").over(Window.partitionBy())
-    out = out.withColumn("scale", (budget - full) / rest)
-    scale = F.min(F.when(F.col("ratio") >= F.col("scale"), F.struct("ratio", "src", "scale"))).over(Window.partitionBy())["scale"]
-    target = F.least(F.lit(float(cap)) * F.col("source_size"), F.coalesce(scale, F.lit(float("inf"))) * F.col("weight"))
-    return out.withColumn("target", target).select("src", "source_size", "weight", "target")
-
-
-def solve_dual(cells: DataFrame, goals: DataFrame) -> DataFrame:
-    """Newton iterations on the dual; (src, source_size, target, lam).
-
-    ``cells``: (src, size, n). Each step adds up, per source, the words that the present rates take: less the target,
-    they are the dual's gradient, and as they are its curvature. No target is above the cap, so the rates are not at the
-    solution. Driver state is one row: the largest relative residual.
+    Rows are sorted by ranges, and each range counts on from the number of rows before it; what the driver sees is one
+    number per range.
     """
-    state = goals.withColumn("lam", F.lit(0.0))
-    for _ in range(MAX_STEPS):
-        words = F.col("n") * F.col("size") * F.exp("lam")
-        sums = cells.join(state.select("src", "lam"), "src").groupBy("src").agg(F.sum(words).alias("h"))
-        step = F.when((F.col("h") > 0) & (F.col("target") > 0), (F.col("h") - F.col("target")) / F.col("h")).otherwise(0.0)
-        state = durable(state.join(sums, "src").select("src", "source_size", "target", (F.col("lam") - step).alias("lam"), F.abs(step).alias("left")))
-        left = state.agg(F.max("left")).first()[0]
-        state = state.drop("left")
-        if left is None or left < TOLERANCE:
+    ranged = durable(sizes.sort(F.col("source").isNull(), F.col("source")).withColumn("at", F.monotonically_increasing_id()))
+    part, own = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = {}, 0
+    for r in counts:
+        before[r["part"]], total = total, total + r["n"]
+    if not before:
+        return ranged.withColumn("place", F.lit(0).cast("long")).drop("at")
+    offsets = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
+    return ranged.withColumn("place", F.element_at(offsets, part.cast("long")) + own).drop("at")
+
+
+def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(src, source, source_size) to (src, source_size, target)."""
+    place = (F.col("place") % len(weights) + 1).cast("int")
+    out = durable(numbered(sizes).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place)))
+    full = float(cap) * F.col("source_size")
+    budget = share * float(out.agg(F.sum("source_size")).first()[0] or 0)
+    scale, last = 0.0, -1.0
+    while scale > last:
+        under = full > scale * F.col("weight")
+        got = out.agg(F.sum(F.when(~under, full)).alias("full"), F.sum(F.when(under, F.col("weight"))).alias("weight")).first()
+        if got["weight"] is None:  # every source is full
             break
-    return state
+        scale, last = max(scale, (budget - float(got["full"] or 0)) / got["weight"]), scale
+    return out.select("src", "source_size", F.least(full, F.lit(scale) * F.col("weight")).alias("target"))
+
+
+def rate(lam, size, cap: float = CAP):
+    """Rate of a document from its source's multiplier (per mean size of the source; null: the source is full)."""
+    return F.when(lam.isNull() | (size == 0), F.when(size == 0, 1.0).otherwise(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(lam * size)))
+
+
+def solve_dual(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
+    """Newton iterations on the dual, all sources at once; (src, source_size, target, lam).
+
+    ``cells``: (src, size, n). Words taken rise with a source's multiplier ``lam``; less the target they are the dual's
+    gradient, and their derivative is its curvature. ``lam`` is null for full sources. Iterations start at zero, the base,
+    and keep an interval around the solution: any ``lam`` under it takes too little, any over it too much. They end when
+    all sources are solved; halved intervals make that certain. Driver state is one row: the largest relative residual.
+    """
+    size = F.col("size").cast("double")
+    small = cells.groupBy("src").agg(F.max("size").alias("largest"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"))
+    state = goals.join(small, "src")
+    open_ = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
+    # At ln(cap) / smallest all documents are taken cap times; at ln(TOLERANCE) less than that share of the words is.
+    state = state.withColumn("lam", F.when(open_, F.lit(0.0)))
+    state = state.withColumn("high", F.when(open_, F.log(F.lit(float(cap))) / F.col("smallest")))
+    state = state.withColumn("low", F.when(open_, -(F.log(F.lit(1 / TOLERANCE)) + F.log1p(F.col("source_size").cast("double"))) / F.col("smallest")))
+    state = durable(state.select("src", "source_size", "target", "lam", "low", "high"))
+    while True:
+        r = F.least(F.lit(float(cap)), F.exp(F.col("lam") * size))
+        words = F.col("n") * size * r
+        bend = F.when(F.exp(F.col("lam") * size) < cap, words * size).otherwise(0.0)
+        met = cells.join(state.where("lam is not null").select("src", "lam"), "src")
+        sums = met.groupBy("src").agg(F.sum(words).alias("words"), F.sum(bend).alias("bend"))
+        excess = F.col("words") - F.col("target")
+        now = state.join(sums, "src", "left").withColumns({"low": F.when(excess < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(excess > 0, F.col("lam")).otherwise(F.col("high"))})
+        newton = F.col("lam") - excess / F.col("bend")
+        inside = (F.col("bend") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
+        step = F.when(excess == 0, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        left = F.abs(excess) / F.col("target")
+        # An interval that holds no other number is as good as solved.
+        left = F.when((step <= F.col("low")) | (step >= F.col("high")), 0.0).otherwise(left)
+        now = durable(now.select("src", "source_size", "target", "low", "high", "lam", F.when(left > TOLERANCE, step).otherwise(F.col("lam")).alias("next"), left.alias("left")))
+        worst = now.agg(F.max("left")).first()[0]
+        if worst is None or worst <= TOLERANCE:
+            return now.select("src", "source_size", "target", "lam")
+        state = now.select("src", "source_size", "target", F.col("next").alias("lam"), "low", "high")
 
 
 def _diffuse(cap: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Copies of each cell of one source; a row per distinct size, so no more rows than the longest text has words."""
         pdf = pdf.sort_values("size", ascending=False)
-        rate = min(float(cap), float(pdf["rate"].iloc[0]))
         left, total = 0.0, []
-        for size, n in zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True):
+        for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
             if size == 0:
                 total.append(n)
                 continue
@@ -90,7 +130,7 @@ def _diffuse(cap: float):
             k = min(max(round(want / size), 0), int(cap * n))
             left = want - k * size
             total.append(k)
-        return pdf.assign(total=total)[["src", "size", "n", "total"]]
+        return pdf.assign(total=total)[["src", "size", "n", "total", "rate", "source_size", "target"]]
 
     return run
 
@@ -107,10 +147,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     )
     cells = durable(fine.groupBy("src", "size").agg(F.first("source").alias("source"), F.sum("n").alias("n")))
     sizes = cells.groupBy("src").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    dual = solve_dual(cells, targets(sizes, weights, share, cap).drop("weight"))
-    rates = dual.select("src", "source_size", "target", F.least(F.exp("lam"), F.lit(float(cap))).alias("rate"))
+    dual = solve_dual(cells, targets(sizes, weights, share, cap), cap)
+    rated = cells.join(dual, "src").withColumn("rate", rate(F.col("lam"), F.col("size"), cap))
     totals = (
-        cells.join(rates, "src").select("src", "size", "n", "rate").groupBy("src").applyInPandas(_diffuse(cap), "src string, size long, n long, total long")
+        rated.select("src", "size", "n", "rate", "source_size", "target")
+        .groupBy("src")
+        .applyInPandas(_diffuse(cap), "src string, size long, n long, total long, rate double, source_size long, target double")
     )
     # Extra copies of a cell go to its buckets in order.
     before = F.coalesce(F.sum("m").over(Window.partitionBy("src", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -118,7 +160,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         fine.select("src", "size", "bucket", F.col("n").alias("m"))
         .withColumn("before", before)
         .join(totals, ["src", "size"])
-        .join(rates, "src")
         .select("src", "size", "bucket", "source_size", "target", "rate", F.expr("total div n").alias("every"), (F.expr("total % n") - F.col("before")).alias("more"))
     )
     rows = key(sized).withColumn("bucket", bucket)

@@ -57,10 +57,48 @@ def test_mix_meets_targets(spark):
 
 
 def test_newton_solves_the_dual(spark):
-    cells = spark.createDataFrame([("a", 10, 5), ("a", 3, 7), ("b", 4, 100)], "src string, size long, n long")
-    goals = spark.createDataFrame([("a", 71, 35.5), ("b", 400, 800.0)], "src string, source_size long, target double")
-    got = {r.src: math.exp(r.lam) for r in mixing.solve_dual(cells, goals).collect()}
-    assert got == pytest.approx({"a": 0.5, "b": 2.0})
+    """Rates differ within a source: the one tilt by size that meets the target, found here by bisection."""
+    rows = [("a", 10, 5), ("a", 3, 7), ("b", 4, 100), ("c", 1, 50), ("c", 400, 3), ("c", 20_000, 1), ("d", 7, 9), ("d", 0, 4), ("e", 0, 3), ("f", 5, 2), ("f", 50, 2)]
+    goals = [("a", 71, 35.5), ("b", 400, 800.0), ("c", 21_250, 30_000.0), ("d", 63, 63.0), ("e", 0, 0.0), ("f", 110, 1.0)]
+    cells = spark.createDataFrame(rows, "src string, size long, n long")
+    got = {r.src: r.lam for r in mixing.solve_dual(cells, spark.createDataFrame(goals, "src string, source_size long, target double")).collect()}
+    for src, _, goal in goals:
+        own = [(z, n) for s, z, n in rows if s == src]
+        take = lambda lam: sum(n * z * min(2.0, math.exp(min(50, lam * z))) for z, n in own)  # noqa: E731, B023
+        if src in "be":
+            assert got[src] is None
+            continue
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if take(mid) < goal else (low, mid)
+        assert take(got[src]) == pytest.approx(goal, rel=1e-8) and got[src] == pytest.approx(low, rel=1e-6, abs=1e-9)
+    assert math.exp(got["a"] * 10) != pytest.approx(math.exp(got["a"] * 3))
+
+
+def test_targets_of_many_sources(spark):
+    rows = [(f"n{i:05d}", f"n{i:05d}" if i else None, (i * 37) % 101) for i in range(2500)]
+    got = {r.src: r.target for r in mixing.targets(spark.createDataFrame(rows, "src string, source string, source_size long").repartition(5)).collect()}
+    want = filled({s: z for _, s, z in rows}, (3, 1, 2), 1.5, 2)
+    assert got == pytest.approx({n: want[s] for n, s, _ in rows})
+
+
+def test_query_takes_near_the_targets(spark):
+    """The query over its whole table against targets filled by hand, and its documents against their bounds."""
+    from seamline.llm import registry
+
+    source = {r.doc_id: (r.source, size(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes, taken = Counter(), Counter()
+    for s, z in source.values():
+        sizes[s] += z
+    want = filled(dict(sizes), (3, 1, 2), 1.5, 2)
+    for r in registry.queries()["op3_mix_sources"](spark, SF).collect():
+        s, z = source[r.doc_id]
+        assert (r.size, r.source_size) == (z, sizes[s]) and r.target == pytest.approx(want[s])
+        assert r.taken == r.copies * z and 0 <= r.copies <= 2
+        taken[s] += r.taken
+    least = {s: min(z for t, z in source.values() if t == s) for s in want}
+    assert all(abs(taken[s] - goal) <= max(least[s], 0.01 * goal) for s, goal in want.items())
 
 
 def tokens(t):
