@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from seamline.llm.common import durable
 
-MAX_ROUNDS = 64
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges, of any orderable type, to (vertex, root), root being the smallest vertex that links reach.
 
@@ -22,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = durable(e)
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round that changes an edge lowers an end of it, so rounds end
         # Large star: every vertex sends its larger neighbours to its smallest one.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -7,12 +7,14 @@ coordinates, and each coordinate keeps its dart of lowest rank. Two texts agree
 to their similarity. Ranks are searched only as far as some ``n ln n`` darts reach, so a signature costs the size of the
 text plus the size of the signature, not their product.
 
-Texts with one multiset are one class before anything is joined. Bands of coordinates file the classes; bands met by very
-many are dealt into blocks and the blocks joined in pairs. A group first emits no more links than members: a spanning
-forest by estimated similarity. Links are then verified on the whole shingle multisets. As a link can fail while another
-one of its member would hold, groups are met again with the components of verified links: members of different
-components are paired, the likeliest pairs first, until every such pair was verified. Connected components of verified
-links give each document its class.
+Texts with one multiset are one class before anything is joined. Bands of coordinates file the classes; a band met by very
+many is dealt into blocks, by hashes of its own, so that its members meet others in each band. A block first emits no more
+links than members: a spanning forest by estimated similarity. Links are then verified on the whole shingle multisets. As
+a link can fail while another one of its member would hold, and as no two blocks of a band have met yet, bands are met
+again with the components of verified links: members of different components are paired, the likeliest pairs first, until
+every such pair of every band was verified. Members of a band's largest component stay in their block, those of all others
+visit every block, so that copies of a row number as many as there is left to compare. Connected components of verified links
+give each document its class.
 
 Defined cases: a null text is the empty one; a text without words is like no other; a text under five words is one
 shingle; rows that share doc_id and text are one document and share its fate; rows that share only doc_id are told apart
@@ -40,7 +42,7 @@ SIMILAR = 0.8
 MAYBE, SURE = 0.6, 0.91
 #: Pairs with other components that each member of a group emits, round by round; None: all.
 ROUNDS = (8, 128, None)
-#: Members of a band's group that are compared in one task.
+#: Members of a band that are compared in one task, and visitors of a block that are compared with it at once.
 BLOCK = 1024
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -178,14 +180,19 @@ def forest(sig: np.ndarray, sizes: np.ndarray | None = None, similar: float = SI
     return links
 
 
-def rivals(sig: np.ndarray, sizes: np.ndarray, root: np.ndarray, degree: np.ndarray, most: int | None, similar: float = SIMILAR) -> tuple[set[tuple[int, int]], bool]:
-    """Pairs of a group's members in different components; and if any were held back.
+def rivals(
+    sig: np.ndarray, sizes: np.ndarray, root: np.ndarray, degree: np.ndarray, most: int | None, similar: float = SIMILAR, home: np.ndarray | None = None, first: bool = True
+) -> tuple[set[tuple[int, int]], bool]:
+    """Pairs of a block's members in different components; and if any were held back.
 
-    Of each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies.
+    A visitor (not at ``home``) is paired with members at home only, and these with each other in the ``first`` crowd only. Of
+    each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies.
     """
     least, links, short = MAYBE * sig.shape[1], set(), False
+    home = np.ones(len(sig), dtype=bool) if home is None else home
     for i in range(len(sig)):
-        other = np.flatnonzero(root != root[i])
+        meets = (home if first else np.zeros(len(sig), dtype=bool)) | ~home if home[i] else home
+        other = np.flatnonzero((root != root[i]) & meets)
         n = _agree(sig, sizes, i, other, similar)
         near = np.flatnonzero(n >= least)
         if most is not None and len(near) > most:
@@ -197,7 +204,7 @@ def rivals(sig: np.ndarray, sizes: np.ndarray, root: np.ndarray, degree: np.ndar
 
 
 def _group(similar: float, most: int | None = 0):
-    """Rows sorted by group to links; a group may run over batches.
+    """Rows sorted by band, block and crowd to links; a group may run over batches.
 
     At first (``most`` 0) by forests, then by rivals; a row without ends tells that links were held back.
     """
@@ -217,8 +224,8 @@ def _group(similar: float, most: int | None = 0):
                     links, short = forest(sig, sizes, similar), False
                 else:
                     known: dict[tuple, int] = {}
-                    root = np.array([known.setdefault(r[5:], len(known)) for r in own])
-                    links, short = rivals(sig, sizes, root, np.array([r[4] for r in own]), most, similar)
+                    root = np.array([known.setdefault(r[6:], len(known)) for r in own])
+                    links, short = rivals(sig, sizes, root, np.array([r[5] for r in own]), most, similar, np.array([r[4] for r in own]), last[2] == 0)
                 out += [(own[min(e)][:2], own[max(e)][:2]) for e in links]
                 if short:
                     out.append((None, None))
@@ -231,10 +238,10 @@ def _group(similar: float, most: int | None = 0):
         for batch in batches:
             out: list = []
             cols = [batch.column(c).to_pylist() for c in batch.schema.names]
-            for band, i, j, *member in zip(*cols, strict=True):
-                if (band, i, j) != last:
+            for band, block, crowd, *member in zip(*cols, strict=True):
+                if (band, block, crowd) != last:
                     flush(out)
-                    last = (band, i, j)
+                    last = (band, block, crowd)
                 held.append(tuple(member))
             yield emit(out)
         out = []
@@ -290,18 +297,37 @@ _LINK = f"a {_VERTEX}, b {_VERTEX}"
 
 
 def _met(members: DataFrame, parts: int) -> DataFrame:
-    """Rows of the groups that share a band, by block pairs; where components are known (root), only of bands that more than one meets."""
+    """Rows of the groups that share a band: some ``BLOCK`` rows at home in a block, and as many visitors at most.
+
+    At first each row is at home in one block of its band. Where components are known (root), only bands that more than one
+    meets are left, and rows outside the band's largest component also visit its other blocks, where they are dealt into
+    crowds; a block's own rows are there for each crowd. The join by band is one that adaptive execution splits where a
+    band has very many rows.
+    """
     known = [c for c in ("degree", "root") if c in members.columns]
     rows = members.select("rep", *known[1:], F.posexplode("bands").alias("n", "band"))
-    met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *[f("root").alias(f.__name__) for f in (F.min, F.max) if known])
-    met = met.where("min <> max" if known else "members > 1").select("band", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.join(met, "band").select("rep", "band", blocks.alias("s"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.select("rep", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    several = lambda n: F.ceil(n / BLOCK).cast("int")
+    if known:
+        met = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("own"))
+        met = met.groupBy("band").agg(F.sum("own").alias("members"), F.max(F.struct("own", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+        blocks = several(F.col("members"))
+        crowds = F.when(blocks > 1, several(F.col("members") - F.col("main.own"))).otherwise(1)
+        met = met.where("roots > 1").select("band", F.col("main.root").alias("main"), blocks.alias("blocks"), crowds.alias("crowds"))
+    else:
+        met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        met = met.select("band", several(F.col("members")).alias("blocks"), F.lit(1).alias("crowds"))
+    dealt = lambda n, *salt: F.pmod(F.xxhash64("rep", "band", *map(F.lit, salt)), n).cast("int")
+    rows = rows.join(met, "band").withColumn("home", dealt(F.col("blocks")))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    places = F.transform(upto(F.col("crowds")), lambda c: F.struct(F.col("home").alias("block"), c.alias("crowd"), F.lit(True).alias("own")))
+    if known:
+        away = F.filter(upto(F.col("blocks")), lambda x: (x != F.col("home")) & (F.col("root") != F.col("main")))
+        places = F.concat(places, F.transform(away, lambda x: F.struct(x.alias("block"), dealt(F.col("crowds"), 1).alias("crowd"), F.lit(False).alias("own"))))
+    rows = rows.select("rep", "band", F.explode(places).alias("at")).select("rep", "band", "at.*")
     rows = rows.join(members.select("rep", "sig", "n_shingles", *known), "rep")
-    own = [F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig", "n_shingles", *known[:1], *[F.col(f"root.{c}").alias(f"_root_{c}") for c in ("id", "fp") if known]]
-    return rows.select("band", "i", "j", *own).repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    own = [F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig", "n_shingles", "own", *known[:1], *[F.col(f"root.{c}").alias(f"_root_{c}") for c in ("id", "fp") if known]]
+    key = ["band", "block", "crowd"]
+    return rows.select(*key, *own).repartition(parts, *key).sortWithinPartitions(*key)
 
 
 def _hold(links: DataFrame, sets: DataFrame, similar: float) -> DataFrame:

@@ -205,6 +205,8 @@ def test_near_duplicates_equal_brute_force(spark):
     want = sorted(((distinct[i][0], distinct[find(i)][0]) for i in range(len(distinct))), key=str)
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
     out = minhash.classify(df)
+    long = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, 60_000))) for i in (1, 2, 9)], "doc_id long, text string")
+    assert {r.component_id for r in minhash.classify(long).collect()} == {1}
     assert sorted(((r.doc_id, r.component_id) for r in out.collect()), key=str) == want
     stay = minhash.keep_first(df)
     assert stay.columns == df.columns
@@ -242,6 +244,33 @@ def test_rivals_of_other_components_are_paired():
     assert minhash.rivals(sig, sizes, np.arange(4), degree, None) == ({(0, 1), (0, 2)}, False)
     assert minhash.rivals(sig, sizes, np.array([0, 1, 2, 0]), 0 * degree, 1) == ({(0, 1), (0, 2)}, True)
     assert minhash.rivals(sig, np.array([100, 79, 100, 100]), np.arange(4), degree, None) == ({(0, 2)}, False)
+    at = np.array([True, False, True, False])  # 1 and 3 visit
+    alike = np.zeros((4, 128), dtype=np.uint8)
+    assert minhash.rivals(alike, sizes, np.arange(4), degree, None, home=at) == ({(0, 1), (0, 2), (0, 3), (1, 2), (2, 3)}, False)
+    assert minhash.rivals(alike, sizes, np.arange(4), degree, None, home=at, first=False) == ({(0, 1), (0, 3), (1, 2), (2, 3)}, False)
+
+
+def test_near_duplicates_of_bands_over_many_blocks(spark, monkeypatch):
+    """Blocks of four rows: families that lie in many blocks, and strays that visit them, end as brute force has them."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for _ in range(25):
+            c = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                c[rng.randrange(120)] = f"v{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(c)))
+    own = [sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sum((own[i] & own[j]).values()) >= 0.8 * sum((own[i] | own[j]).values()) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.component_id for r in minhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == root
 
 
 def test_near_duplicates_of_a_large_family(spark):
