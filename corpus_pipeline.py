@@ -2,6 +2,13 @@
 
 Every stage takes what its predecessor wrote and read back; all but the last return the columns of ``documents``.
 Counted as part of ``seamline.llm``.
+
+Defined cases, in every stage: an empty table gives an empty one; a null doc_id comes before all others; further columns
+pass through the first four stages, whatever their names. A null or empty text fails the quality rules, so later stages
+of a run meet none; taken alone, they keep it (near_dedup: it is like no other; passage_dedup: nothing goes from it;
+source_mix: it has no words and is taken once; token_ids: it has no ids). Repeated rows are judged alike in quality_rules;
+they are one document in near_dedup and passage_dedup, which keep or drop them together; source_mix and token_ids take
+them one by one. Texts are whole at any length.
 """
 
 from __future__ import annotations
@@ -44,8 +51,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each taken document and the digest of what they decode to (op1)."""
-    return bpe.encode_documents(docs.select("doc_id", "source", "text"), ids=False, digests=True)
+    """Token ids of each taken document, their number, and digests of them and of what they decode to (op1)."""
+    return bpe.encode_documents(docs.select("doc_id", "source", "text"), ids=True, digests=True).drop("decoded")
 
 
 STAGES = [
@@ -60,10 +67,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's table goes as soon as the next one stands."""
     docs = table(spark, sf_dir, "documents")
-    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    home, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{home}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if last:
+            _remove(spark, last)
+        last = path
     return docs
