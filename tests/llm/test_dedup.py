@@ -323,4 +323,6 @@ def test_embeddings_equal_brute_force(spark):
     assert found >= 0.99 * near.sum()
     assert sum(got[i].component_id == ids[root[k]] for k, i in enumerate(ids)) >= 0.99 * len(ids)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, _ in bad)
+    odd = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (1, [-x for x in rows[0][1]])], "vec_id long, embedding array<double>")
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in caps.link(odd).collect()), key=str) == [(1, 0, 1), (1, 1, None), (None, 1, None)]
     assert caps.link(df.limit(0)).count() == 0
