@@ -6,10 +6,10 @@ one count in each class. So the states' tables have a bounded size, whatever the
 corpus enter the probabilities; and these sum to one over all known words and the classes' unknown ones. Small vocabularies
 get fewer classes (one for each ``TYPES`` words), lest the classes' unknown words take a share of their own.
 
-1. Documents become blocks of token numbers, and each block a row per word of its own. Counts of words are an aggregate
-   over these rows, joined back to them, so no task ever holds the vocabulary and none is broadcast.
+1. Documents become blocks of token numbers, and each block a row per word of its own. Counts of words are sums over
+   these rows by word, of which each block has one, so no task ever holds the vocabulary and none is broadcast.
 2. Baum-Welch: each task runs scaled forward and backward passes over its blocks' training texts and adds up expected
-   counts; Spark sums these across tasks, which gives the next parameters. Texts are whole, however long: a pass keeps
+   counts, which are summed across tasks in two steps and give the next parameters. Texts are whole, however long: a pass keeps
    the states at the edges of stretches of ``ROWS`` tokens and goes back over a stretch from its edge, which bounds memory and
    changes no number. The first ``WARM`` rounds take one shard of the training texts each, in turn, to part the states
    from their random start; then rounds take all training texts, until one adds less than ``GAIN`` to the mean
@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.common import arrow_map, durable
@@ -49,13 +49,17 @@ SHARD_TOKENS = 200_000
 ROWS, EVERY = 1 << 16, 8
 #: Weight of the corpus' class shares in each state's emissions, of a flat count in moves, and the start's staying rate.
 SMOOTH, FLAT, STAY = 2000.0, 1.0, 0.9
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+#: A word's place: its block's number, and in the lower bits its own.
+BITS = 24
+#: Rows in which tasks send their expected counts, and tasks whose rows are added up first.
+PIECES, FAN = 64, 256
 SEED = 7
 #: Spark's own seed of xxhash64, so that tasks and SQL agree on a word's class.
 HASH_SEED = 42
 
-_STAGE = "block long, data binary, word string, number int, n long"
-_SCHEMA = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("word", pa.string()), ("number", pa.int32()), ("n", pa.int64())])
+_STAGE = "place long, data binary, word string, n long"
+_SCHEMA = pa.schema([("place", pa.int64()), ("data", pa.binary()), ("word", pa.string()), ("n", pa.int64())])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -86,7 +90,7 @@ def fold(doc_id: int | None) -> int:
 
 def _blocks(batches):
     """Documents to blocks: a row with the block's texts as word numbers, and a row per word with its count in training texts."""
-    home, number = TaskContext.get().partitionId() << 24, 0
+    home, number = TaskContext.get().partitionId() << 16, 0
     words, ids, docs, size = Numbers(), [], [], 0
 
     def flush():
@@ -99,10 +103,9 @@ def _blocks(batches):
         classes = np.fromiter((xxhash.xxh64_intdigest(w, seed=HASH_SEED) % CLASSES for w in vocabulary), np.uint16, count=len(vocabulary))
         k = len(vocabulary)
         cols = [
-            np.full(k + 1, home + number),
+            ((home + number) << BITS) + np.append(0, np.arange(k)),
             [_pack(doc, crc, null, length, flat, classes)] + [None] * k,
             [None] + [w.decode() for w in vocabulary],
-            [None, *range(k)],
             [None, *counts.tolist()],
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
@@ -113,7 +116,7 @@ def _blocks(batches):
             ids.append(np.fromiter(map(words.__getitem__, raw), np.int32, count=len(raw)))
             docs.append((0 if d is None else d, fold(d), d is None))
             size += 8 * len(raw) + 16
-            if size >= BLOCK:
+            if size >= BLOCK or len(words) >= 1 << (BITS - 1):
                 yield flush()
                 words, ids, docs, size, number = Numbers(), [], [], 0, number + 1
     if docs:
@@ -256,11 +259,10 @@ def _read_docs(data: bytes, folded: int):
 
 
 def _expect(model: Model, shard: int | None, shards: int):
-    """Blocks to this task's expected counts: rows of classes, and under negative numbers starts, moves and likelihood."""
-    k = len(model.start)
-    names = ["symbol", *(f"s{z}" for z in range(k))]
+    """Blocks to this task's expected counts, in PIECES rows and one with starts, moves and likelihood."""
 
     def run(batches):
+        k = len(model.start)
         starts, moves, emits, fit = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k)), 0.0
         for batch in batches:
             for data in batch.column("data"):
@@ -272,35 +274,42 @@ def _expect(model: Model, shard: int | None, shards: int):
                 if own.any():
                     got = expect(model, InStep(symbols, begin[own], length[own]))
                     starts, moves, emits, fit = starts + got[0], moves + got[1], emits + got[2], fit + got[3]
-        some = np.flatnonzero(emits.any(axis=1))
-        table = np.vstack((emits[some], starts, moves, np.full(k, fit)))
-        symbol = np.concatenate((some, -1 - np.arange(k + 2)))
-        yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int32()), *(pa.array(c) for c in table.T)], names)
+        rows = [(i, part.tobytes()) for i, part in enumerate(np.array_split(emits, PIECES))]
+        rows.append((PIECES, np.concatenate((starts, moves.reshape(-1), [fit])).tobytes()))
+        few = TaskContext.get().partitionId() // FAN
+        yield pa.RecordBatch.from_arrays([pa.array([few] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["few", "piece", "data"])
 
     return run
 
 
+def _add(key, table):
+    total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in table.column("data")], axis=0)
+    return pa.table({"piece": pa.array([key[-1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(blocks: DataFrame, share: np.ndarray, tokens: int, states: int = STATES) -> Model:
     """Baum-Welch over the blocks. What reaches the driver in a round has the model's size, which is fixed."""
     model = Model.begin(share, states)
     shards = min(SHARDS, max(1, tokens // SHARD_TOKENS))
-    names = [f"s{z}" for z in range(states)]
-    warm, last = [i % shards for i in range(WARM)], None
+    # A shard is one of some texts of some blocks, so that its round need not read all blocks where there are many.
+    apart = min(shards, max(1, blocks.count() // SHARDS))
+    within = -(-shards // apart)
+    warm, last = [i % (apart * within) for i in range(WARM)], None
     while True:
         shard = warm.pop(0) if warm else None
-        sent = arrow_map(blocks.select("data"), _expect(model, shard, shards), ", ".join(["symbol int", *(f"{c} double" for c in names)]), rows=1)
-        got = sent.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-        if not got.num_rows:
+        own = blocks if shard is None else blocks.where(F.pmod(F.shiftright("place", BITS), F.lit(apart)) == shard % apart)
+        sent = arrow_map(own.select("data"), _expect(model, None if shard is None else shard // apart, within), "few int, piece int, data binary", rows=1)
+        piece = "piece int, data binary"
+        got = sent.groupBy("few", "piece").applyInArrow(_add, piece).groupBy("piece").applyInArrow(_add, piece).collect()
+        if not got:
             return model
-        table = np.zeros((len(share) + states + 2, states))
-        table[got.column("symbol").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], axis=1)  # negative numbers count from the end
-        rest = table[len(share) :][::-1]
-        model = Model.fit(rest[0], rest[1 : states + 1], table[: len(share)], share)
+        rows = [np.frombuffer(r["data"], np.float64) for r in sorted(got)]
+        rest = rows[-1]
+        model = Model.fit(rest[:states], rest[states:-1].reshape(states, states), np.concatenate(rows[:-1]).reshape(-1, states), share)
         if shard is None:
-            fit = rest[-1][0]
-            if last is not None and fit - last < GAIN * tokens:
+            if last is not None and rest[-1] - last < GAIN * tokens:
                 return model
-            last = fit
+            last = rest[-1]
 
 
 def _score(model: Model, tokens: int, types: int, ends: int, class_mass: np.ndarray):
@@ -312,7 +321,7 @@ def _score(model: Model, tokens: int, types: int, ends: int, class_mass: np.ndar
     def run(block, counts):
         doc, crc, null, length, symbols, flat, classes = _read_docs(block.column("data")[0].as_py(), len(class_mass) - 1)
         count = np.zeros(len(classes) + 1, dtype=np.int64)
-        count[counts.column("number").to_numpy()] = counts.column("total").to_numpy()
+        count[counts.column("place").to_numpy() & ((1 << BITS) - 1)] = counts.column("total").to_numpy()
         count[-1] = ends
         begin = np.cumsum(length) - length
         number = np.full(len(symbols), len(classes), dtype=np.int64)
@@ -333,17 +342,18 @@ def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFram
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     met = durable(arrow_map(source, _blocks, _STAGE, rows=256))
-    blocks = met.where("data is not null").select("block", "data")
-    words = met.where("word is not null").select("block", "word", "number", "n")
-    counted = durable(words.groupBy("word").agg(F.sum("n").alias("total")))
+    blocks = met.where("data is not null").select("place", "data")
+    # A word has a row for each block that knows it: no key is hotter than the number of blocks.
+    same = Window.partitionBy("word")
+    words = met.where("word is not null").select("place", "word", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("place")).alias("nth"))
+    counted = durable(words.select("place", "total", F.when((F.col("nth") == 1) & (F.col("total") > 0), F.pmod(F.xxhash64("word"), F.lit(CLASSES))).alias("class")))
 
     def ends(batches):
         for batch in batches:
             n = [int((_unpack(x.as_py(), np.int64, np.int64)[1] % FOLDS != HELD).sum()) for x in batch.column("data")]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-    by_class = counted.where("total > 0").groupBy(F.pmod(F.xxhash64("word"), F.lit(CLASSES)).alias("class"))
-    known = by_class.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("types")).collect()  # CLASSES rows at most
+    known = counted.where("class is not null").groupBy("class").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("types")).collect()  # CLASSES rows at most
     n_ends = arrow_map(blocks.select("data"), ends, "n long", rows=1).agg(F.sum("n")).first()[0] or 0
     tokens = sum(r["n"] for r in known) + n_ends
     types = sum(r["types"] for r in known) + (n_ends > 0)
@@ -353,6 +363,7 @@ def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFram
         mass[r["class"] % folded] += r["n"] + r["types"]
     mass[folded] = n_ends + 1
     model = train(blocks, mass / mass.sum(), tokens, states)
-    told = words.join(counted, "word").select(F.col("block").alias("of"), "number", "total")
+    told = counted.select("place", "total", F.shiftright("place", BITS).alias("of"))
+    blocks = blocks.select("data", F.shiftright("place", BITS).alias("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_score(model, tokens, types, n_ends, mass), schema)
