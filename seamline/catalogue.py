@@ -14,6 +14,8 @@ MODULES: tuple[str, ...] = (
     "q_more",
     "q_profiles",
     "q_repair",
+    "q_reads",
+    "q_tables",
     "q_streaming",
 )
 

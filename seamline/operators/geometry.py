@@ -53,7 +53,7 @@ def reference_length(lengths: DataFrame, eps: float, by: str = "recording", pct:
 
 def violations(lengths: DataFrame, ref: DataFrame, eps: float, by: str = "recording") -> DataFrame:
     """Adds viol: the length exceeds its reference by more than eps; what cannot be measured does not."""
-    return lengths.join(F.broadcast(ref), [by, "bone"], "left").withColumn("viol", F.coalesce(finite(F.col("d")) / F.col("l_hat") > 1 + eps, F.lit(False)))
+    return lengths.join(ref, [by, "bone"], "left").withColumn("viol", F.coalesce(finite(F.col("d")) / F.col("l_hat") > 1 + eps, F.lit(False)))
 
 
 def attribution(viol: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.operators.segments import durable
+
 
 def group_counts(df: DataFrame, by: Sequence[str], mask: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(F.col(mask).cast("bigint")).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -33,21 +36,51 @@ def lorenz(counts: DataFrame, key: str, shares: Sequence[float] = (0.01, 0.05, 0
     return ranked.agg(*tops, gini.alias("gini"))
 
 
-def quantile_edges(df: DataFrame, value: str, n_bins: int) -> DataFrame:
-    """One row: distinct quantile edges of a value, exact and linearly interpolated."""
-    probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(value, probs))).alias("edges"))
-
-
-def bucket(value: Column, edges: Column) -> Column:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
+    """Exact quantiles of a whole column, linearly interpolated, without a task that sees all of it.
+
+    Rows are counted by value, values dealt by ranges, and the ranges' sizes tell in which one a rank lies and how far in.
+    The driver sees a row per range and two per quantile.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("part").agg(F.min("v").alias("least"), F.sum("n").alias("n")).orderBy("least").collect()
+    total = sum(r["n"] for r in parts)
+    if not total:
+        return []
+    spots = [p * (total - 1) for p in probs]
+    before, wanted = 0, {}
+    for r in parts:
+        own = sorted({k for x in spots for k in (math.floor(x), math.ceil(x)) if before <= k < before + r["n"]})
+        if own:
+            wanted[r["part"]] = (before, own)
+        before += r["n"]
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    rows = counts.where(F.col("part").isin(list(wanted))).withColumn("upto", upto)
+    hit = F.lit(False)
+    for part, (start, own) in wanted.items():
+        for k in own:
+            hit = hit | ((F.col("part") == part) & (F.col("upto") > k - start) & (F.col("upto") - F.col("n") <= k - start))
+    at = {}
+    for r in rows.where(hit).collect():
+        start, own = wanted[r["part"]]
+        at |= {k: float(r["v"]) for k in own if r["upto"] - r["n"] <= k - start < r["upto"]}
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in spots]
+
+
+def quantile_edges(df: DataFrame, value: str, n_bins: int) -> list[float]:
+    """Distinct quantile edges of a value."""
+    return sorted(set(quantiles(df, value, [i / n_bins for i in range(n_bins + 1)])))
+
+
+def bucket(value: Column, edges: Sequence[float]) -> Column:
     """Edges at or under the value, less one, clipped to the bins."""
-    return F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= value)) - 1, F.lit(0)), F.size(edges) - 2)
+    return F.least(F.greatest(sum((value >= e).cast("int") for e in edges) - 1, F.lit(0)), F.lit(len(edges) - 2))
 
 
 def profile(df: DataFrame, value: str, mask: str, n_bins: int = 10) -> DataFrame:
     """Rate of a mask by quantile bin of a value."""
-    edges = F.broadcast(quantile_edges(df, value, n_bins))  # one row
-    out = df.crossJoin(edges).withColumn("bin", bucket(F.col(value), F.col("edges")))
+    out = df.withColumn("bin", bucket(F.col(value), quantile_edges(df, value, n_bins)))
     return out.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(mask).cast("int")).alias("rate"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 

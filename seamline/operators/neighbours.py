@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +37,16 @@ def knn(bank: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
             bu, ba, bv = unit[~asks], animal[~asks], vec[~asks]
             order = np.argsort(bu, kind="stable")
             bu, ba, bv = bu[order], ba[order], bv[order]
-            for u, a, v in zip(unit[asks], animal[asks], vec[asks], strict=True):
-                d = np.sqrt(((bv - v) ** 2).sum(axis=1))
-                d[ba == a] = np.inf
-                near = heapq.nsmallest(k, range(len(d)), key=lambda i: (d[i], bu[i]))  # noqa: B023
-                out += [(int(u), int(bu[i]), float(d[i])) for i in near if np.isfinite(d[i])]
+            qv, size = vec[asks], (bv * bv).sum(axis=1)
+            rough = (qv * qv).sum(axis=1)[:, None] + size[None, :] - 2 * (qv @ bv.T)
+            rough[animal[asks][:, None] == ba[None, :]] = np.inf
+            slack = 1e-9 * (1 + size.max() + (qv * qv).sum(axis=1).max())  # far over the product's rounding
+            last = np.partition(rough, min(k, len(bu)) - 1, axis=1)[:, min(k, len(bu)) - 1]
+            for u, v, row, most in zip(unit[asks], qv, rough, last, strict=True):
+                near = np.flatnonzero((row <= most + slack) & np.isfinite(row))
+                d = np.sqrt(((bv[near] - v) ** 2).sum(axis=1))  # of the few that may be among the nearest, exactly
+                best_of = np.lexsort((bu[near], d))[:k]
+                out += zip([int(u)] * len(best_of), bu[near[best_of]].tolist(), d[best_of].tolist(), strict=True)
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"query": pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 
@@ -67,16 +70,17 @@ def union_end(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / m)
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(a, b) to (unit, component): the smallest unit that edges reach, by minimum labels that also jump to their label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) to (unit, component): the smallest unit that edges reach, by minimum labels that also jump to their label's label.
+
+    Rounds go on until no label falls any more."""
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("unit"), "c"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("unit").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
         step = labels.join(near.withColumnRenamed("a", "unit"), "unit").select("unit", F.least("c", "n").alias("n"), F.col("c").alias("was"))
         jump = step.join(labels.select(F.col("unit").alias("n"), F.col("c").alias("j")), "n", "left")
         new = durable(jump.select("unit", F.least("n", F.coalesce("j", "n")).alias("c"), "was"))
         labels = new.select("unit", "c")
         if new.where("c <> was").isEmpty():
-            break
-    return labels.withColumnRenamed("c", "component")
+            return labels.withColumnRenamed("c", "component")

@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 200
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only a local session may go without one and gets its own."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seamline-"))
+    return named or sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names; a local session without one gets a temporary folder."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seamline-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -47,26 +54,31 @@ def mad_threshold(d: DataFrame, k: float, value: str = "d") -> DataFrame:
 def local_maxima(d: DataFrame, thresholds: DataFrame, value: str = "d") -> DataFrame:
     """Frames over their recording's threshold, at least as high as the frame before and higher than the one after."""
     w = Window.partitionBy("recording").orderBy("t")
-    df = d.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).join(F.broadcast(thresholds), "recording")
+    df = d.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).join(thresholds, "recording")
     return df.where((F.col(value) > F.col("threshold")) & (F.col(value) >= F.col("_a")) & (F.col(value) > F.col("_b"))).select("recording", "t", value)
 
 
 def suppress(peaks: DataFrame, gap: int, value: str = "d") -> DataFrame:
-    """Tallest-first suppression within ``gap`` frames, as rounds: a peak that is the best of its surroundings stays, and
-    what lies near one that stays goes, until all are decided. Ties go to the earlier frame."""
-    best = Window.partitionBy("recording").orderBy("t").rangeBetween(-(gap - 1), gap - 1)
-    rest, kept = durable(peaks.select("recording", "t", value)), None
-    for _ in range(MAX_ROUNDS):
-        top = F.max(F.struct(F.col(value).alias("v"), (-F.col("t")).alias("nt"))).over(best)
-        rest = rest.withColumn("stays", (top["nt"] == -F.col("t")))
-        near = F.bool_or("stays").over(best)
-        done = durable(rest.withColumn("near", near))
-        stays = done.where("stays").select("recording", "t", value)
-        kept = stays if kept is None else kept.unionByName(stays)
-        rest = done.where("not near").select("recording", "t", value)
-        if rest.isEmpty():
-            break
-    return kept
+    """Tallest-first suppression within ``gap`` frames: the tallest peak left stays, what lies nearer than ``gap`` to it goes.
+
+    Ties go to the earlier frame. Peaks ``gap`` or more apart with none between do not matter to each other, so each
+    cluster of nearer ones is decided by itself, however many rounds its peaks would take.
+    """
+    order = Window.partitionBy("recording").orderBy("t")
+    fresh = F.coalesce((F.col("t") - F.lag("t").over(order) >= gap).cast("int"), F.lit(0))
+    clusters = peaks.select("recording", "t", F.col(value).alias("v"), fresh.alias("_new")).withColumn("cluster", F.sum("_new").over(order))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        t, gone, keep = pdf["t"].to_numpy(), np.zeros(len(pdf), dtype=bool), []
+        for i in np.lexsort((t, -pdf["v"].to_numpy())):
+            if not gone[i]:
+                keep.append(i)
+                gone[np.searchsorted(t, t[i] - gap, side="right") : np.searchsorted(t, t[i] + gap, side="left")] = True
+        return pdf.loc[keep, ["recording", "t", "v"]]
+
+    kept = clusters.groupBy("recording", "cluster").applyInPandas(decide, f"recording {peaks.schema['recording'].dataType.simpleString()}, t long, v double")
+    return kept.select("recording", "t", F.col("v").alias(value))
 
 
 def segment_table(frames: DataFrame, peaks: DataFrame, guard: int, least: int) -> DataFrame:
@@ -103,7 +115,7 @@ def match_marks(a: DataFrame, b: DataFrame, tol: int) -> DataFrame:
     right = b.select("clip", F.col("frame").alias("fb"), F.floor(F.col("frame") / size).alias("_k"))
     rest = left.join(right, ["clip", "_k"]).drop("_k").withColumn("d", F.abs(F.col("fa") - F.col("fb"))).where(F.col("d") <= tol)
     rest, kept = durable(rest), None
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round keeps the best pair that is left, so rounds end
         order = F.struct("d", "fa", "fb")
         mine = F.min(order).over(Window.partitionBy("clip", "fa"))
         theirs = F.min(order).over(Window.partitionBy("clip", "fb"))
@@ -114,8 +126,7 @@ def match_marks(a: DataFrame, b: DataFrame, tol: int) -> DataFrame:
         kept = now if kept is None else kept.unionByName(now)
         rest = df.where("not ua and not ub").select("clip", "fa", "fb", "d")
         if rest.isEmpty():
-            break
-    return kept
+            return kept
 
 
 def prf(a: DataFrame, b: DataFrame, matched: DataFrame, by: str = "clip") -> DataFrame:

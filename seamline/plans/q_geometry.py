@@ -88,7 +88,7 @@ def edgeness(spark, sf_dir):
     q = lambda col: F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     ref = c.groupBy("recording").agg(q("cx").alias("qx"), q("cy").alias("qy"))
     z = lambda v, s: (F.col(v) - F.get(s, 1)) / F.greatest(F.get(s, 2) - F.get(s, 0), F.lit(1e-9))
-    out = c.join(F.broadcast(ref), "recording")  # one row per recording
+    out = c.join(ref, "recording")
     return out.select("recording", "t", R(F.sqrt(z("cx", "qx") ** 2 + z("cy", "qy") ** 2)).alias("edgeness"))
 
 
@@ -100,7 +100,9 @@ def _lengths_sql(pairs, name="len"):
     return f"{name} AS (SELECT p.recording, p.t, b.bone, b.i, b.j, sqrt((p.x - q.x)**2 + (p.y - q.y)**2) AS d FROM (VALUES {vals}) b(bone, i, j) JOIN kp p ON p.k = b.i JOIN kp q ON q.k = b.j AND q.recording = p.recording AND q.t = p.t)"
 
 
-_LEN = f"{a.POSE_SQL}, {_lengths_sql(g.BONES)}"
+#: One scan and no join: a row's bones from its own vector.
+_LEN = f"""{a.POSE_SQL}, len AS (SELECT recording, t, bone, i, j, sqrt((e[2*i+1]::DOUBLE - e[2*j+1]::DOUBLE)**2 + (e[2*i+2]::DOUBLE - e[2*j+2]::DOUBLE)**2) AS d
+  FROM pose, (VALUES {", ".join(f"({b}, {i}, {j})" for b, (i, j) in enumerate(g.BONES))}) b(bone, i, j))"""
 _VIOL = f"{_LEN}, ref AS (SELECT recording, bone, quantile_cont(d, 0.9) AS l_hat FROM len GROUP BY ALL), viol AS (SELECT len.*, coalesce(d / l_hat > {1 + EPS}, false) AS viol FROM len JOIN ref USING (recording, bone))"
 _MASK = f"{_VIOL}, vm AS (SELECT recording, t, bool_or(viol) AS violated, count(*) FILTER (viol) AS n_bones FROM viol GROUP BY ALL)"
 _TRIM = "".join(f", r{i} AS (SELECT recording, bone, quantile_cont(d, 0.99) AS l_hat FROM len JOIN r{i - 1} USING (recording, bone) WHERE d <= l_hat * {1 + EPS} GROUP BY ALL)" for i in (1, 2, 3))

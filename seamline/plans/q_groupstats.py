@@ -11,7 +11,7 @@ from seamline.plans.q_ordered import RUNS_SQL, runs
 from seamline.sources import adapters as a
 
 R = lambda c, n=6: F.round(c, n)
-N_BOOT = 200
+N_BOOT = 2000
 
 
 def _counts(spark, sf_dir):
@@ -72,7 +72,7 @@ def occupancy_gini(spark, sf_dir):
 
 def cell_occupancy(spark, sf_dir):
     """Weighted share of a label per animal, day and context."""
-    c = a.cells(spark, sf_dir).where("day between 1993 and 1997").groupBy("animal", "day", "context")
+    c = a.cells(spark, sf_dir).groupBy("animal", "day", "context")
     return c.agg(F.sum("n_frames").alias("den"), R(F.sum(F.when(F.col("label"), F.col("n_frames")).otherwise(0)) / F.sum("n_frames")).alias("occ"))
 
 
@@ -174,7 +174,7 @@ _LORENZ = lambda c, shares: f"""r AS (SELECT *, row_number() OVER (ORDER BY k DE
 _TOP = lambda s: f"round(sum(k) FILTER (hi <= greatest(1, round_even(g * {s}, 0))) / max(s), 6)"
 _GINI = "round(sum((2 * lo - g - 1) * k) / (max(g) * max(s)), 6)"
 _RANK = lambda c, by="animal": f"(rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2)"
-_OCC = f"""{a.CELLS_SQL}, occ AS (SELECT animal, day, context, sum(n_frames) AS den, round(coalesce(sum(n_frames) FILTER (label), 0) / sum(n_frames), 6) AS occ FROM cells WHERE day BETWEEN 1993 AND 1997 GROUP BY ALL)"""
+_OCC = f"""{a.CELLS_SQL}, occ AS (SELECT animal, day, context, sum(n_frames) AS den, round(coalesce(sum(n_frames) FILTER (label), 0) / sum(n_frames), 6) AS occ FROM cells GROUP BY ALL)"""
 _DELTA = f"{_OCC}, dl AS (SELECT x.animal, x.day, round(y.occ - x.occ, 6) AS delta FROM occ x JOIN occ y USING (animal, day) WHERE x.context = 'A' AND y.context = 'B' AND x.den >= 10 AND y.den >= 10)"
 _MEDIAN = f"""{a.FRAMES_SQL}, f AS (SELECT recording, t, x, code, count(*) OVER (PARTITION BY recording) AS n FROM frames),
 m AS (SELECT *, true AS own FROM f UNION ALL SELECT recording, -t, x, code, n, false FROM f WHERE n > 5 AND t BETWEEN 1 AND 2

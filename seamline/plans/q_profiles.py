@@ -16,7 +16,8 @@ from seamline.plans import q_segments as qs
 from seamline.sources import adapters as a
 
 R = lambda c, n=6: F.round(c, n)
-MEMBERS = 40
+#: Members of a component that are measured at most: larger ones are drawn from.
+MEMBERS = 400
 
 
 def equal_windows(spark, sf_dir):
@@ -73,7 +74,7 @@ def shuffled_ceiling(spark, sf_dir):
     both = left.join(mixed.select("recording", "t", F.col("k").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by")), ["recording", "t", "j"])
     d = both.withColumn("d", F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))
     ref = qgeo.lengths(spark, sf_dir).groupBy("recording", "bone").agg(F.percentile("d", 0.9).alias("l_hat"))
-    out = d.join(F.broadcast(ref), ["recording", "bone"])
+    out = d.join(ref, ["recording", "bone"])
     return out.groupBy("bone").agg(F.count(F.lit(1)).alias("n"), R(F.avg((F.col("d") / F.col("l_hat") > 1 + qgeo.EPS).cast("int"))).alias("rate"))
 
 
@@ -99,7 +100,7 @@ def fdr_per_animal(spark, sf_dir):
     sign = F.when(rs.draw("fdr", F.col("rep"), F.col("pair")) % 2 == 0, 1).otherwise(-1)
     null = reps.groupBy("animal", "rep").agg(F.avg(F.col("delta") * sign).alias("m"))
     obs = d.groupBy("animal").agg(F.avg("delta").alias("obs"))
-    per = null.join(F.broadcast(obs), "animal").groupBy("animal").agg(R((F.sum((F.abs(F.col("m")) >= F.abs(F.col("obs")) - 1e-12).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    per = null.join(obs, "animal").groupBy("animal").agg(R((F.sum((F.abs(F.col("m")) >= F.abs(F.col("obs")) - 1e-12).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
     return p.false_discoveries(per.select("animal", "p"), q=0.5).select("animal", "p", "rank", "rejected")
 
 
@@ -112,7 +113,7 @@ def detectable_effect(spark, sf_dir):
 
 
 def clump_diameter(spark, sf_dir):
-    """Widest and median distance among up to 40 drawn members of each component (a sampling operator by its contract)."""
+    """Widest and median distance among a component's members, up to 400 of them by draw (a sampling operator by its contract)."""
     c = qs.clump_components(spark, sf_dir).join(a.bank(spark, sf_dir).select("unit", "vec"), "unit")
     c = rs.subsample(c, "unit", MEMBERS, 5, ("component",))
     pair = c.alias("l").join(c.alias("r"), F.col("l.component") == F.col("r.component"))

@@ -24,7 +24,7 @@ def projection_fold(spark, sf_dir):
     ref = qgeo.lengths(spark, sf_dir).groupBy("recording", "bone").agg((F.percentile("d", 0.9) * (1 + qgeo.EPS)).alias("r"))
     ends = [(b, i, j) for b, (i, j) in enumerate(g.BONES)] + [(b, j, i) for b, (i, j) in enumerate(g.BONES)]
     bones = F.broadcast(spark.createDataFrame(ends, "bone int, k int, other int"))
-    c = sus.join(bones, "k").join(F.broadcast(ref), ["recording", "bone"])
+    c = sus.join(bones, "k").join(ref, ["recording", "bone"])
     c = c.join(kp.select("recording", "t", F.col("k").alias("other"), F.col("x").alias("px"), F.col("y").alias("py")), ["recording", "t", "other"])
     discs = c.groupBy("recording", "t", "k").agg(F.sort_array(F.collect_list(F.struct("px", "py", "r"))).alias("discs"))  # two bones at most
     out = g.project(discs.join(kp, ["recording", "t", "k"]), ROUNDS)

@@ -12,12 +12,10 @@ def path_in(roots: dict[str, str], root: str, *parts: str) -> str:
     return "/".join([roots[root].rstrip("/"), *parts])
 
 
-def manifest(spark: SparkSession, path: str, glob: str = "*", largest: int = 64 << 20) -> DataFrame:
-    """name, length and SHA-256 of each file under a path; files over ``largest`` bytes are known by length alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    listed = files.load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "path")
-    small = files.load(path).where(F.col("length") <= largest).select("path", F.sha2("content", 256).alias("sha256"))
-    return listed.join(small, "path", "left").select("name", "length", "sha256")
+def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """name, length and SHA-256 of the whole of each file under a path; a file over 2 GB is an error, not an entry without digest."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def digest(entries: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ recording; rows of a recording must arrive in order of time, batch by batch (wit
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seamline.operators.segments import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder below the one that the session shares; only a session without one gets a temporary folder."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='seamline-')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that the session shares."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
