@@ -143,3 +143,66 @@ def test_empty_two_by_two(spark):
 def test_contract_refuses_other_types(spark):
     with pytest.raises(ValueError):
         a.check_contract(spark.range(1), "frames")
+
+
+def test_suppression_decides_long_chains(spark):
+    """A thousand rising peaks within each other's gap, of which every third from the top stays, and two lone ones."""
+    from seamline.operators import segments
+
+    rows = [(1, t, float(t)) for t in range(0, 2000, 2)] + [(1, 5000, 1.0), (2, 7, 3.0)]
+    got = {(r.recording, r.t) for r in segments.suppress(spark.createDataFrame(rows, "recording long, t long, d double"), 5).collect()}
+    assert got == {(1, t) for t in range(1998, -1, -6)} | {(1, 5000), (2, 7)}
+    assert segments.suppress(spark.createDataFrame([], "recording long, t long, d double"), 5).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    from seamline.operators import neighbours
+
+    got = neighbours.components(spark.createDataFrame([(i, i + 1) for i in range(700)], "a long, b long")).collect()
+    assert len(got) == 701 and {r.component for r in got} == {0}
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from seamline.operators import groupstats
+
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(0, 9, 500).astype(float), rng.standard_normal(777), np.array([2.0])):
+        probs = [0, 0.001, 0.25, 0.5, 0.9, 1]
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(6)
+        assert np.allclose(groupstats.quantiles(df, "x", probs), np.quantile(x, probs))
+    assert groupstats.quantiles(df.limit(0), "x", [0.5]) == []
+
+
+def test_nearest_neighbours_equal_all_pairs(spark):
+    import numpy as np
+
+    from seamline.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    vec = rng.integers(0, 3, (90, 4)).astype(float)  # many ties
+    rows = [(i, i % 7, vec[i].tolist()) for i in range(90)]
+    got = sorted((r.query, r.rank, r.neighbour) for r in neighbours.knn(spark.createDataFrame(rows, "unit long, animal int, vec array<double>"), 4).collect())
+    want = []
+    for i in range(90):
+        d = np.sqrt(((vec - vec[i]) ** 2).sum(axis=1))
+        order = sorted((j for j in range(90) if j % 7 != i % 7), key=lambda j: (d[j], j))
+        want += [(i, k + 1, j) for k, j in enumerate(order[:4])]
+    assert got == sorted(want)
+
+
+def test_growing_sides_are_not_hinted(spark):
+    from seamline import catalogue
+
+    for name in ("edgeness", "violations_mask", "local_maxima"):
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_frames_of_windows_and_allocation():
+    from seamline.plans import q_tables
+
+    assert [q_tables.window_frames(s) for s in (0, 0.1, 0.2, 1)] == [1, 3, 7, 31]
+    assert q_tables.guard_frames() == 3 and q_tables.least_frames(3) == 12
+    assert q_tables.allocate(64, 5) == [13, 13, 13, 13, 12]
