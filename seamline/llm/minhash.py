@@ -12,7 +12,8 @@ many is dealt into blocks, by hashes of its own, so that its members meet others
 links than members: a spanning forest by estimated similarity. Links are then verified on the whole shingle multisets. As
 a link can fail while another one of its member would hold, and as no two blocks of a band have met yet, bands are met
 again with the components of verified links: members of different components are paired, the likeliest pairs first, until
-every such pair of every band was verified. Members of a band's largest component stay in their block, those of all others
+every such pair of every band was verified. The smallest hashes of both multisets decide there which pairs are worth it:
+exactly for short texts, of which a block then emits a forest only, and by a second, finer estimate for long ones. Members of a band's largest component stay in their block, those of all others
 visit every block, so that copies of a row number as many as there is left to compare. Connected components of verified links
 give each document its class.
 
@@ -42,6 +43,10 @@ SIMILAR = 0.8
 MAYBE, SURE = 0.6, 0.91
 #: Pairs with other components that each member of a group emits, round by round; None: all.
 ROUNDS = (8, 128, None)
+#: Smallest hashes of a multiset that stand for it where components meet; a multiset of no more is compared exactly there.
+BOTTOM = 512
+#: Deviations that an estimate from these may lie under the least similarity before its pair is left out: once in 300,000.
+DEVIATIONS = 4.5
 #: Members of a band that are compared in one task, and visitors of a block that are compared with it at once.
 BLOCK = 1024
 _U = np.uint64
@@ -180,21 +185,61 @@ def forest(sig: np.ndarray, sizes: np.ndarray | None = None, similar: float = SI
     return links
 
 
+def bottom(hashes: np.ndarray) -> bytes:
+    """The ``BOTTOM`` smallest hashes of a sorted multiset, five bytes each; equal elements are told apart by their count."""
+    elements, counts = np.unique(hashes, return_counts=True)
+    level = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return pack(mix(np.repeat(elements, counts) + level.astype(_U) * _ODD[4]))[: 5 * BOTTOM]
+
+
+def closeness(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int]) -> tuple[float, bool]:
+    """Similarity of two multisets by their smallest hashes, and whether it is exact."""
+    whole = max(sizes) <= BOTTOM
+    times = np.unique(np.concatenate((a, b)), return_counts=True)[1]
+    return float(((times if whole else times[:BOTTOM]) > 1).mean()), whole
+
+
 def rivals(
-    sig: np.ndarray, sizes: np.ndarray, root: np.ndarray, degree: np.ndarray, most: int | None, similar: float = SIMILAR, home: np.ndarray | None = None, first: bool = True
+    sig: np.ndarray,
+    sizes: np.ndarray,
+    root: np.ndarray,
+    degree: np.ndarray,
+    most: int | None,
+    similar: float = SIMILAR,
+    home: np.ndarray | None = None,
+    first: bool = True,
+    bottoms: list[bytes] | None = None,
 ) -> tuple[set[tuple[int, int]], bool]:
     """Pairs of a block's members in different components; and if any were held back.
 
     A visitor (not at ``home``) is paired with members at home only, and these with each other in the ``first`` crowd only. Of
-    each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies.
+    each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies. With the
+    members' smallest hashes, a pair of short texts that surely links joins the components of both in this block, and further
+    pairs of these are not needed.
     """
     least, links, short = MAYBE * sig.shape[1], set(), False
+    hashes = [unpack(x) for x in bottoms] if bottoms else []
+    lowest = similar - DEVIATIONS * (similar * (1 - similar) / BOTTOM) ** 0.5
+    root = np.array(root)
     home = np.ones(len(sig), dtype=bool) if home is None else home
     for i in range(len(sig)):
         meets = (home if first else np.zeros(len(sig), dtype=bool)) | ~home if home[i] else home
         other = np.flatnonzero((root != root[i]) & meets)
         n = _agree(sig, sizes, i, other, similar)
         near = np.flatnonzero(n >= least)
+        if hashes:
+            maybe = []
+            for x in near[np.argsort(-n[near], kind="stable")].tolist():
+                j = int(other[x])
+                if root[i] == root[j]:
+                    continue
+                close, whole = closeness(hashes[i], hashes[j], (int(sizes[i]), int(sizes[j])))
+                if whole and close >= similar:
+                    links.add((min(i, j), max(i, j)))
+                    root[root == root[j]] = root[i]
+                elif not whole and close >= lowest:
+                    maybe.append(x)
+            near = np.array([x for x in maybe if root[other[x]] != root[i]], dtype=np.int64)
         if most is not None and len(near) > most:
             short = True
             near = near[np.argsort(-n[near], kind="stable")]
@@ -224,8 +269,9 @@ def _group(similar: float, most: int | None = 0):
                     links, short = forest(sig, sizes, similar), False
                 else:
                     known: dict[tuple, int] = {}
-                    root = np.array([known.setdefault(r[6:], len(known)) for r in own])
-                    links, short = rivals(sig, sizes, root, np.array([r[5] for r in own]), most, similar, np.array([r[4] for r in own]), last[2] == 0)
+                    root = np.array([known.setdefault(r[7:], len(known)) for r in own])
+                    degree, home = np.array([r[5] for r in own]), np.array([r[4] for r in own])
+                    links, short = rivals(sig, sizes, root, degree, most, similar, home, last[2] == 0, [r[6] for r in own])
                 out += [(own[min(e)][:2], own[max(e)][:2]) for e in links]
                 if short:
                     out.append((None, None))
@@ -266,9 +312,10 @@ def _sets(batches):
     known = WordHashes()
     for batch in batches:
         sets = [pack(shingles(t.as_py(), known)) for t in batch.column("_text")]
+        least = [bottom(unpack(s)) for s in sets]
         ids = [NULL_ID if i is None else i for i in batch.column("_id").to_pylist()]
         vertex = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), batch.column("_fp").cast(pa.int64())], ["id", "fp"])
-        yield pa.RecordBatch.from_arrays([vertex, pa.array(sets, pa.binary())], ["v", "shingles"])
+        yield pa.RecordBatch.from_arrays([vertex, pa.array(sets, pa.binary()), pa.array(least, pa.binary())], ["v", "shingles", "bottom"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -304,8 +351,8 @@ def _met(members: DataFrame, parts: int) -> DataFrame:
     crowds; a block's own rows are there for each crowd. The join by band is one that adaptive execution splits where a
     band has very many rows.
     """
-    known = [c for c in ("degree", "root") if c in members.columns]
-    rows = members.select("rep", *known[1:], F.posexplode("bands").alias("n", "band"))
+    known = [c for c in ("degree", "bottom", "root") if c in members.columns]
+    rows = members.select("rep", *known[2:], F.posexplode("bands").alias("n", "band"))
     several = lambda n: F.ceil(n / BLOCK).cast("int")
     if known:
         met = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("own"))
@@ -325,7 +372,7 @@ def _met(members: DataFrame, parts: int) -> DataFrame:
         places = F.concat(places, F.transform(away, lambda x: F.struct(x.alias("block"), dealt(F.col("crowds"), 1).alias("crowd"), F.lit(False).alias("own"))))
     rows = rows.select("rep", "band", F.explode(places).alias("at")).select("rep", "band", "at.*")
     rows = rows.join(members.select("rep", "sig", "n_shingles", *known), "rep")
-    own = [F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig", "n_shingles", "own", *known[:1], *[F.col(f"root.{c}").alias(f"_root_{c}") for c in ("id", "fp") if known]]
+    own = [F.col("rep.id").alias("_id"), F.col("rep.fp").alias("_fp"), "sig", "n_shingles", "own", *known[:2], *[F.col(f"root.{c}").alias(f"_root_{c}") for c in ("id", "fp") if known]]
     key = ["band", "block", "crowd"]
     return rows.select(*key, *own).repartition(parts, *key).sortWithinPartitions(*key)
 
@@ -353,13 +400,13 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
     links = durable(arrow_map(_met(reps, parts), _group(similar), _LINK, rows=4096).distinct())
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     # Whoever has a pair to verify in a later round has a link in the first: no other sets are needed.
-    sets = durable(arrow_map(base, _sets, f"v {_VERTEX}, shingles binary", rows=512).dropDuplicates(["v"]).join(ends, "v"))
+    sets = durable(arrow_map(base, _sets, f"v {_VERTEX}, shingles binary, bottom binary", rows=512).dropDuplicates(["v"]).join(ends, "v"))
     edges = durable(_hold(links, sets, similar))
     roots = components(edges)
     for most in ROUNDS:
         root = roots.select(F.col("vertex").alias("rep"), "root")
         degree = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        members = reps.join(sets.select(F.col("v").alias("rep")), "rep").join(root, "rep", "left").join(degree, "rep", "left")
+        members = reps.join(sets.select(F.col("v").alias("rep"), "bottom"), "rep").join(root, "rep", "left").join(degree, "rep", "left")
         members = durable(members.withColumns({"root": F.coalesce("root", "rep"), "degree": F.coalesce("degree", F.lit(0))}))
         pairs = durable(arrow_map(_met(members, parts), _group(similar, most), _LINK, rows=4096).distinct())
         fresh = durable(pairs.where("a is not null").join(links, ["a", "b"], "left_anti"))

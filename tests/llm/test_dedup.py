@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from seamline.llm import caps, graph, minhash, repeats
+from seamline.llm.rolling import mix
 from seamline.llm.suffix_array import suffix_array
 
 
@@ -250,6 +251,26 @@ def test_rivals_of_other_components_are_paired():
     assert minhash.rivals(alike, sizes, np.arange(4), degree, None, home=at, first=False) == ({(0, 1), (0, 3), (1, 2), (2, 3)}, False)
 
 
+def test_rivals_emit_a_forest_of_short_texts_and_drop_unlike_long_ones():
+    def sets(sizes, shared):
+        every = [np.concatenate((mix(np.arange(shared, dtype=np.uint64)), mix(np.arange(k * 10**6, k * 10**6 + n - shared, dtype=np.uint64)))) for k, n in enumerate(sizes, 1)]
+        return np.array(sizes), [minhash.unpack(minhash.pack(x)) for x in every]
+
+    sig = np.zeros((6, 128), dtype=np.uint8)
+    for shared, linked in ((90, True), (85, False)):  # 90 / 110 = 0.82, 85 / 115 = 0.74
+        sizes, packed = sets([100] * 6, shared)
+        links, short = minhash.rivals(sig, sizes, np.arange(6), sizes, 1, bottoms=[minhash.bottom(x) for x in packed])
+        assert (len(links), short) == (5 * linked, False)
+        assert minhash.closeness(*[minhash.unpack(minhash.bottom(x)) for x in packed[:2]], (100, 100)) == (minhash.similarity(*packed[:2]), True)
+    for shared, linked in ((18_000, True), (14_000, False)):  # 0.82 and 0.54, of texts that the smallest hashes only estimate
+        sizes, packed = sets([20_000] * 6, shared)
+        links, _ = minhash.rivals(sig, sizes, np.arange(6), sizes, None, bottoms=[minhash.bottom(x) for x in packed])
+        assert len(links) == 15 * linked
+    twice = minhash.unpack(minhash.bottom(np.sort(np.repeat(packed[0][:50], 2))))
+    once = minhash.unpack(minhash.bottom(packed[0][:50]))
+    assert minhash.closeness(twice, once, (100, 50)) == (0.5, True)
+
+
 def test_near_duplicates_of_bands_over_many_blocks(spark, monkeypatch):
     """Blocks of four rows: families that lie in many blocks, and strays that visit them, end as brute force has them."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
