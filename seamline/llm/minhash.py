@@ -193,12 +193,46 @@ def bottom(hashes: np.ndarray) -> bytes:
 
 
 def closeness(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int]) -> tuple[float, bool]:
-    """Similarity of two multisets by their smallest hashes, and whether it is exact."""
+    """Similarity of two multisets by their smallest hashes, and whether it is exact: what ``Closeness`` gives for a block."""
     whole = max(sizes) <= BOTTOM
     times = np.unique(np.concatenate((a, b)), return_counts=True)[1]
     return float(((times if whole else times[:BOTTOM]) > 1).mean()), whole
 
 
+class Closeness:
+    """Similarity of each member of a block to several others at once, by their smallest hashes.
+
+    Hashes are numbered in their order, so a multiset is a row of a padded matrix, and what a row shares with others is
+    one look-up in a mask. Of two multisets of which one is cut, only the smallest hashes of the union count.
+    """
+
+    def __init__(self, bottoms: list[bytes], sizes: np.ndarray):
+        hashes = [np.unique(unpack(x)) for x in bottoms]
+        self.lengths = np.array([len(h) for h in hashes])
+        values, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.whole = np.asarray(sizes) <= BOTTOM
+        self.codes = np.full((len(hashes), int(self.lengths.max())), len(values), dtype=np.int32)
+        self.codes[np.arange(self.codes.shape[1]) < self.lengths[:, None]] = codes
+        self.mask = np.zeros(len(values) + 1, dtype=bool)
+
+    def __call__(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities, and which of them are exact."""
+        own, theirs = self.codes[i, : self.lengths[i]], self.codes[others]
+        self.mask[own] = True
+        common = self.mask[theirs]
+        self.mask[own] = False
+        shared = common.sum(axis=1)
+        union = self.lengths[i] + self.lengths[others] - shared
+        whole = self.whole[others] & self.whole[i]
+        cut = np.flatnonzero(~whole)
+        if len(cut):  # place of each hash in the union, which its common hashes before it shorten
+            c = common[cut]
+            place = np.arange(c.shape[1]) + np.searchsorted(own, theirs[cut]) - (np.cumsum(c, axis=1) - c)
+            shared[cut] = (c & (place < BOTTOM)).sum(axis=1)
+            union[cut] = np.minimum(union[cut], BOTTOM)
+        return shared / union, whole
+
+
 def rivals(
     sig: np.ndarray,
     sizes: np.ndarray,
@@ -218,7 +252,7 @@ def rivals(
     pairs of these are not needed.
     """
     least, links, short = MAYBE * sig.shape[1], set(), False
-    hashes = [unpack(x) for x in bottoms] if bottoms else []
+    compare = Closeness(bottoms, sizes) if bottoms else None
     lowest = similar - DEVIATIONS * (similar * (1 - similar) / BOTTOM) ** 0.5
     root = np.array(root)
     home = np.ones(len(sig), dtype=bool) if home is None else home
@@ -227,19 +261,15 @@ def rivals(
         other = np.flatnonzero((root != root[i]) & meets)
         n = _agree(sig, sizes, i, other, similar)
         near = np.flatnonzero(n >= least)
-        if hashes:
-            maybe = []
-            for x in near[np.argsort(-n[near], kind="stable")].tolist():
-                j = int(other[x])
-                if root[i] == root[j]:
-                    continue
-                close, whole = closeness(hashes[i], hashes[j], (int(sizes[i]), int(sizes[j])))
-                if whole and close >= similar:
+        if compare is not None and len(near):
+            near = near[np.argsort(-n[near], kind="stable")]
+            close, whole = compare(i, other[near])
+            for j in other[near[whole & (close >= similar)]].tolist():
+                if root[i] != root[j]:
                     links.add((min(i, j), max(i, j)))
                     root[root == root[j]] = root[i]
-                elif not whole and close >= lowest:
-                    maybe.append(x)
-            near = np.array([x for x in maybe if root[other[x]] != root[i]], dtype=np.int64)
+            near = near[~whole & (close >= lowest)]
+            near = near[root[other[near]] != root[i]]
         if most is not None and len(near) > most:
             short = True
             near = near[np.argsort(-n[near], kind="stable")]

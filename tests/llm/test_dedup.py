@@ -347,3 +347,21 @@ def test_embeddings_equal_brute_force(spark):
     odd = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (1, [-x for x in rows[0][1]])], "vec_id long, embedding array<double>")
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in caps.link(odd).collect()), key=str) == [(1, 0, 1), (1, 1, None), (None, 1, None)]
     assert caps.link(df.limit(0)).count() == 0
+
+
+def test_closeness_of_a_block_is_that_of_its_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 2000, dtype=np.int64).astype(np.uint64)
+    sets = []
+    for k in range(30):
+        own = base[: (3, 40, 300, 512, 513, 900, 2000)[k % 7]].copy()
+        edited = rng.random(len(own)) < rng.random() * 0.3
+        own[edited] = rng.integers(0, 2**63, edited.sum(), dtype=np.int64).astype(np.uint64)
+        sets.append(np.sort(np.concatenate((own, own[: k % 3]))))
+    bottoms, sizes = [minhash.bottom(minhash.unpack(minhash.pack(x))) for x in sets], np.array([len(x) for x in sets])
+    block = minhash.Closeness(bottoms, sizes)
+    for i in range(30):
+        others = np.array([j for j in range(30) if j != i])
+        for j, close, whole in zip(others, *block(i, others), strict=True):
+            pair = [minhash.unpack(bottoms[x]) for x in (i, j)]
+            assert (close, whole) == minhash.closeness(*pair, (sizes[i], sizes[j]))
