@@ -16,6 +16,7 @@ MODULES = (
     "q_minhash",
     "q_caps",
     "q_hmm",
+    "q_spelling",
 )
 
 
