@@ -16,6 +16,8 @@ MODULES = (
     "q_minhash",
     "q_caps",
     "q_hmm",
+    "q_urls",
+    "q_repair",
     "q_spelling",
 )
 
