@@ -8,9 +8,11 @@ import importlib
 MODULES: tuple[str, ...] = (
     "q_ordered",
     "q_eventhistory",
+    "q_ladder",
     "q_geometry",
     "q_groupstats",
     "q_segments",
+    "q_search",
     "q_more",
     "q_profiles",
     "q_repair",

@@ -1,73 +1,26 @@
-"""Exact nearest neighbours across groups, sequence distances, threshold graphs."""
+"""Sequence distances and threshold graphs."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators.segments import durable
 
-#: Vectors of a block; a pair of blocks is one matrix product of a task.
-BLOCK = 2048
-
-
-def knn(bank: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """k nearest vectors of other animals for each query: query, rank, neighbour, dist; ties to the lower unit.
-
-    Queries and bank are dealt into blocks; each pair of blocks is one product, of which the k best per query leave the
-    task. Rows that move: each block once per block of the other side, and k rows per query and block.
-    """
-    spark = bank.sparkSession
-    queries = bank if queries is None else queries
-    n_b = max(1, -(-bank.count() // BLOCK))
-    n_q = max(1, -(-queries.count() // BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int")
-    b = bank.select("unit", "animal", "vec", F.lit(False).alias("asks"), block(n_b).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"))
-    q = queries.select("unit", "animal", "vec", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("j"), block(n_q).alias("i"))
-    both = q.select("unit", "animal", "vec", "asks", "i", "j").unionByName(b.select("unit", "animal", "vec", "asks", "i", "j"))
-
-    def best(key, table):
-        asks = np.array(table.column("asks").to_pylist(), dtype=bool)
-        unit, animal = (table.column(c).to_numpy() for c in ("unit", "animal"))
-        vec = np.array(table.column("vec").to_pylist(), dtype=np.float64)
-        out: list[tuple] = []
-        if asks.any() and not asks.all():
-            bu, ba, bv = unit[~asks], animal[~asks], vec[~asks]
-            order = np.argsort(bu, kind="stable")
-            bu, ba, bv = bu[order], ba[order], bv[order]
-            qv, size = vec[asks], (bv * bv).sum(axis=1)
-            rough = (qv * qv).sum(axis=1)[:, None] + size[None, :] - 2 * (qv @ bv.T)
-            rough[animal[asks][:, None] == ba[None, :]] = np.inf
-            slack = 1e-9 * (1 + size.max() + (qv * qv).sum(axis=1).max())  # far over the product's rounding
-            last = np.partition(rough, min(k, len(bu)) - 1, axis=1)[:, min(k, len(bu)) - 1]
-            for u, v, row, most in zip(unit[asks], qv, rough, last, strict=True):
-                near = np.flatnonzero((row <= most + slack) & np.isfinite(row))
-                d = np.sqrt(((bv[near] - v) ** 2).sum(axis=1))  # of the few that may be among the nearest, exactly
-                best_of = np.lexsort((bu[near], d))[:k]
-                out += zip([int(u)] * len(best_of), bu[near[best_of]].tolist(), d[best_of].tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"query": pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
-
-    found = both.groupBy("i", "j").applyInArrow(best, "query long, neighbour long, dist double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "dist")
-
 
 def open_end(a: Column, b: Column) -> Column:
-    """Root mean square difference over the shared prefix."""
+    """Root mean square difference over the shared prefix; null without one."""
     m = F.least(F.size(a), F.size(b))
     sq = F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(1), m), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / m)
+    return F.sqrt(F.try_divide(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x), m))
 
 
 def union_end(a: Column, b: Column) -> Column:
-    """The same over the longer one's length, the shorter one holding its last value."""
-    m = F.greatest(F.size(a), F.size(b))
-    pad = lambda x: F.concat(x, F.array_repeat(F.element_at(x, -1), m - F.size(x)))
+    """The same over the longer one's length, the shorter one holding its last value; null if one is empty."""
+    m, both = F.greatest(F.size(a), F.size(b)), (F.size(a) > 0) & (F.size(b) > 0)
+    pad = lambda x: F.concat(x, F.array_repeat(F.try_element_at(x, F.lit(-1)), m - F.size(x)))
     sq = F.zip_with(pad(a), pad(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / m)
+    return F.when(both, F.sqrt(F.try_divide(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x), m)))
 
 
 def components(edges: DataFrame) -> DataFrame:

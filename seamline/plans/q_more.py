@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import verdict as v
 from seamline.operators import models as m
-from seamline.operators import neighbours as nb
+from seamline.operators import search as se
 from seamline.operators import ordered as o
 from seamline.operators import resample as rs
 from seamline.plans import q_eventhistory as qe
@@ -188,7 +188,7 @@ def random_pair_scale(spark, sf_dir):
 def paired_excess(spark, sf_dir):
     """Per animal: share of units nearer than the 10% quantile of the others' distances, full space less first quarter."""
     b = a.bank(spark, sf_dir)
-    near = lambda vec: nb.knn(b.withColumn("vec", vec), 1).select(F.col("query").alias("unit"), "dist")
+    near = lambda vec: se.knn(b.withColumn("vec", vec), 1).select(F.col("query").alias("unit"), "dist")
     obs, null = near(F.col("vec")), near(F.slice("vec", 1, 16))
     theta = null.agg(R(F.percentile("dist", 0.1)).alias("theta"))
     both = obs.join(null.withColumnRenamed("dist", "nd"), "unit").join(b.select("unit", "animal"), "unit").crossJoin(F.broadcast(theta))

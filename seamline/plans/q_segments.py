@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seamline.operators import neighbours as nb
+from seamline.operators import search as se
 from seamline.operators import segments as s
 from seamline.sources import adapters as a
 
@@ -70,12 +71,12 @@ def boundary_match_prf(spark, sf_dir):
 
 
 def knn_cross_group(spark, sf_dir):
-    out = nb.knn(a.bank(spark, sf_dir), 5)
+    out = se.knn(a.bank(spark, sf_dir), 5)
     return out.select("query", F.col("rank").cast("bigint").alias("rank"), "neighbour", R("dist").alias("dist"))
 
 
 def _nearest(spark, sf_dir):
-    return nb.knn(a.bank(spark, sf_dir), 5)
+    return se.knn(a.bank(spark, sf_dir), 5)
 
 
 def clump_components(spark, sf_dir):
@@ -96,8 +97,8 @@ def participation(spark, sf_dir):
 def candidate_recall(spark, sf_dir):
     """Share of true five nearest among the 20 nearest by the vector's first quarter."""
     b = a.bank(spark, sf_dir)
-    rough = nb.knn(b.withColumn("vec", F.slice("vec", 1, 16)), 20).select("query", "neighbour", F.lit(1).alias("hit"))
-    out = nb.knn(b, 5).join(rough, ["query", "neighbour"], "left").join(b.select(F.col("unit").alias("query"), "animal"), "query")
+    rough = se.knn(b.withColumn("vec", F.slice("vec", 1, 16)), 20).select("query", "neighbour", F.lit(1).alias("hit"))
+    out = se.knn(b, 5).join(rough, ["query", "neighbour"], "left").join(b.select(F.col("unit").alias("query"), "animal"), "query")
     return out.groupBy("animal").agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.coalesce("hit", F.lit(0)))).alias("recall"))
 
 

@@ -159,43 +159,6 @@ def run_quintiles(spark, sf_dir):
     return r.groupBy(q.alias("quintile")).agg(F.count(F.lit(1)).alias("runs"), R(F.avg("duration")).alias("duration"))
 
 
-def ladder_code_length(spark, sf_dir):
-    """Nats of the held-out runs under rungs 0, 1 and 2 (the symbol before, too), with what each codebook's parameters cost.
-
-    A parameter costs half the logarithm of the number of fitted runs. Rung 2 falls back on nothing: unseen pairs share
-    the added weight of their context.
-    """
-    p = qe.prepared(spark, sf_dir)
-    before = F.coalesce(F.lag("code").over(Window.partitionBy("recording").orderBy("run_id")), F.lit(-2))
-    p = p.withColumn("before", before)
-    fit, out = p.where("split = 'fit' and not censored"), p.where("split = 'report' and not censored")
-    n = fit.agg(F.count(F.lit(1)).alias("n_fit"))
-    rows = None
-    for rung, context in enumerate(([], ["code"], ["before", "code"])):
-        seen = fit.groupBy(*context, "next_state").agg(F.count(F.lit(1)).alias("n"))
-        total = fit.groupBy(*context).agg(F.count(F.lit(1)).alias("m"))
-        scored = out.join(seen, [*context, "next_state"], "left")
-        scored = scored.join(total, context, "left") if context else scored.crossJoin(F.broadcast(total))
-        states = 4 if rung == 0 else 3
-        nats = F.log(F.coalesce("m", F.lit(0)) + qe.h.ALPHA * states) - F.log(F.coalesce("n", F.lit(0)) + qe.h.ALPHA)
-        size = total.agg((F.count(F.lit(1)) * (states - 1)).alias("n_params")).crossJoin(F.broadcast(n))
-        one = scored.agg(F.count(F.lit(1)).alias("n_runs"), F.sum(nats).alias("nats")).crossJoin(F.broadcast(size)).withColumn("rung", F.lit(rung))
-        rows = one if rows is None else rows.unionByName(one)
-    charge = 0.5 * F.log(F.greatest("n_fit", F.lit(2))) * F.col("n_params")
-    return rows.select("rung", "n_runs", "n_params", R("nats", 4).alias("nats"), R(charge, 4).alias("charge"), R(F.col("nats") + charge, 4).alias("total"), R(F.col("nats") / F.col("n_runs")).alias("nats_per_run"))
-
-
-def _rung(rung, context):
-    on = " AND ".join([f"{{0}}.{c} = o.{c}" for c in context])
-    k = 4 if rung == 0 else 3
-    cols = "".join(f"{c}, " for c in context)
-    by = f"GROUP BY {', '.join(context)}" if context else ""
-    s_on, t_on = on.format("s") + (" AND " if context else "") + "s.next_state = o.next_state", on.format("t") or "true"
-    return f"""SELECT {rung} AS rung, count(*) AS n_runs, (SELECT count(*) * {k - 1} FROM (SELECT {cols}1 AS one FROM fit {by + (', one' if by else 'GROUP BY one')})) AS n_params,
-sum(ln(coalesce(t.m, 0) + {qe.h.ALPHA} * {k}) - ln(coalesce(s.n, 0) + {qe.h.ALPHA})) AS nats
-FROM o LEFT JOIN (SELECT {cols}next_state, count(*) AS n FROM fit GROUP BY ALL) s ON {s_on} LEFT JOIN (SELECT {cols}count(*) AS m FROM fit {by}) t ON {t_on}"""
-
-
 def hazard_shape(spark, sf_dir):
     """Raw hazard by bin of the two busiest states (a top-k report)."""
     p = qe.prepared(spark, sf_dir)
@@ -268,9 +231,8 @@ def boundary_jaccard(spark, sf_dir):
     return p.select("clip", R(F.try_divide(F.col("n_m"), F.col("n_a") + F.col("n_b") - F.col("n_m"))).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (exp_roundtrip, naive_velocity, naive_reverse_twist, scalefree_lengths, held_out_rate, clean_mask, keypoint_summary, component_spread, strata, run_quintiles, ladder_code_length, hazard_shape, rate_curve, run_edge_frames, trial_ids, composition, arm_ranking, interval_separation, block_labels, boundary_jaccard)}
+QUERIES = {f.__name__: f for f in (exp_roundtrip, naive_velocity, naive_reverse_twist, scalefree_lengths, held_out_rate, clean_mask, keypoint_summary, component_spread, strata, run_quintiles, hazard_shape, rate_curve, run_edge_frames, trial_ids, composition, arm_ranking, interval_separation, block_labels, boundary_jaccard)}
 
-_TAIL = "round(nats, 4) AS nats, round(charge, 4) AS charge, round(nats + charge, 4) AS total, round(nats / n_runs, 6) AS nats_per_run"
 ORACLE = {
     "exp_roundtrip": _ROUND,
     "naive_velocity": f"WITH {_TW}, s AS (SELECT recording, sqrt(v_x**2 + v_y**2) AS speed, omega / {FPS} / 2 AS h FROM tw WHERE v_x IS NOT NULL) SELECT recording, count(*) AS n, round(avg(speed), 4) AS speed, round(avg(speed * CASE WHEN abs(h) < 1e-9 THEN 1 ELSE abs(sin(h) / h) END), 4) AS naive FROM s GROUP BY recording",
@@ -287,9 +249,6 @@ s AS (SELECT split, CASE WHEN x IS NULL OR isnan(x) THEN -1 ELSE len(list_filter
 SELECT split, stratum, count(*) AS n, CASE WHEN stratum >= 0 THEN {allocate(N_STATES, N_STRATA)}[stratum + 1]::INT END AS states FROM s GROUP BY ALL""",
     "run_quintiles": f"""WITH {qo.RUNS_SQL}, m AS (SELECT r.recording, r.run_id, round(avg(f.x), 9) AS mean, count(*) AS duration FROM runs r JOIN frames f ON f.recording = r.recording AND f.t BETWEEN r.start_t AND r.start_t + r.duration - 1 GROUP BY ALL),
 c AS (SELECT quantile_cont(mean, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM m) SELECT len(list_filter(cuts, lambda e: e <= mean))::INT AS quintile, count(*) AS runs, round(avg(duration), 6) AS duration FROM m, c GROUP BY 1""",
-    "ladder_code_length": f"""WITH {qe._PREP}, b AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY recording ORDER BY run_id), -2) AS before FROM p),
-fit AS (SELECT * FROM b WHERE split = 'fit' AND NOT censored), o AS (SELECT * FROM b WHERE split = 'report' AND NOT censored), r AS ({" UNION ALL ".join(_rung(i, c) for i, c in enumerate(([], ["code"], ["before", "code"])))}),
-c AS (SELECT *, 0.5 * ln(greatest((SELECT count(*) FROM fit), 2)) * n_params AS charge FROM r) SELECT rung, n_runs, n_params, {_TAIL} FROM c""",
     "hazard_shape": f"WITH {qe._PREP}, b AS (SELECT code, count(*) AS runs FROM p GROUP BY code ORDER BY runs DESC, code LIMIT 2) SELECT h.code, bin, at_risk, exits, round(exits / nullif(at_risk, 0), 6) AS raw FROM ({qe.ORACLE['hazard_table']}) h JOIN b USING (code)",
     "rate_curve": f"""WITH {qs._D}, md AS (SELECT recording, quantile_cont(d, 0.5) AS med, count(*) AS frames FROM d GROUP BY 1), m2 AS (SELECT recording, any_value(med) AS med, any_value(frames) AS frames, quantile_cont(abs(d - med), 0.5) AS mad FROM d JOIN md USING (recording) GROUP BY 1),
 pk AS (SELECT recording, d FROM (SELECT recording, d, lag(d) OVER w AS pa, lead(d) OVER w AS pb FROM d WINDOW w AS (PARTITION BY recording ORDER BY t)) WHERE d >= pa AND d > pb), kk AS (SELECT unnest([{", ".join(map(str, LEVELS))}])::DOUBLE AS k)
