@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import bpe, minhash, mixing, quality, repeats
-from seamline.llm.common import shared_folder, table
+from seamline.llm.common import aside, shared_folder, table
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of repeated 100-byte strings (op2); a document that nothing is left of goes."""
-    out = repeats.remove(docs, give_text=True)
-    return _recount(out.where("n_removed < n_bytes or n_bytes = 0").select(*docs.columns))
+    plain, back = aside(docs, "doc_id", "text", "n_chars")
+    out = repeats.remove(plain, give_text=True)
+    return _recount(out.where("n_removed < n_bytes or n_bytes = 0").select(*back(docs.columns)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

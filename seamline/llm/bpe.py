@@ -168,7 +168,7 @@ class Encoder:
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Add ``ids array<int>`` and ``decoded string`` (or, with ``digests``, their number and SHA-256) to each row.
 
-    ``text`` itself is dropped with ``digests``; all other columns stay.
+    ``text`` itself is dropped with ``digests``; input columns named like an added one are replaced, all others stay.
     """
     path = path or default_path()
     new = {"n_tokens": "long"}

@@ -49,6 +49,16 @@ def words_of(text):
     return F.filter(F.split(flat(text), " ", -1), lambda w: w != "")
 
 
+def aside(df: DataFrame, *own: str):
+    """``df`` with all columns but ``own`` under names that no operator uses, and a function from original names to them.
+
+    What an operator adds on its way can then clash with no column of the input.
+    """
+    names = {c: f"user_{k}" for k, c in enumerate(df.columns) if c not in own}
+    here = lambda c: F.col(f"`{c}`")
+    return df.select(*[here(c).alias(names.get(c, c)) for c in df.columns]), lambda columns: [here(names.get(c, c)).alias(c) for c in columns]
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ give each document its class.
 Defined cases: a null text is the empty one; a text without words is like no other; a text under five words is one
 shingle; rows that share doc_id and text are one document and share its fate; rows that share only doc_id are told apart
 by a hash of their text; a null doc_id comes before all others; an empty table gives an empty result; other columns pass
-through, clashing names are replaced.
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NULL_ID, arrow_map, durable, width
+from seamline.llm.common import NULL_ID, arrow_map, aside, durable, width
 from seamline.llm.graph import components
 from seamline.llm.rolling import mix
 
@@ -428,8 +428,13 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
     reps = durable(reps)
 
     links = durable(arrow_map(_met(reps, parts), _group(similar), _LINK, rows=4096).distinct())
-    ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    # Whoever has a pair to verify in a later round has a link in the first: no other sets are needed.
+    ends = links.select(F.col("a").alias("v")).union(links.select("b"))
+    # A class with a pair to verify in a later round has a link in the first, or is in a band of several blocks, of which it met one.
+    banded = reps.select("rep", F.explode("bands").alias("band"))
+    large = durable(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK).select("band"))
+    if not large.isEmpty():
+        ends = ends.union(banded.join(large, "band").select(F.col("rep").alias("v")))
+    ends = ends.distinct()
     sets = durable(arrow_map(base, _sets, f"v {_VERTEX}, shingles binary, bottom binary", rows=512).dropDuplicates(["v"]).join(ends, "v"))
     edges = durable(_hold(links, sets, similar))
     roots = components(edges)
@@ -459,5 +464,6 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
 def keep_first(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The documents of ``docs``, all columns, without those that resemble an earlier one of their class."""
     gone = classify(docs, text, similar).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_fp")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_fp": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    return keyed.join(gone, ["_id", "_fp"], "left_anti").select(*docs.columns)
+    plain, back = aside(docs, "doc_id", text)
+    keyed = plain.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_fp": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return keyed.join(gone, ["_id", "_fp"], "left_anti").select(*back(docs.columns))

@@ -17,7 +17,7 @@ so a size that a third of all rows share is not one task's work.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; a source without words
 has target 0 and its documents are taken once (0 words); rows that agree in all columns are interchangeable; an empty
-table gives an empty result; input columns named like an added one are replaced, all other columns stay.
+table gives an empty result; in ``mix`` input columns named like an added one are replaced, all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.llm.common import durable, words_of
+from seamline.llm.common import aside, durable, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -137,10 +137,12 @@ def _diffuse(cap: float):
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, text: str = "text") -> DataFrame:
     """Add size, source_size, target, rate, copies and taken to every row; ``copies`` is 0 to ``cap``."""
-    base = docs.drop(*ADDED)
+    kept = [c for c in docs.columns if c not in ADDED or c in ("source", text)]
+    base, back = aside(docs.select(*[F.col(f"`{c}`") for c in kept]), "doc_id", "source", text)
     sized = base.withColumn("size", F.size(words_of(F.col(text))).cast("long"))
     key = lambda df: df.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     order = F.xxhash64(*[F.col(c) for c in base.columns if c in ("doc_id", text)])
+    rest = [F.xxhash64(*others)] if (others := [c for c in base.columns if c not in ("doc_id", "source", text) and "map<" not in dict(base.dtypes)[c]]) else []
     bucket = F.pmod(order, F.lit(BUCKETS)).cast("int")
     fine = durable(
         key(sized.select("source", "size", bucket.alias("bucket"))).groupBy("src", "size", "bucket").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"))
@@ -163,18 +165,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         .select("src", "size", "bucket", "source_size", "target", "rate", F.expr("total div n").alias("every"), (F.expr("total % n") - F.col("before")).alias("more"))
     )
     rows = key(sized).withColumn("bucket", bucket)
-    place = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy(order, *[c for c in base.columns if c == "doc_id"]))
+    place = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy(order, *[c for c in base.columns if c == "doc_id"], *rest))
     copies = (F.col("every") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).cast("int")
     return (
         rows.withColumn("place", place)
         .join(parts, ["src", "size", "bucket"])
         .withColumn("copies", copies)
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .select(*base.columns, *ADDED)
+        .select(*back(kept), *ADDED)
     )
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row as often as it is taken; the columns are those of ``docs``."""
-    out = mix(docs, **how).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in docs.columns])
+    plain, back = aside(docs, "doc_id", "source", how.get("text", "text"))
+    out = mix(plain, **how).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back(docs.columns))

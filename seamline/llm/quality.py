@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import flat
+from seamline.llm.common import aside, flat
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,11 @@ def line_fails(line: Column, r: Rules = RULES) -> Column:
 
 def judge(docs: DataFrame, r: Rules = RULES, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, clean_text, kept."""
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept")
+    columns = [c for c in docs.columns if c not in added or c == text]
+    plain, back = aside(docs.select(*[F.col(f"`{c}`") for c in columns]), text)
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_f", flat(F.col(text))).withColumn("_l", F.split(t, "\n", -1))
+    out = plain.withColumn("_f", flat(F.col(text))).withColumn("_l", F.split(t, "\n", -1))
     out = out.withColumn("_w", F.filter(F.split("_f", " ", -1), lambda w: w != ""))
     out = out.withColumn("_spoken", F.filter("_l", lambda x: F.rlike(x, F.lit(WORD))))
     out = out.withColumn("_good", F.filter("_l", lambda x: ~line_fails(x, r)))
@@ -129,13 +132,14 @@ def judge(docs: DataFrame, r: Rules = RULES, text: str = "text") -> DataFrame:
     # put whole arrays in place of their names, to be built anew for each element that looks at them.
     kept = ~F.col("base_failed") & ~lost & (F.monotonically_increasing_id() >= 0)
     done = out.withColumns({"clean_text": F.array_join("_good", "\n"), "kept": kept})
-    return done.drop("_f", "_w", "_l", "_spoken", "_good", "_all")
+    return done.select(*back(columns), *added)
 
 
 def clean(docs: DataFrame, r: Rules = RULES) -> DataFrame:
     """Documents that the rules keep, without their failed lines; the columns stay those of ``docs``."""
-    done = judge(docs, r).where("kept")
-    own = {c: F.col(c) for c in docs.columns} | {"text": F.col("clean_text")}
-    if "n_chars" in own:
+    plain, back = aside(docs, "text", "n_chars")
+    done = judge(plain, r).where("kept")
+    own = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
         own["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
-    return done.select(*[own[c].alias(c) for c in docs.columns])
+    return done.withColumns(own).select(*back(docs.columns))

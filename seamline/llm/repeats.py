@@ -26,8 +26,8 @@ session's number of shuffle partitions.
 
 Defined cases: a null text is the empty one and nothing is removed from it; a null doc_id comes before all others; rows
 that share doc_id and text are one document and all get its result; rows that share only doc_id order by a hash of
-their text; texts under ``length`` bytes stay whole; an empty table gives an empty result; other columns pass through,
-clashing names are replaced. Removing bytes can split a character, so text that is given back drops torn ones.
+their text; texts under ``length`` bytes stay whole; an empty table gives an empty result; input columns named
+like an added one are replaced, all others pass through, whatever their names. Removing bytes can split a character, so text that is given back drops torn ones.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NULL_ID, arrow_map, width
+from seamline.llm.common import NULL_ID, arrow_map, aside, width
 from seamline.llm.rolling import mix, sliding_min, windows
 from seamline.llm.suffix_array import suffix_array
 
@@ -178,16 +178,14 @@ def _scan(buckets: int, length: int):
             of = (first["hash"] % _U(buckets)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             first, of = first[order], of[order]
-            ends = np.searchsorted(of, np.arange(buckets + 1))
-            for b in range(buckets):
-                part = first[ends[b] : ends[b + 1]]
-                if len(part):
-                    used, row = np.unique(part["row"], return_inverse=True)
-                    part = part.copy()
-                    part["row"] = row
-                    part = part[np.argsort(part["row"], kind="stable")]
-                    block = _pack(z, doc[used], fp[used], *[np.ascontiguousarray(part[c]) for c in ANCHOR.names])
-                    rows.append((b, None, None, None, block))
+            there, starts = np.unique(of, return_index=True)  # buckets that the batch has anchors for, however many there are
+            for b, part in zip(there.tolist(), np.split(first, starts[1:]), strict=len(there) > 0):
+                used, row = np.unique(part["row"], return_inverse=True)
+                part = part.copy()
+                part["row"] = row
+                part = part[np.argsort(part["row"], kind="stable")]
+                block = _pack(z, doc[used], fp[used], *[np.ascontiguousarray(part[c]) for c in ANCHOR.names])
+                rows.append((b, None, None, None, block))
             return _rows(rows)
 
         for batch in batches:
@@ -456,9 +454,11 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", give_text:
 
     With ``give_text`` the text column holds what is left, in its place, instead of kept_sha256.
     """
-    spark = docs.sparkSession
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    keep = [c for c in docs.columns if c != text and c not in added]
+    columns = [c for c in docs.columns if c not in added or c == text]
+    docs, back = aside(docs.select(*[F.col(f"`{c}`") for c in columns]), "doc_id", text)
+    keep = [c for c in docs.columns if c != text]
+    spark = docs.sparkSession
     doc_id = F.col("doc_id")
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(4 * width(spark), -(-size // BUCKET))
@@ -477,5 +477,5 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", give_text:
     tail = ["n_bytes long", "n_removed long", "n_spans long", "_rest string" if give_text else "kept_sha256 string"]
     out = arrow_map(joined.select(*keep, "_z", "_spans"), _cut(keep, length, text if give_text else None), ", ".join([*_fields(docs, keep), *tail]), rows=256)
     if not give_text:
-        return out
-    return out.select(*[F.col("_rest").alias(text) if c == text else F.col(c) for c in docs.columns if c not in added], *added[:3])
+        return out.select(*back([c for c in columns if c != text]), *added)
+    return out.withColumnRenamed("_rest", text).select(*back(columns), *added[:3])

@@ -294,6 +294,19 @@ def test_near_duplicates_of_bands_over_many_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == root
 
 
+def test_pairs_that_meet_in_no_block_of_the_first_round(spark, monkeypatch):
+    """With blocks of one row no link is found at first: all are left to the later rounds."""
+    monkeypatch.setattr(minhash, "BLOCK", 1)
+    rows = []
+    for f in range(150):
+        words = [f"p{f}w{i}" for i in range(112)]
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join([*words[:40], f"x{f}", *words[41:80], f"y{f}", *words[81:]]))]
+    own = [sets(t) for _, t in rows[:2]]
+    assert 0.8 < sum((own[0] & own[1]).values()) / sum((own[0] | own[1]).values()) < 0.85
+    got = {r.doc_id: r.component_id for r in minhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_near_duplicates_of_a_large_family(spark):
     """Copies of 0.81 to their base, each under 0.8 to all others: nearly always another's estimate beats the base's."""
     base = [f"w{i}" for i in range(254)]

@@ -53,6 +53,9 @@ def test_mix_meets_targets(spark):
     key = lambda rs: sorted(((r.doc_id, r.text, r.copies) for r in rs), key=str)
     assert key(got) == key(mixing.mix(df.repartition(7)).collect())
     assert mixing.mixed(df).columns == df.columns
+    twins = spark.createDataFrame([(1, "a b c", "s", k) for k in range(40)] + [(2, "a b", "t", 0)], "doc_id long, text string, source string, more int")
+    taken = lambda d: sorted((r.more, r.copies) for r in mixing.mix(d).collect())
+    assert taken(twins) == taken(twins.orderBy("more", ascending=False).coalesce(1)) == taken(twins.repartition(6))
     assert mixing.mix(df.limit(0)).count() == 0
 
 

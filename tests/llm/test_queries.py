@@ -138,14 +138,16 @@ def test_pipeline_equals_brute_force(spark):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, rate string, n_bytes string, size string, digest string"
+#: Names that operators use on their way, or add.
+CLASHES = "rate n_bytes size digest src bucket place every more spans copy copies taken target _id _fp _doc _z _spans _rest _f _w _l _h _all _good kept clean_text n_tokens ids user_3 a.b".split()
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def edge_rows():
     long = " ".join(f"word{i}," for i in range(30_000)) + "."
     said = "A sentence that is long enough to be kept, with commas, and a full stop at its end."
     texts = [(1, None), (2, ""), (3, " \n "), (None, said), (4, said), (4, said), (5, said + " More of it."), (6, long), (7, long)]
-    return [(d, t, None, None if d == 5 else "s", None, "r", "b", "z", "g") for d, t in texts]
+    return [(d, t, None, None if d == 5 else "s", None, *[f"my {c}" for c in CLASHES]) for d, t in texts]
 
 
 def test_pipeline_stages_take_edge_cases(spark):
@@ -154,7 +156,8 @@ def test_pipeline_stages_take_edge_cases(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         if name != "token_ids":
-            assert out.columns == docs.columns
+            assert out.dtypes == docs.dtypes
+            assert all(r[c] == f"my {c}" for r in out.collect() for c in CLASHES)
         some[name] = sorted(((r.doc_id or 0, len(r.text or "") if name != "token_ids" else r.n_tokens) for r in out.collect()))
     n, long = len(edge_rows()[3][1]), len(edge_rows()[7][1])
     assert [d for d, _ in some["quality_rules"]] == [0, 4, 4, 5, 6, 7]
@@ -170,6 +173,25 @@ def test_pipeline_stages_take_an_empty_table(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_operators_take_columns_that_clash(spark):
+    from seamline.llm import bpe, minhash, mixing
+
+    docs = spark.createDataFrame(edge_rows(), EXTRA)
+    added = {
+        "op1": ["n_tokens", "ids", "decoded"],
+        "op2": ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op3": list(mixing.ADDED),
+        "op10": ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept"],
+    }
+    outs = {"op1": bpe.encode_documents(docs.drop("a.b")), "op2": repeats.remove(docs), "op3": mixing.mix(docs), "op10": quality.judge(docs)}
+    for name, out in outs.items():
+        stay = [c for c in CLASHES if c not in added[name] and (name != "op1" or c != "a.b")]
+        assert set(out.columns) >= {*stay, *added[name], "doc_id"}
+        rows = out.collect()
+        assert len(rows) == len(edge_rows()) and all(r[c] == f"my {c}" for r in rows for c in stay)
+    assert minhash.classify(docs).count() == len({(d, t) for d, t, *_ in edge_rows()})
+
+
 def test_rows_under_repeats_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert repeats.remove(docs, give_text=True).columns == [*docs.columns, "n_bytes", "n_removed", "n_spans"]
