@@ -9,10 +9,13 @@ MODULES: tuple[str, ...] = (
     "q_ordered",
     "q_eventhistory",
     "q_ladder",
+    "q_homogeneity",
     "q_geometry",
     "q_groupstats",
     "q_segments",
     "q_search",
+    "q_matching",
+    "q_intervals",
     "q_more",
     "q_profiles",
     "q_repair",

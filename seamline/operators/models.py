@@ -130,32 +130,6 @@ def surrogate(frames: DataFrame, kind: str, seed: int = 11, order: int = 5) -> D
     return _grouped(frames.select("recording", "t", "x"), make, "recording long, t long, y double")
 
 
-def viterbi(frames: DataFrame, n_back: int = 3, step: float = 30.0, miss: float = 8.0) -> DataFrame:
-    """Smoothest path over each frame's own value and those of the ``n_back`` frames before: adds y and replaced.
-
-    Moves cost the square of their size in ``step``; taking another frame's value costs ``miss``.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x"].to_numpy(float)
-        n = len(x)
-        cand = np.stack([np.concatenate((np.full(b, x[0]), x[: n - b])) if b else x for b in range(min(n_back, n - 1) + 1)], axis=1)
-        price = np.where(np.arange(cand.shape[1]) == 0, 0.0, miss)
-        cost, back = price.copy(), np.zeros(cand.shape, dtype=int)
-        for t in range(1, n):
-            move = ((cand[t][:, None] - cand[t - 1][None, :]) / step) ** 2 + cost[None, :]
-            back[t] = move.argmin(axis=1)
-            cost = move.min(axis=1) + price
-        path = np.empty(n, dtype=int)
-        path[-1] = cost.argmin()
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t][path[t]]
-        y = cand[np.arange(n), path]
-        return pd.DataFrame({"recording": pdf["recording"].to_numpy(), "t": pdf["t"].to_numpy(), "y": y, "replaced": path > 0})
-
-    return _grouped(frames.select("recording", "t", "x"), run, "recording long, t long, y double, replaced boolean")
-
-
 def resample(frames: DataFrame, n: int) -> DataFrame:
     """Each recording's signal at ``n`` points of equal spacing, ends kept: (recording, i, y)."""
     s = frames.groupBy("recording").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda z: z["x"]).alias("v"))

@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 
 from seamline.functions import verdict as v
 from seamline.operators import models as m
+from seamline.operators import ranking as rk
 from seamline.operators import search as se
+from seamline.operators import viterbi as vt
 from seamline.operators import ordered as o
 from seamline.operators import resample as rs
 from seamline.plans import q_eventhistory as qe
 from seamline.plans import q_groupstats as qg
 from seamline.plans import q_ordered as qo
 from seamline.plans import q_segments as qs
+from seamline.operators.segments import durable
 from seamline.sources import adapters as a
 
 R = lambda c, n=6: F.round(c, n)
 RATE, SHIFT = 0.05, 200.0
 PAIRS = 500
+#: Frames of a block of the path search; small, so that the recordings of the test tables lie over several.
+VITERBI_BLOCK = 32
 
 
 def parse_ids(spark, sf_dir):
     """Identifiers built from events, parsed back into box, day, context and date."""
-    e = a.read(spark, sf_dir, "events").where("event_type = 'signup'")
+    e = a.read(spark, sf_dir, "events")
     ident = F.format_string("%s_Box_%d_CFD_Day_%d_(Context_%s)_u%d", F.date_format("ts", "yyyyMMdd"), F.col("user_id") % 4, F.dayofmonth("ts"), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"), F.col("user_id"))
     part = lambda p: F.coalesce(F.nullif(F.regexp_extract(ident, p, 1), F.lit("")), F.lit("?"))
     df = e.select(part(r"_Box_(\d+)").alias("box"), part(r"_Day_(\d+)").alias("day"), part(r"\(Context_(\w+)\)").alias("context"), part(r"^(\d{8})").alias("date"))
@@ -144,7 +149,7 @@ def surrogate_moments(spark, sf_dir, kind):
 
 
 def viterbi_path(spark, sf_dir):
-    return m.viterbi(a.frames(spark, sf_dir))
+    return vt.viterbi(a.frames(spark, sf_dir).select("recording", "t", "x"), block=VITERBI_BLOCK)
 
 
 def high_frequency_retention(spark, sf_dir):
@@ -174,7 +179,7 @@ def injection_repair(spark, sf_dir):
 def random_pair_scale(spark, sf_dir):
     """Median distance of drawn pairs of units of different animals."""
     b = a.bank(spark, sf_dir)
-    numbered = b.withColumn("i", F.row_number().over(Window.orderBy("unit")) - 1)  # one small row per unit
+    numbered = durable(rk.placed(b, ["unit"], place="i"))
     n = b.agg(F.count(F.lit(1)).alias("n"))
     p = spark.range(PAIRS).crossJoin(F.broadcast(n))
     pick = lambda s: F.pmod(rs.draw(s, F.col("id")), F.col("n")).cast("int")
@@ -239,7 +244,7 @@ arms AS (SELECT 'raw' AS arm, hit, abs(x - truth) AS err FROM f UNION ALL SELECT
   UNION ALL SELECT 'gate', hit, abs(CASE WHEN NOT dropped THEN x ELSE px + (nx - px) * (t - pt) / (nt - pt) END - truth) FROM h)"""
 _ID = "strftime(ts, '%Y%m%d') || '_Box_' || (user_id % 4) || '_CFD_Day_' || day(ts) || '_(Context_' || CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END || ')_u' || user_id"
 ORACLE = {
-    "parse_ids": f"""WITH i AS (SELECT {_ID} AS id FROM events WHERE event_type = 'signup') SELECT regexp_extract(id, '_Box_(\\d+)', 1) AS box, regexp_extract(id, '_Day_(\\d+)', 1) AS day,
+    "parse_ids": f"""WITH i AS (SELECT {_ID} AS id FROM events) SELECT regexp_extract(id, '_Box_(\\d+)', 1) AS box, regexp_extract(id, '_Day_(\\d+)', 1) AS day,
 regexp_extract(id, '\\(Context_(\\w+)\\)', 1) AS context, regexp_extract(id, '^(\\d{{8}})', 1) AS date, count(*) AS n FROM i GROUP BY ALL""",
     "table_fingerprint": f"SELECT event_type, count(*) AS n, sum({qg._draw('event_id', 'user_id', 'event_type', 'props')})::BIGINT AS digest FROM events GROUP BY 1",
     "padded_windows": f"""WITH {qo.HIGH_SQL}, p AS (SELECT recording, greatest(start - 2, 0) AS start, stop + 2 AS stop FROM islands), n AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY recording ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM p),
@@ -261,6 +266,13 @@ SELECT p.recording, i, round(l.x + (h.x - l.x) * (pos - k), 6) AS y FROM p JOIN
 ft AS (SELECT recording, any_value(n) AS n, k, sum((x - mx) * cos(2 * pi() * k * t / n))**2 + sum((x - mx) * sin(2 * pi() * k * t / n))**2 AS pb, sum((med - mm) * cos(2 * pi() * k * t / n))**2 + sum((med - mm) * sin(2 * pi() * k * t / n))**2 AS pa
   FROM med JOIN nn USING (recording) JOIN range(1, 100000) r(k) ON k <= n // 2 GROUP BY recording, k)
 SELECT recording, any_value(n) AS n, round(sum(pa) FILTER (k < 8) / sum(pb) FILTER (k < 8), 6) AS low, round(sum(pa) FILTER (k >= 8) / sum(pb) FILTER (k >= 8), 6) AS high FROM ft GROUP BY recording""",
+    # One step a frame, forwards for costs, then backwards from the cheapest end.
+    "viterbi_path": f"""WITH RECURSIVE {a.FRAMES_SQL}, cd AS (SELECT recording, t, [x, {", ".join(f"coalesce(lag(x, {b}) OVER w, first_value(x) OVER w)" for b in (1, 2, 3))}] AS c, count(*) OVER (PARTITION BY recording) AS n FROM frames WINDOW w AS (PARTITION BY recording ORDER BY t)),
+go(recording, t, n, c, cost, back) AS (SELECT recording, t, n, c, [0.0, 8.0, 8.0, 8.0]::DOUBLE[], [1, 1, 1, 1] FROM cd WHERE t = 0
+  UNION ALL SELECT recording, t, n, c, list_transform(moves, lambda m, b: list_min(m) + CASE WHEN b = 1 THEN 0.0 ELSE 8.0 END), list_transform(moves, lambda m: list_position(m, list_min(m)))
+  FROM (SELECT cd.recording, cd.t, cd.n, cd.c, list_transform(cd.c, lambda v: list_transform(range(1, 5), lambda p: ((v - go.c[p]) / 30.0) * ((v - go.c[p]) / 30.0) + go.cost[p])) AS moves FROM go JOIN cd ON cd.recording = go.recording AND cd.t = go.t + 1)),
+bk(recording, t, s) AS (SELECT recording, t, list_position(cost, list_min(cost)) FROM go WHERE t = n - 1 UNION ALL SELECT go.recording, go.t - 1, go.back[bk.s] FROM bk JOIN go ON go.recording = bk.recording AND go.t = bk.t WHERE go.t > 0)
+SELECT bk.recording, bk.t, go.c[s] AS y, s > 1 AS replaced FROM bk JOIN go ON go.recording = bk.recording AND go.t = bk.t""",
     "random_pair_scale": f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings), p AS (SELECT id, {qg._draw("'a'", "id")} % (SELECT count(*) FROM embeddings) AS ia, {qg._draw("'b'", "id")} % (SELECT count(*) FROM embeddings) AS ib FROM range({PAIRS}) r(id))
 SELECT count(*) AS pairs, round(quantile_cont(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 0.5), 6) AS scale FROM p JOIN b x ON x.i = ia JOIN b y ON y.i = ib WHERE x.label <> y.label""",
     "paired_excess": f"""WITH {qs._KNN(1)}, {qs._KNN(1, 16, 'nl')}, tt AS (SELECT round(quantile_cont(dist, 0.1), 6) AS theta FROM nl)
