@@ -170,3 +170,20 @@ def project(points: DataFrame, rounds: int = 32) -> DataFrame:
     fold = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.col("x").alias("x"), F.col("y").alias("y")), step)
     out = points.withColumn("_p", fold)
     return out.withColumns({"nx": F.col("_p.x"), "ny": F.col("_p.y"), "moved": F.sqrt((F.col("_p.x") - F.col("x")) ** 2 + (F.col("_p.y") - F.col("y")) ** 2)}).drop("_p")
+
+
+def corrected(pose: DataFrame, viol: DataFrame, reach: DataFrame, pairs: dict[int, tuple[int, int]], rounds: int = 32) -> DataFrame:
+    """Pose whose frames' suspects, by the violations given, are pulled into the discs of the bones given; all else stays.
+
+    ``pairs``: bone to its two keypoints, ``reach``: (recording, bone, r). Only these bones constrain anything.
+    """
+    spark = pose.sparkSession
+    sus = suspects(viol, pose).where("suspect >= 0").select("recording", "t", F.col("suspect").alias("k"))
+    ends = spark.createDataFrame([(b, k, o) for b, (i, j) in pairs.items() for k, o in ((i, j), (j, i))], "bone int, k int, other int")
+    at = lambda k: F.get("pose", F.col(k))
+    near = sus.join(F.broadcast(ends), "k").join(reach, ["recording", "bone"]).join(pose.select("recording", "t", "pose"), ["recording", "t"])  # two rows a bone
+    disc = F.struct(at("other")["x"].alias("px"), at("other")["y"].alias("py"), "r")
+    points = near.groupBy("recording", "t", "k").agg(F.sort_array(F.collect_list(disc)).alias("discs"), F.first(at("k")["x"]).alias("x"), F.first(at("k")["y"]).alias("y"))  # two bones at most
+    moved = project(points, rounds).select("recording", "t", F.col("k").alias("_k"), F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")).alias("_to"))
+    out = pose.join(moved, ["recording", "t"], "left")
+    return out.withColumn("pose", F.transform("pose", lambda p, i: F.when(i.eqNullSafe(F.col("_k")), F.col("_to")).otherwise(p))).select(*pose.columns)

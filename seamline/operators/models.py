@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamline.operators.groupstats import quantiles
+
 
 def assign(bank: DataFrame, centroids: DataFrame, by: str = "vec") -> DataFrame:
     """Nearest centroid (lowest id on ties): adds code and sq_error. Centroids are as many as states, and broadcast."""
@@ -62,10 +64,10 @@ def probe(df: DataFrame, features: list[str], label: str, group: str, folds: int
 def mixture_bic_gain(df: DataFrame, value: str, rounds: int = 30) -> DataFrame:
     """BIC of one Gaussian less BIC of two, by EM from the quartiles; the driver holds six numbers between rounds."""
     x = F.col(value)
-    q = df.agg(F.percentile(x, 0.25).alias("a"), F.percentile(x, 0.75).alias("b"), F.var_pop(x).alias("v"), F.avg(x).alias("m"), F.count(x).alias("n")).first()
+    q = df.agg(F.var_pop(x).alias("v"), F.avg(x).alias("m"), F.count(x).alias("n")).first()
     if not q.n or not q.v:
         return df.sparkSession.createDataFrame([(0.0, 0)], "bic_gain double, n long").limit(0)
-    mu, var, pi = [q.a, q.b], [q.v, q.v], [0.5, 0.5]
+    mu, var, pi = quantiles(df, value, [0.25, 0.75]), [q.v, q.v], [0.5, 0.5]
     pdf = lambda k: F.lit(pi[k] / math.sqrt(2 * math.pi * var[k])) * F.exp(-((x - mu[k]) ** 2) / (2 * var[k]))
     fit = 0.0
     for _ in range(rounds):

@@ -42,3 +42,16 @@ def quartiles_within(df: DataFrame, value: str, group: Sequence[str], tie: Seque
     q = F.floor((m * F.col("_place") + m - 1) / F.col("_n")).cast("int")
     known = ranked.select(*df.columns, F.when(F.col("_n") < m, -1).otherwise(q).alias(out))
     return known.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(-1)))
+
+
+def quantiles_by(df: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles of a value per group, or of all rows: group columns and one column per name.
+
+    They are read off at the places where they lie, so no aggregate holds a group's values.
+    """
+    known = placed(df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v")), ["_v"], group, "_place", "_n")
+    at = lambda k: F.max(F.when(F.col("_place") == k, F.col("_v")))
+    spot = {name: F.lit(p) * (F.col("_n") - 1) for name, p in probs.items()}
+    ends = [c for name, x in spot.items() for c in (at(F.floor(x)).alias(f"_lo_{name}"), at(F.ceil(x)).alias(f"_hi_{name}"), F.max(x - F.floor(x)).alias(f"_part_{name}"))]
+    out = known.groupBy(*group).agg(*ends)
+    return out.select(*group, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in probs])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,16 +69,34 @@ def suppress(peaks: DataFrame, gap: int, value: str = "d") -> DataFrame:
     fresh = F.coalesce((F.col("t") - F.lag("t").over(order) >= gap).cast("int"), F.lit(0))
     clusters = peaks.select("recording", "t", F.col(value).alias("v"), fresh.alias("_new")).withColumn("cluster", F.sum("_new").over(order))
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", ignore_index=True)
-        t, gone, keep = pdf["t"].to_numpy(), np.zeros(len(pdf), dtype=bool), []
-        for i in np.lexsort((t, -pdf["v"].to_numpy())):
-            if not gone[i]:
-                keep.append(i)
-                gone[np.searchsorted(t, t[i] - gap, side="right") : np.searchsorted(t, t[i] + gap, side="left")] = True
-        return pdf.loc[keep, ["recording", "t", "v"]]
-
-    kept = clusters.groupBy("recording", "cluster").applyInPandas(decide, f"recording {peaks.schema['recording'].dataType.simpleString()}, t long, v double")
+    def decide(batches):
+        """Clusters in order, one or many to a batch; the last of a batch may go on in the next one."""
+        held = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None:
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("recording", "cluster", "t", "v")]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            rec, cluster, t, v = held
+            starts = np.flatnonzero(np.r_[True, (rec[1:] != rec[:-1]) | (cluster[1:] != cluster[:-1])])
+            ends = np.r_[starts[1:], len(t)]
+            if batch is not None:
+                held = [x[starts[-1] :] for x in held]
+                starts, ends = starts[:-1], ends[:-1]
+            keep = np.zeros(len(t), dtype=bool)
+            keep[starts[ends - starts == 1]] = True
+            for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                own, gone = t[lo:hi], np.zeros(hi - lo, dtype=bool)
+                for i in np.lexsort((own, -v[lo:hi])):
+                    if not gone[i]:
+                        keep[lo + i] = True
+                        gone[np.searchsorted(own, own[i] - gap, side="right") : np.searchsorted(own, own[i] + gap, side="left")] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rec, t, v)], names=["recording", "t", "v"])
+
+    key = ["recording", "cluster"]
+    dealt = clusters.select("recording", F.col("cluster").cast("long").alias("cluster"), F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v")).repartition(*key).sortWithinPartitions(*key, "t")
+    kept = dealt.mapInArrow(decide, f"recording {peaks.schema['recording'].dataType.simpleString()}, t long, v double")
     return kept.select("recording", "t", F.col("v").alias(value))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from seamline.operators import groupstats as g
 from seamline.operators import ordered as o
+from seamline.operators import ranking as rk
 from seamline.operators import resample as rs
+from seamline.operators.segments import durable
 from seamline.plans.q_ordered import RUNS_SQL, runs
 from seamline.sources import adapters as a
 
@@ -147,8 +149,9 @@ def bimodality(spark, sf_dir):
 def displacement_by_flag(spark, sf_dir):
     """How far a five-frame median moves the signal, by whether the frame abstains, with the concentration on flagged ones."""
     med = o.rolling_median(a.frames(spark, sf_dir).select("recording", "t", "x", "code"), ["recording"], "x", 5, "med")
-    d = med.select((F.col("code") == -1).alias("flagged"), F.abs(F.col("x") - F.col("med")).alias("d"))
-    return d.groupBy("flagged").agg(F.count(F.lit(1)).alias("n"), R(F.percentile("d", 0.5)).alias("median"), R(F.avg("d")).alias("mean"), R(F.avg((F.col("d") > 10).cast("int"))).alias("moved_10"))
+    d = durable(med.select((F.col("code") == -1).alias("flagged"), F.abs(F.col("x") - F.col("med")).alias("d")))
+    out = d.groupBy("flagged").agg(F.count(F.lit(1)).alias("n"), R(F.avg("d")).alias("mean"), R(F.avg((F.col("d") > 10).cast("int"))).alias("moved_10"))
+    return out.join(rk.quantiles_by(d, "d", {"median": 0.5}, ["flagged"]), "flagged").select("flagged", "n", R("median").alias("median"), "mean", "moved_10")
 
 
 def kinematic_shift(spark, sf_dir):
@@ -157,9 +160,10 @@ def kinematic_shift(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("recording").orderBy("t")
-    s = med.select(F.abs(F.col("x") - F.lag("x").over(w)).alias("before"), F.abs(F.col("med") - F.lag("med").over(w)).alias("after"))
-    q = [(0.5, "p50"), (0.9, "p90"), (0.99, "p99"), (0.999, "p999")]
-    return s.agg(*[R(F.percentile(c, p)).alias(f"{c}_{n}") for p, n in q for c in ("before", "after")])
+    s = durable(med.select(F.abs(F.col("x") - F.lag("x").over(w)).alias("before"), F.abs(F.col("med") - F.lag("med").over(w)).alias("after")))
+    probs = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+    both = [rk.quantiles_by(s, c, {f"{c}_{n}": p for n, p in probs.items()}) for c in ("before", "after")]
+    return both[0].crossJoin(F.broadcast(both[1])).select(*[R(f"{c}_{n}").alias(f"{c}_{n}") for n in probs for c in ("before", "after")])  # one row each
 
 
 QUERIES = {f.__name__: f for f in (dispersion, lorenz_gini, decile_profile, grouped_rates, spearman_per_group, partial_spearman, pooled_weighted_mean, quartiles_within_group, tv_near_far, occupancy_gini, cell_occupancy, paired_deltas, sign_flip_p, cluster_bootstrap_ci, jackknife_se, sampled_runs, percentile_of, duration_ks, bimodality, displacement_by_flag, kinematic_shift)}

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from seamline.operators import geometry as g
 from seamline.operators import ordered as o
 from seamline.operators import profiles as p
+from seamline.operators import ranking as rk
 from seamline.operators import resample as rs
+from seamline.operators.segments import durable
 from seamline.plans import q_geometry as qgeo
 from seamline.plans import q_groupstats as qg
 from seamline.plans import q_ordered as qo
@@ -58,9 +60,13 @@ def inverse_roundtrip(spark, sf_dir):
 def reassignment(spark, sf_dir):
     """Share of keypoint frames that interpolation moved, per keypoint and (k NULL) over all."""
     kp = o.held(a.keypoints(a.pose(spark, sf_dir)), ["recording", "k"], "x", "missing", "hx")
-    d = kp.select("k", F.abs(F.col("x") - F.col("hx")).alias("d"))
+    d = durable(kp.select("k", F.abs(F.col("x") - F.col("hx")).alias("d")))
     moved = F.col("d") > 1e-9
-    return d.rollup("k").agg(F.count(F.lit(1)).alias("n"), R(F.avg(moved.cast("int"))).alias("moved"), R(F.max("d")).alias("largest"), R(F.percentile(F.when(moved, F.col("d")), 0.5)).alias("median"))
+    out = d.rollup("k").agg(F.count(F.lit(1)).alias("n"), R(F.avg(moved.cast("int"))).alias("moved"), R(F.max("d")).alias("largest"))
+    mid = {"median": 0.5}
+    far = d.where(moved)
+    medians = rk.quantiles_by(far, "d", mid, ["k"]).unionByName(rk.quantiles_by(far, "d", mid).withColumn("k", F.lit(None).cast("int")))
+    return out.join(medians.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", "n", "moved", "largest", R("median").alias("median"))
 
 
 def shuffled_ceiling(spark, sf_dir):
@@ -157,7 +163,8 @@ r AS (SELECT *, (s1**2 / q1 + s2**2 / q2 + s3**2 / q3) / nullif(sst, 0) AS r2 FR
     "window_template": f"""WITH {a.FRAMES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY recording) AS n FROM frames), s AS (SELECT recording, t AS s FROM n WHERE t + 10 <= n ORDER BY {_D("'template'", "recording", "t")}, recording, t LIMIT 40)
 SELECT f.t - s AS offset, count(*) AS n, round(avg(x), 6) AS mean FROM s JOIN frames f ON f.recording = s.recording AND f.t >= s AND f.t < s + 10 GROUP BY ALL""",
     "reversed_twist": f"WITH tw AS ({_TW}), n AS (SELECT *, count(*) OVER (PARTITION BY recording) AS n FROM tw) SELECT recording, n - 2 - t AS t, -v_x AS v_x, -v_y AS v_y, -omega AS omega FROM n WHERE n - 2 - t >= 0",
-    "inverse_roundtrip": "SELECT label AS recording, count(*) * 7 AS n, 0.0::DOUBLE AS worst FROM embeddings GROUP BY label",
+    "inverse_roundtrip": f"""WITH {qgeo._BODY}, e AS (SELECT kp.recording, x, y, ox, oy, cos(theta) AS c, sin(theta) AS s, (cos(theta) * (x - ox) + sin(theta) * (y - oy)) / 0.5 AS ex, (cos(theta) * (y - oy) - sin(theta) * (x - ox)) / 0.5 AS ey FROM kp JOIN th USING (recording, t))
+SELECT recording, count(*) AS n, round(max(greatest(abs(ox + 0.5 * (c * ex - s * ey) - x), abs(oy + 0.5 * (s * ex + c * ey) - y))), 6) AS worst FROM e GROUP BY recording""",
     "reassignment": f"""WITH {a.POSE_SQL}, hd AS ({_HELD.replace('round(CASE', 'CASE', 1).replace('ELSE x END, 6) AS held_x', 'ELSE x END AS held_x', 1)}), d AS (SELECT k, abs(x - held_x) AS d FROM kp JOIN hd USING (recording, t, k))
 SELECT k, count(*) AS n, round(avg((d > 1e-9)::INT), 6) AS moved, round(max(d), 6) AS largest, round(quantile_cont(CASE WHEN d > 1e-9 THEN d END, 0.5), 6) AS median FROM d GROUP BY ROLLUP (k)""",
     "shuffled_ceiling": f"""WITH {qgeo._LEN}, ref AS (SELECT recording, bone, quantile_cont(d, 0.9) AS l_hat FROM len GROUP BY ALL), sr AS (SELECT recording, t, k, {_D("'ceiling'", "recording", "k", "t")} % count(*) OVER (PARTITION BY recording, k) AS s FROM kp),

@@ -5,6 +5,7 @@ Each read names its numbers (a query and its SQL), the unit count, and rules tri
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seamline.functions import verdict as v
@@ -12,9 +13,13 @@ from seamline.operators import resample as rs
 from seamline.plans import q_eventhistory as qe
 from seamline.plans import q_geometry as qgeo
 from seamline.plans import q_groupstats as qg
+from seamline.plans import q_homogeneity as qh
+from seamline.plans import q_intervals as qi
 from seamline.plans import q_more as qm
 from seamline.plans import q_profiles as qp
 from seamline.plans import q_segments as qs
+from seamline.plans import q_stages as qst
+from seamline.plans import q_tables as qt
 from seamline.sources import adapters as a
 
 R = lambda c, n=6: F.round(c, n)
@@ -30,7 +35,12 @@ RULES = {
     "bakeoff": [("better > 0 and worse = 0", "PASS", "one arm dominates"), ("better > 0", "INCONCLUSIVE", "each arm wins an axis"), ("better = 0", "FAIL", "the incumbent is not beaten")],
     "assignment": [("own >= 0.999", "PASS", "assignments agree"), ("own < 0.999", "FAIL", "assignments differ")],
     "frailty": [("ratio < 0.5", "FAIL", "most of the fall goes within groups"), ("ratio >= 0.5", "PASS", "the fall holds within groups")],
-    "homogeneity": [("theta - 1.96 * se > 0", "PASS", "the interval lies over zero"), ("theta + 1.96 * se < 0", "FAIL", "the interval lies under zero"), ("se >= 0", "INCONCLUSIVE", "the interval spans zero")],
+    "homogeneity": [("lo > 0", "FAIL", "runs of a symbol have unlike futures"), ("hi < 0", "INCONCLUSIVE", "an excess under zero is no sign of coherence"), ("lo <= 0", "PASS", "the interval holds zero: runs of a symbol share a future")],
+    "held_out_bones": [("least_before <= 0", "INCONCLUSIVE", "no violations to judge by"), ("least_fall > 0", "PASS", "violations fall on bones the correction never saw, both ways"), ("least_fall <= 0", "FAIL", "the correction satisfies the bones it was given and no others")],
+    "chance_ceiling": [("lo > chance", "PASS", "raters agree more than scattered marks"), ("lo <= chance", "FAIL", "raters agree about as scattered marks do")],
+    "isolation": [("share >= 0.2", "PASS", "a fifth of the planted runs is found as a segment"), ("share < 0.2", "FAIL", "too few planted runs are found as segments")],
+    "truncation": [("kept >= 0.75 and kept <= 1.25", "PASS", "the mass over the cliff is kept"), ("kept < 0.75", "FAIL", "the filter takes mass over the cliff"), ("kept > 1.25", "FAIL", "the filter makes mass over the cliff")],
+    "monotone": [("rising = 0 or falling = 0", "PASS", "the rate falls, or rises, all along"), ("rising > 0", "FAIL", "the rate turns")],
     "falsifier": [("lo > 0", "PASS", "the corpus exceeds its control"), ("hi < 0", "FAIL", "the control exceeds the corpus"), ("lo <= 0", "FAIL", "the interval spans zero")],
     "mark_rate": [("rate >= 0", "NOT_A_RESULT", "a rate of marks describes and judges nothing")],
     "breaks": [("boundaries = 0", "GRID_LIMITED", "no boundary at this threshold"), ("boundaries > 0", "NOT_A_RESULT", "boundaries have no truth to be judged by")],
@@ -112,6 +122,22 @@ def _inside(spark, sf_dir):
     return g.select("animal", R(F.col("i") / F.col("o")).alias("ratio")).where("ratio is not null")
 
 
+def _chance(spark, sf_dir):
+    out = qi.chance_agreement(spark, sf_dir)
+    ci = _interval(_per_animal(out.withColumn("animal", F.col("clip") % 10), "f1"), "f1")
+    return ci.select("lo", "n_clusters").crossJoin(F.broadcast(out.agg(F.avg("chance_f1").alias("chance"))))  # one row
+
+
+def _wins(spark, sf_dir):
+    """How much more often than ``FLOOR`` a segment's fit beats drawn intervals of its length, by animal."""
+    w = qi.length_matched_fits(spark, sf_dir).withColumn("animal", F.col("recording") % 10)
+    return w.groupBy("animal").agg(R(F.avg("win_rate") - FLOOR).alias("margin"))
+
+
+#: Fixed value: the win rate that this control is held against.
+FLOOR = 0.659
+_WINS = f"SELECT recording % 10 AS animal, round(avg(win_rate) - {FLOOR}, 6) AS margin FROM ({qi.ORACLE['length_matched_fits']}) GROUP BY 1"
+_BY_CLIP = f"SELECT clip % 10 AS animal, round(avg(f1), 6) AS f1 FROM ({qi.ORACLE['chance_agreement']}) GROUP BY 1"
 _INSIDE = f"WITH {a.GROUPS_SQL} SELECT animal, round(avg(value) FILTER (mask) / avg(value) FILTER (NOT mask), 6) AS ratio FROM groups GROUP BY animal HAVING ratio IS NOT NULL"
 _BY_ANIMAL = "SELECT animal, round(avg({c}), 6) AS {c} FROM ({q}) GROUP BY animal"
 
@@ -134,7 +160,20 @@ READS = {
     "frailty": (
         lambda s, d: qe.fall_ratio(s, d).agg(F.min("ratio").alias("ratio"), F.count(F.lit(1)).alias("n")),
         f"SELECT min(ratio) AS ratio, count(*) AS n FROM ({qe.ORACLE['fall_ratio']})", "n", 1),
-    "homogeneity": (qg.jackknife_se, qg.ORACLE["jackknife_se"], "n_clusters", 2),
+    "homogeneity": (lambda s, d: qh.homogeneity_excess(s, d).select("lo", "hi", "n_groups"), f"SELECT lo, hi, n_groups FROM ({qh.ORACLE['homogeneity_excess']})", "n_groups", 3),
+    "held_out_bones": (
+        lambda s, d: qt.held_out_rate(s, d).agg(F.min("before").alias("least_before"), F.min("relative_fall").alias("least_fall"), F.sum("n").alias("n")),
+        f"SELECT min(before) AS least_before, min(relative_fall) AS least_fall, sum(n) AS n FROM ({qt.ORACLE['held_out_rate']})", "n", 1),
+    "chance_ceiling": (_chance, f"SELECT b.lo, c.chance, b.n_clusters FROM ({qm._boot(_BY_CLIP, 'f1')}) b, (SELECT avg(chance_f1) AS chance FROM ({qi.ORACLE['chance_agreement']})) c", "n_clusters", 2),
+    "isolation": (
+        lambda s, d: qi.planted_run_classes(s, d).agg((F.sum("isolated") / F.sum("n_instances")).alias("share"), F.sum("n_instances").alias("n")),
+        f"SELECT sum(isolated) / sum(n_instances) AS share, sum(n_instances) AS n FROM ({qi.ORACLE['planted_run_classes']})", "n", 1),
+    "truncation": (
+        lambda s, d: qst.stage_run_lengths(s, d).where("arm = 'smoothed'").select("kept", "n"),
+        f"SELECT kept, n FROM ({qst.ORACLE['stage_run_lengths']}) WHERE arm = 'smoothed'", "n", 1),
+    "monotone": (
+        lambda s, d: violation_curve(s, d).withColumn("step", F.col("rate") - F.lag("rate").over(Window.orderBy("eps"))).agg(F.sum((F.col("step") > 0).cast("int")).alias("rising"), F.sum((F.col("step") < 0).cast("int")).alias("falling"), F.count("rate").alias("n")),  # five rows
+        f"SELECT count(*) FILTER (step > 0) AS rising, count(*) FILTER (step < 0) AS falling, count(rate) AS n FROM (SELECT rate, rate - lag(rate) OVER (ORDER BY eps) AS step FROM ({_CURVE}))", "n", 3),
     "falsifier": (lambda s, d: _interval(qm.paired_excess(s, d), "excess"), qm._boot(qm.ORACLE["paired_excess"], "excess"), "n_clusters", 2),
     "mark_rate": (_mark_rate, f"WITH {a.MARKS_SQL} SELECT count(*) / (max(frame) - min(frame) + 1) AS rate, count(*) AS n FROM marks", "n", 1),
     "breaks": (
@@ -144,8 +183,8 @@ READS = {
     "anchor": (
         lambda s, d: qg.percentile_of(s, d).agg((F.sum(F.col("mean_pct") * F.col("n")) / F.sum("n")).alias("pct"), F.sum("n").alias("n")),
         f"SELECT sum(mean_pct * n) / sum(n) AS pct, sum(n) AS n FROM ({qg.ORACLE['percentile_of']})", "n", 1),
-    "recurrence": (lambda s, d: _interval(qm.paired_excess(s, d), "excess"), qm._boot(qm.ORACLE["paired_excess"], "excess"), "n_clusters", 2),
-    "gate": (lambda s, d: _interval(_per_animal(qg.paired_deltas(s, d), "delta"), "delta"), qm._boot(_BY_ANIMAL.format(c="delta", q=qg.ORACLE["paired_deltas"]), "delta"), "n_clusters", 2),
+    "recurrence": (lambda s, d: _interval(qst.stage_recurrence(s, d), "excess"), qm._boot(qst.ORACLE["stage_recurrence"], "excess"), "n_clusters", 2),
+    "gate": (lambda s, d: _interval(_wins(s, d), "margin"), qm._boot(_WINS, "margin"), "n_clusters", 2),
     "power": (
         lambda s, d: qp.detectable_effect(s, d).agg(F.max("mde").alias("mde"), F.count(F.lit(1)).alias("n")),
         f"SELECT max(mde) AS mde, count(*) AS n FROM ({qp.ORACLE['detectable_effect']})", "n", 1),

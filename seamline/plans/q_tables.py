@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seamline.operators import geometry as g
 from seamline.operators import groupstats as gs
+from seamline.operators import ranking as rk
+from seamline.operators.segments import durable
 from seamline.plans import q_eventhistory as qe
 from seamline.plans import q_geometry as qgeo
 from seamline.plans import q_groupstats as qg
@@ -19,7 +21,9 @@ R = lambda c, n=6: F.round(c, n)
 FPS = 30.0
 N_STRATA, N_STATES = 5, 64
 #: Multiples of the spread at which boundaries are counted, and the guard of a mark's neighbourhood in frames.
-LEVELS = (2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0)
+LEVELS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
+#: Bones of the two halves of the body.
+HALVES = {"front": (0, 1, 2), "back": (3, 4, 5)}
 TOLERANCE = 2
 SALT = "trials"
 
@@ -67,13 +71,14 @@ def exp_roundtrip(spark, sf_dir):
 
 
 def naive_velocity(spark, sf_dir):
-    """Control without the logarithm: displacements as velocities, and how far these are from the twist's."""
-    t = qgeo.twist_se2(spark, sf_dir)
-    speed = F.sqrt(F.col("v_x") ** 2 + F.col("v_y") ** 2)
-    half = F.col("omega") / FPS / 2
-    chord = F.when(F.abs(half) < 1e-9, F.lit(1.0)).otherwise(F.abs(F.sin(half) / half))
-    out = t.where("v_x is not null").select("recording", speed.alias("speed"), (speed * chord).alias("naive"))
-    return out.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), R(F.avg("speed"), 4).alias("speed"), R(F.avg("naive"), 4).alias("naive"))
+    """Control without the logarithm: steps of the origin as velocities, from the poses themselves, beside the twist's."""
+    pose = a.pose(spark, sf_dir)
+    o = pose.withColumn("o", F.get("pose", g.ORIGIN))
+    to = F.lead("o").over(_w())
+    step = F.sqrt((to["x"] - F.col("o.x")) ** 2 + (to["y"] - F.col("o.y")) ** 2) * FPS / 0.5
+    t = qgeo.twist_se2(spark, sf_dir).join(o.select("recording", "t", step.alias("naive")), ["recording", "t"])
+    out = t.where("v_x is not null").select("recording", F.sqrt(F.col("v_x") ** 2 + F.col("v_y") ** 2).alias("speed"), "naive")
+    return out.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), R(F.avg("speed"), 4).alias("speed"), R(F.avg("naive"), 4).alias("naive"), R(F.avg(F.abs(F.col("speed") - F.col("naive"))), 4).alias("gap"))
 
 
 def naive_reverse_twist(spark, sf_dir):
@@ -103,13 +108,21 @@ def scalefree_lengths(spark, sf_dir):
 
 
 def held_out_rate(spark, sf_dir):
-    """Violation rate of each bone at a reference that comes from the other recordings alone: their mean."""
-    d = qgeo.lengths(spark, sf_dir)
-    ref = d.groupBy("recording", "bone").agg(F.percentile("d", 0.9).alias("l"))
-    n, s = F.count(F.lit(1)).over(Window.partitionBy("bone")), F.sum("l").over(Window.partitionBy("bone"))
-    ref = ref.withColumn("other", F.try_divide(s - F.col("l"), n - 1))
-    out = d.join(ref, ["recording", "bone"]).where("other is not null")
-    return out.groupBy("bone").agg(F.count(F.lit(1)).alias("n"), R(F.avg((F.col("d") / F.col("other") > 1 + qgeo.EPS).cast("int"))).alias("rate"))
+    """Violations on bones that a correction never saw: it is constrained by one half of the body and judged on the other.
+
+    References come from the uncorrected poses and stay, so a pose cannot pass by having shrunk.
+    """
+    pose = durable(a.pose(spark, sf_dir))
+    ref = durable(g.bone_lengths(pose).groupBy("recording", "bone").agg(F.percentile("d", 0.9).alias("l_hat")))
+    reach, out = ref.select("recording", "bone", (F.col("l_hat") * (1 + qgeo.EPS)).alias("r")), None
+    broken = lambda p, name: g.violations(g.bone_lengths(p), ref, qgeo.EPS).where(F.col("bone").isin(*HALVES[name]))
+    for own, other in (("front", "back"), ("back", "front")):
+        after = g.corrected(pose, broken(pose, own), reach, {k: g.BONES[k] for k in HALVES[own]})
+        frames = lambda p, c: broken(p, other).groupBy("recording", "t").agg(F.bool_or("viol").cast("int").alias(c))  # noqa: B023, E731
+        both = frames(pose, "before").join(frames(after, "after"), ["recording", "t"])
+        one = both.agg(F.count(F.lit(1)).alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after")).withColumns({"constrained": F.lit(own), "evaluated": F.lit(other)})
+        out = one if out is None else out.unionByName(one)
+    return out.select("constrained", "evaluated", "n", R("before").alias("before"), R("after").alias("after"), R(F.try_divide(F.col("before") - F.col("after"), F.col("before"))).alias("relative_fall"))
 
 
 def clean_mask(spark, sf_dir):
@@ -125,9 +138,12 @@ def clean_mask(spark, sf_dir):
 
 def keypoint_summary(spark, sf_dir):
     """Spikes described per keypoint and (k null) pooled."""
-    s = qgeo.continuity_spike_step(spark, sf_dir)
-    out = s.rollup("k").agg(F.count(F.lit(1)).alias("n"), R(F.percentile("spike", 0.5), 4).alias("median"), R(F.percentile("spike", 0.9), 4).alias("p90"), R(F.avg((F.col("spike") > 0.1).cast("int"))).alias("over"))
-    return out.select("k", "n", "median", "p90", "over")
+    s = durable(qgeo.continuity_spike_step(spark, sf_dir).select("k", "spike"))
+    out = s.rollup("k").agg(F.count(F.lit(1)).alias("n"), R(F.avg((F.col("spike") > 0.1).cast("int"))).alias("over"))
+    probs = {"median": 0.5, "p90": 0.9}
+    found = rk.quantiles_by(s, "spike", probs, ["k"]).unionByName(rk.quantiles_by(s, "spike", probs).withColumn("k", F.lit(None).cast("int")))
+    out = out.join(found.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left")
+    return out.select("k", "n", R("median", 4).alias("median"), R("p90", 4).alias("p90"), "over")
 
 
 def component_spread(spark, sf_dir):
@@ -167,15 +183,19 @@ def hazard_shape(spark, sf_dir):
 
 
 def rate_curve(spark, sf_dir):
-    """Local maxima of the discontinuity per frame of a recording, at each of eight thresholds."""
-    d = qs._d(spark, sf_dir).select("recording", "t", "d")
+    """Boundaries a second of each recording at eight thresholds: peaks off abstained frames, the tallest within the gap."""
+    d = durable(qs._d(spark, sf_dir).select("recording", "t", "code", "d"))
     med = d.groupBy("recording").agg(F.percentile("d", 0.5).alias("med"), F.count(F.lit(1)).alias("frames"))
-    mad = d.join(med, "recording").groupBy("recording", "med", "frames").agg(F.percentile(F.abs(F.col("d") - F.col("med")), 0.5).alias("mad"))
-    peak = d.withColumns({"p": F.lag("d").over(_w()), "q": F.lead("d").over(_w())}).where("d >= p and d > q")
-    k = F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("k")
-    over = peak.join(mad, "recording").select("recording", "d", "med", "mad", k).where("d > med + k * 1.4826 * (mad + 1e-12)").groupBy("recording", "k").agg(F.count(F.lit(1)).alias("n"))
-    out = mad.select("recording", "frames", k).join(over, ["recording", "k"], "left")
-    return out.select("recording", "k", F.coalesce("n", F.lit(0)).alias("n"), R(F.coalesce("n", F.lit(0)) / F.col("frames")).alias("rate"))
+    mad = durable(d.join(med, "recording").groupBy("recording", "med", "frames").agg(F.percentile(F.abs(F.col("d") - F.col("med")), 0.5).alias("mad")))
+    k = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("k")) for i, x in enumerate(LEVELS)])).alias("l")
+    peak = d.withColumns({"p": F.lag("d").over(_w()), "q": F.lead("d").over(_w())}).where("d >= p and d > q and code <> -1")
+    over = peak.join(mad, "recording").select("recording", "t", "d", "med", "mad", k).where("d > med + l.k * 1.4826 * (mad + 1e-12)")
+    # A recording at one threshold is a sequence of its own.
+    kept = qs.s.suppress(over.select((F.col("recording") * len(LEVELS) + F.col("l.i")).alias("recording"), "t", "d"), qs.GAP)
+    n = kept.groupBy("recording").agg(F.count(F.lit(1)).alias("n")).select((F.floor(F.col("recording") / len(LEVELS))).alias("recording"), F.pmod("recording", F.lit(len(LEVELS))).cast("int").alias("i"), "n")
+    every = mad.select("recording", "frames", k).select("recording", "frames", "l.i", "l.k")
+    out = every.join(n, ["recording", "i"], "left")
+    return out.select("recording", "k", F.coalesce("n", F.lit(0)).alias("n"), R(F.coalesce("n", F.lit(0)) * FPS / F.col("frames")).alias("rate"))
 
 
 def run_edge_frames(spark, sf_dir):
@@ -233,12 +253,32 @@ def boundary_jaccard(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (exp_roundtrip, naive_velocity, naive_reverse_twist, scalefree_lengths, held_out_rate, clean_mask, keypoint_summary, component_spread, strata, run_quintiles, hazard_shape, rate_curve, run_edge_frames, trial_ids, composition, arm_ranking, interval_separation, block_labels, boundary_jaccard)}
 
+
+
+def _held_out(own, other):
+    """One direction: suspects and discs by the own half's bones, frames judged by the other half's."""
+    of = lambda name: ", ".join(map(str, HALVES[name]))
+    sus = qgeo._SUSPECT.replace("FROM len JOIN ref USING (recording, bone))", f"FROM len JOIN ref USING (recording, bone) WHERE bone IN ({of(own)}))")
+    ends = ", ".join(f"({b}, {k}, {o})" for b in HALVES[own] for k, o in (g.BONES[b], g.BONES[b][::-1]))
+    pairs = ", ".join(f"({b}, {g.BONES[b][0]}, {g.BONES[b][1]})" for b in HALVES[other])
+    long = lambda rows: f"SELECT p.recording, p.t, bool_or(coalesce(sqrt((p.x - q.x)**2 + (p.y - q.y)**2) / l_hat > {1 + qgeo.EPS}, false))::INT AS v FROM (VALUES {pairs}) b(bone, i, j) JOIN {rows} p ON p.k = b.i JOIN {rows} q ON q.k = b.j AND q.recording = p.recording AND q.t = p.t JOIN ref ON ref.recording = p.recording AND ref.bone = b.bone GROUP BY ALL"
+    return f"""WITH RECURSIVE {sus}, en AS (SELECT * FROM (VALUES {ends}) e(bone, k, other)),
+dc AS (SELECT s.recording, s.t, s.suspect AS k, list({{px: o.x, py: o.y, r: l_hat * {1 + qgeo.EPS}}}) AS discs FROM sus s JOIN en ON en.k = s.suspect JOIN ref ON ref.recording = s.recording AND ref.bone = en.bone JOIN kp o ON o.recording = s.recording AND o.t = s.t AND o.k = en.other WHERE suspect >= 0 GROUP BY ALL),
+go(recording, t, k, step, x, y, discs) AS (SELECT dc.recording, dc.t, dc.k, 0, kp.x, kp.y, discs FROM dc JOIN kp ON kp.recording = dc.recording AND kp.t = dc.t AND kp.k = dc.k
+  UNION ALL SELECT recording, t, k, step + 1, CASE WHEN w.e > 1e-9 THEN w.px + (x - w.px) * w.r / greatest(w.e + w.r, 1e-12) ELSE x END, CASE WHEN w.e > 1e-9 THEN w.py + (y - w.py) * w.r / greatest(w.e + w.r, 1e-12) ELSE y END, discs
+  FROM (SELECT *, list_max(list_transform(discs, lambda c: {{e: sqrt((x - c.px)**2 + (y - c.py)**2) - c.r, px: c.px, py: c.py, r: c.r}})) AS w FROM go WHERE step < 32) z),
+k2 AS (SELECT kp.recording, kp.t, kp.k, coalesce(go.x, kp.x) AS x, coalesce(go.y, kp.y) AS y FROM kp LEFT JOIN go ON go.recording = kp.recording AND go.t = kp.t AND go.k = kp.k AND step = 32),
+bf AS ({long("kp")}), af AS ({long("k2")})
+SELECT '{own}' AS constrained, '{other}' AS evaluated, count(*) AS n, round(avg(bf.v), 6) AS before, round(avg(af.v), 6) AS after, round((avg(bf.v) - avg(af.v)) / nullif(avg(bf.v), 0), 6) AS relative_fall FROM bf JOIN af USING (recording, t)"""
+
+
 ORACLE = {
     "exp_roundtrip": _ROUND,
-    "naive_velocity": f"WITH {_TW}, s AS (SELECT recording, sqrt(v_x**2 + v_y**2) AS speed, omega / {FPS} / 2 AS h FROM tw WHERE v_x IS NOT NULL) SELECT recording, count(*) AS n, round(avg(speed), 4) AS speed, round(avg(speed * CASE WHEN abs(h) < 1e-9 THEN 1 ELSE abs(sin(h) / h) END), 4) AS naive FROM s GROUP BY recording",
+    "naive_velocity": f"""WITH {_TW}, st AS (SELECT recording, t, sqrt((lead(ox) OVER w - ox)**2 + (lead(oy) OVER w - oy)**2) * {FPS} / 0.5 AS naive FROM (SELECT label AS recording, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding[{2 * g.ORIGIN + 1}]::DOUBLE AS ox, embedding[{2 * g.ORIGIN + 2}]::DOUBLE AS oy FROM embeddings) WINDOW w AS (PARTITION BY recording ORDER BY t)),
+s AS (SELECT recording, sqrt(v_x**2 + v_y**2) AS speed, naive FROM tw JOIN st USING (recording, t) WHERE v_x IS NOT NULL) SELECT recording, count(*) AS n, round(avg(speed), 4) AS speed, round(avg(naive), 4) AS naive, round(avg(abs(speed - naive)), 4) AS gap FROM s GROUP BY recording""",
     "naive_reverse_twist": f"WITH {_TW}, i AS (SELECT recording, v_x, row_number() OVER w AS i, count(*) OVER (PARTITION BY recording) AS n FROM tw WHERE v_x IS NOT NULL WINDOW w AS (PARTITION BY recording ORDER BY t)) SELECT x.recording, count(*) AS n, round(avg(abs(x.v_x - y.v_x)), 4) AS differs FROM i x JOIN i y ON x.recording = y.recording AND y.i = x.n - x.i + 1 GROUP BY x.recording",
     "scalefree_lengths": f"WITH {qgeo._LEN}, s AS (SELECT *, quantile_cont(ln(d), 0.5) OVER (PARTITION BY recording, t) AS scale FROM len WHERE d > 0) SELECT recording, bone, count(*) AS n, round(avg(scale), 6) AS scale, round(avg(d / exp(scale)), 6) AS free FROM s GROUP BY ALL",
-    "held_out_rate": f"WITH {qgeo._LEN}, ref AS (SELECT recording, bone, quantile_cont(d, 0.9) AS l FROM len GROUP BY ALL), h AS (SELECT recording, bone, (sum(l) OVER w - l) / nullif(count(*) OVER w - 1, 0) AS other FROM ref WINDOW w AS (PARTITION BY bone)) SELECT bone, count(*) AS n, round(avg((d / other > {1 + qgeo.EPS})::INT), 6) AS rate FROM len JOIN h USING (recording, bone) WHERE other IS NOT NULL GROUP BY bone",
+    "held_out_rate": " UNION ALL ".join(f"({_held_out(x, y)})" for x, y in (("front", "back"), ("back", "front"))),
     "clean_mask": f"""WITH {qgeo._MASK}, kk AS (SELECT recording, t, min(conf) AS conf, bool_or(missing) AS missing FROM kp GROUP BY ALL), sp AS (SELECT recording, t, max(spike) AS spike FROM ({qgeo.ORACLE['continuity_spike_step']}) GROUP BY ALL),
 f AS (SELECT recording, NOT violated AS bones, NOT missing AS present, coalesce(spike <= 2.0, true) AS smooth, conf >= 0.01 AS sure FROM kk JOIN vm USING (recording, t) LEFT JOIN sp USING (recording, t))
 SELECT recording, count(*) AS n, round(avg(bones::INT), 6) AS bones, round(avg(present::INT), 6) AS present, round(avg(smooth::INT), 6) AS smooth, round(avg(sure::INT), 6) AS sure, round(avg((bones AND present AND smooth AND sure)::INT), 6) AS clean FROM f GROUP BY recording""",
@@ -250,9 +290,14 @@ SELECT split, stratum, count(*) AS n, CASE WHEN stratum >= 0 THEN {allocate(N_ST
     "run_quintiles": f"""WITH {qo.RUNS_SQL}, m AS (SELECT r.recording, r.run_id, round(avg(f.x), 9) AS mean, count(*) AS duration FROM runs r JOIN frames f ON f.recording = r.recording AND f.t BETWEEN r.start_t AND r.start_t + r.duration - 1 GROUP BY ALL),
 c AS (SELECT quantile_cont(mean, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM m) SELECT len(list_filter(cuts, lambda e: e <= mean))::INT AS quintile, count(*) AS runs, round(avg(duration), 6) AS duration FROM m, c GROUP BY 1""",
     "hazard_shape": f"WITH {qe._PREP}, b AS (SELECT code, count(*) AS runs FROM p GROUP BY code ORDER BY runs DESC, code LIMIT 2) SELECT h.code, bin, at_risk, exits, round(exits / nullif(at_risk, 0), 6) AS raw FROM ({qe.ORACLE['hazard_table']}) h JOIN b USING (code)",
-    "rate_curve": f"""WITH {qs._D}, md AS (SELECT recording, quantile_cont(d, 0.5) AS med, count(*) AS frames FROM d GROUP BY 1), m2 AS (SELECT recording, any_value(med) AS med, any_value(frames) AS frames, quantile_cont(abs(d - med), 0.5) AS mad FROM d JOIN md USING (recording) GROUP BY 1),
-pk AS (SELECT recording, d FROM (SELECT recording, d, lag(d) OVER w AS pa, lead(d) OVER w AS pb FROM d WINDOW w AS (PARTITION BY recording ORDER BY t)) WHERE d >= pa AND d > pb), kk AS (SELECT unnest([{", ".join(map(str, LEVELS))}])::DOUBLE AS k)
-SELECT m2.recording, k, count(pk.d) AS n, round(count(pk.d) / any_value(frames), 6) AS rate FROM m2 CROSS JOIN kk LEFT JOIN pk ON pk.recording = m2.recording AND pk.d > med + k * 1.4826 * (mad + 1e-12) GROUP BY m2.recording, k""",
+    "rate_curve": f"""WITH RECURSIVE {qs._D}, md AS (SELECT recording, quantile_cont(d, 0.5) AS med, count(*) AS frames FROM d GROUP BY 1), m2 AS (SELECT recording, any_value(med) AS med, any_value(frames) AS frames, quantile_cont(abs(d - med), 0.5) AS mad FROM d JOIN md USING (recording) GROUP BY 1),
+kk AS (SELECT unnest([{", ".join(map(str, LEVELS))}])::DOUBLE AS k),
+pk AS (SELECT p.recording, k, t, d FROM (SELECT recording, t, code, d, lag(d) OVER w AS pa, lead(d) OVER w AS pb FROM d WINDOW w AS (PARTITION BY recording ORDER BY t)) p JOIN m2 USING (recording), kk WHERE d >= pa AND d > pb AND code <> -1 AND d > med + k * 1.4826 * (mad + 1e-12)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY recording, k ORDER BY d DESC, t) AS r FROM pk),
+go(recording, k, r, kept) AS (SELECT recording, k, 1::BIGINT, [t] FROM rk WHERE r = 1
+  UNION ALL SELECT go.recording, go.k, rk.r, CASE WHEN len(list_filter(go.kept, lambda x: abs(x - rk.t) < {qs.GAP})) = 0 THEN list_append(go.kept, rk.t) ELSE go.kept END FROM go JOIN rk ON rk.recording = go.recording AND rk.k = go.k AND rk.r = go.r + 1),
+n AS (SELECT recording, k, max(len(kept)) AS n FROM go GROUP BY ALL)
+SELECT m2.recording, kk.k, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0) * {FPS} / frames, 6) AS rate FROM m2 CROSS JOIN kk LEFT JOIN n ON n.recording = m2.recording AND n.k = kk.k""",
     "trial_ids": f"SELECT o_orderkey AS index, substr(md5('{SALT}|' || o_orderstatus || '|' || o_orderpriority || '|' || o_orderkey), 1, 12) AS trial FROM orders",
     "run_edge_frames": f"WITH {qo.RUNS_SQL}, l AS (SELECT recording, max(end_t) AS last FROM runs GROUP BY 1), e AS (SELECT DISTINCT recording, e + d AS t FROM (SELECT recording, unnest([start_t, end_t]) AS e FROM runs), range({-TOLERANCE}, {TOLERANCE + 1}) r(d)) SELECT recording, count(*) AS n FROM e JOIN l USING (recording) WHERE t >= 0 AND t <= last GROUP BY recording",
     "composition": f"WITH n AS (SELECT component, label AS animal, count(*) AS n FROM ({qs.ORACLE['clump_components']}) c JOIN embeddings ON vec_id = unit GROUP BY ALL) SELECT component, animal, n, round(n / sum(n) OVER (PARTITION BY component), 6) AS share FROM n QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, animal) <= 8",
