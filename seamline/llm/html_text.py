@@ -9,8 +9,11 @@ clustered text, the one that holds most is a wrapper of the page and its declara
 their text for the container they stand in, and the winner is the content region: all its lines outside containers whose
 declaration stands, short ones too, are the main text.
 
-A class declares only as a whole token: ``header`` and ``site-header`` do, ``header-wide`` and ``notice-board`` do not. Tags
-that HTML lets authors leave out are implied: content ends an open head, blocks end an open button, option list or title.
+A class or id declares only as a whole token: ``header`` and ``site-header`` do, ``header-wide`` and ``notice-board`` do not; numbers and
+sizes in a token say nothing. Every element can declare itself: a paragraph, list item, heading or cell is a container of its own if
+it does, and what stands in a declared inline element is left out of its line. Tags
+that HTML lets authors leave out are implied: content ends an open head, blocks end an open button, option list, title or declared paragraph, an
+item ends the one before.
 
 Pages are independent, so the plan is one narrow map over them: no shuffle, no key, nothing larger than a page.
 
@@ -41,19 +44,25 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu footer header "
     "breadcrumb breadcrumbs comment comments disqus replies reply cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended widget pagination pager toolbar masthead skip alert".split()
+    "subscription signup login share sharing social related recommended widget pagination pager toolbar masthead skip alert "
+    "sponsored subnav topnav topbar navbox commentlist responses".split()
 )
 #: Words that may stand beside one of the others in a token without changing what it says.
-PLACE_WORDS = frozenset("site page top bottom left right main global primary secondary block box area section container wrapper inner list item items bar slot unit user reader article post".split())
+PLACE_WORDS = frozenset("site page top bottom left right main global primary secondary block box area section container wrapper inner list item items bar slot unit user reader article post posts list thread buttons links content google".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
-COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies responses disqus".split())
+#: Elements that hold lines and are containers only if they declare themselves, and what ends one that is open.
+HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address tr summary figcaption".split())
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}
 IN_HEAD = frozenset("title meta link base style script noscript template".split())
 #: Elements that a block of the page ends, should they still be open.
 SHORT = frozenset("button select textarea title map head".split())
 BLOCKS = SCOPES | frozenset("p h1 h2 h3 h4 h5 h6 pre address hr".split())
 #: Containers that are parts of a text and never the whole of it.
 PARTS = frozenset("blockquote figure ul ol dl table details".split())
-WORD = re.compile(r"[a-z0-9]+")
+#: Words of a token, without the numbers that end them; and sizes, which are none.
+WORD = re.compile(r"[a-z]+")
+SIZE = re.compile(r"\d+x\d+")
 
 SIGMA = 1.0
 #: Share of the clusters' text that a container has to hold on pages without an article or main element.
@@ -64,10 +73,27 @@ LEAST = 0.1
 
 def declares(token: str, words: frozenset = OTHER_WORDS) -> bool:
     """Whether a class token says, by all its words, that its container is one of ``words``."""
-    parts = set(WORD.findall(token))
+    parts = set(WORD.findall(SIZE.sub("-", token)))
     return not parts.isdisjoint(words) and parts <= words | PLACE_WORDS
 
 
+def said(tag: str, attrs) -> tuple[bool, bool]:
+    """Whether an element's attributes declare it as something else than the article, and whether they hide it."""
+    own = hidden = False
+    if tag not in ("html", "body"):
+        for name, value in attrs:
+            value = (value or "").strip().lower()
+            if name in ("class", "id"):
+                tokens = value.split()
+                words = COMMENT_WORDS if tag in ARTICLE or not CONTENT_WORDS.isdisjoint(tokens) else OTHER_WORDS
+                own |= any(declares(t, words) for t in tokens)
+            elif name == "role":
+                own |= value in OTHER_ROLES
+            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                hidden = True
+    return own, hidden
+
+
 class Scope:
     """An open container: its place in the page, its parent, and what it means for the lines in it."""
 
@@ -76,18 +102,9 @@ class Scope:
     def __init__(self, tag: str, parent: Scope | None, attrs):
         self.tag, self.parent = tag, parent
         self.mute = tag in MUTE or bool(parent and parent.mute)
-        self.own = tag in OTHER  # declares itself as something else than the article
-        if tag not in ("html", "body"):
-            for name, value in attrs:
-                value = (value or "").strip().lower()
-                if name in ("class", "id"):
-                    tokens = value.split()
-                    words = COMMENT_WORDS if tag in ARTICLE or not CONTENT_WORDS.isdisjoint(tokens) else OTHER_WORDS
-                    self.own |= any(declares(t, words) for t in tokens)
-                elif name == "role":
-                    self.own |= value in OTHER_ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                    self.mute = True
+        own, hidden = said(tag, attrs)
+        self.own = own or tag in OTHER  # declares itself as something else than the article
+        self.mute |= hidden
         self.article = parent.article if parent else None
         if tag in ARTICLE and self.article is None:
             self.article = self
@@ -108,16 +125,26 @@ class Lines(HTMLParser):
         self.stack = [Scope("", None, ())]
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
+        self.inside: list[str] = []  # open inline elements from the first that declares itself on: their text is left out
 
     def flush(self):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
             self.lines.append((text, self.tags, min(self.linked, len(text)), self.stack[-1]))
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.inside = [], 0, []
         self.tags = 0
 
     def imply(self, tag: str):
         """End what a start tag or text outside of it cannot be inside of."""
+        if self.stack[-1].tag == "p" and tag in BLOCKS | HOLDERS:
+            self.flush()
+            self.stack.pop()
+        for k in range(len(self.stack) - 1, 0, -1) if tag in ENDS else ():
+            if self.stack[k].tag in ENDS[tag]:
+                self.flush()
+                del self.stack[k:]
+            if k >= len(self.stack) or self.stack[k].tag in SCOPES:
+                break
         while self.stack[-1].tag in SHORT and (tag not in IN_HEAD if self.stack[-1].tag == "head" else tag in BLOCKS):
             self.flush()
             self.stack.pop()
@@ -127,15 +154,19 @@ class Lines(HTMLParser):
         if tag in INLINE:
             self.tags += 1
             self.links += tag == "a"
+            if self.inside or (attrs and any(said(tag, attrs))):
+                self.inside.append(tag)
             return
         self.flush()
         self.tags += 1
-        if tag not in VOID and (tag in SCOPES or tag in MUTE):
+        if tag not in VOID and (tag in SCOPES or tag in MUTE or (tag in HOLDERS and (any(o.tag == tag for o in self.stack) or (attrs and any(said(tag, attrs)))))):
             self.stack.append(Scope(tag, self.stack[-1], attrs))
 
     def handle_endtag(self, tag):
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
+            if tag in self.inside:
+                del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
             return
         self.flush()
         self.links = 0
@@ -154,7 +185,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.stack[-1].tag == "head" and not data.isspace():
             self.imply("p")
-        if not self.stack[-1].mute:
+        if not self.stack[-1].mute and not self.inside:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)

@@ -3,7 +3,8 @@
 Canonical form: copyright lines go, ASCII letters turn small, equivalent spellings become one, and every run of other
 characters than ASCII letters and digits becomes one blank. Two texts that differ only in these respects, line breaks
 among them, have one SHA-256. A copyright line opens, after comment marks, with the word or the sign and goes on with a year, a
-second sign or a year's place holder; a wrapped line that just happens to open with the word stays. Lines that say no
+second sign or a year's place holder; at the top of a text a short one may name its holder alone. A wrapped line that just happens
+to open with the word stays. The organisation that a BSD licence names in its last clause counts as its owner. Lines that say no
 more than that all rights are reserved go with them. Known licences are a fixed list held here (short texts below, long
 ones in ``licence_texts``), so their digest table has a size bound (a few hundred rows, it does not grow with the input)
 and is broadcast; the documents are neither shuffled nor compared with each other. Only Spark SQL functions run.
@@ -204,28 +205,57 @@ COPYRIGHT_LINE = (
     r"(^|\n)[^a-z0-9\n©]*(copyright[^a-z0-9\n©]*(\(c\)|©|" + _YEAR + r")|(\(c\)|©)[^a-z0-9\n]*(copyright[^a-z0-9\n]*)?" + _YEAR + r")[^\n]*"
 )
 RIGHTS_LINE = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)"
+#: Lines at the top of a text where a copyright line may name its holder alone, and the length of such a line at most; further down it
+#: has to carry a year or a second sign.
+HEAD, SHORT = 8, 120
+#: A line that opens, after comment marks, with the word or sign and somebody's capital, "(c)" with a year behind, or names portions.
+HOLDER_LINE = (
+    r"^[^A-Za-z0-9©]*((([Cc]opyright|COPYRIGHT)[^A-Za-z0-9]+(by )?|©[^A-Za-z0-9]*)[A-Z]|\([Cc]\)[^A-Za-z0-9]*[A-Z].*(19|20)[0-9][0-9]"
+    r"|([Pp]ortions|PORTIONS) ([Cc]opyright|COPYRIGHT|\([Cc]\)|©))"
+)
+#: Words that licences themselves say next to "copyright" are no names.
+NO_HOLDER = (
+    r"^[^a-z0-9©]*(copyright|©)[^a-z0-9]+(the )?(copyright|holders?|owners?|notices?|laws?|licen[cs]e|and|in|or|is|interests?|statements?|treat(y|ies)|act|protection|status|disclaimer|permission|office|free)"
+    r"([^a-z]|$)"
+)
+#: The organisation that a BSD licence names in its last clause.
+NAMED = "neither the names? of [a-z0-9 ]{1,120}? nor the names? of (its|the|their|his|any) contributors"
+NAMELESS = "neither the name of the copyright owner nor the names of its contributors"
 #: Line widths at which texts with copyright lines inside are listed; None: a paragraph a line.
 WIDTHS = (60, 66, 70, 72, 74, 76, 78, 79, 80, 100, 120, None)
 END = "END OF TERMS AND CONDITIONS"
 
 
+def _names_holder(line: Column) -> Column:
+    return (F.length(line) <= SHORT) & F.rlike(line, F.lit(HOLDER_LINE)) & ~F.rlike(F.translate(line, UPPER, LOWER), F.lit(NO_HOLDER))
+
+
+def names_holder(line: str) -> bool:
+    return len(line) <= SHORT and bool(re.search(HOLDER_LINE, line)) and not re.search(NO_HOLDER, line.translate(str.maketrans(UPPER, LOWER)))
+
+
 def canonical(text: Column) -> Column:
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    t = F.coalesce(text, F.lit(""))
+    lines = F.split(t, "\n", -1)
+    head = F.filter(F.slice(lines, F.lit(1), F.lit(HEAD)), lambda x: ~_names_holder(x))
+    t = F.concat_ws("\n", F.array_join(head, "\n"), F.substring(t, F.length(F.array_join(F.slice(lines, F.lit(1), F.lit(HEAD)), "\n")) + 1, F.length(t)))
+    t = F.translate(t, UPPER, LOWER)
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
+    return F.trim(F.regexp_replace(t, NAMED, NAMELESS))
 
 
 def canonical_text(text: str) -> str:
     """The same form of a Python string, for the known texts."""
-    t = text.translate(str.maketrans(UPPER, LOWER))
+    lines = text.split("\n")
+    t = "\n".join([x for x in lines[:HEAD] if not names_holder(x)] + lines[HEAD:]).translate(str.maketrans(UPPER, LOWER))
     t = re.sub(RIGHTS_LINE, "\n", re.sub(COPYRIGHT_LINE, "\n", t))
     t = " " + re.sub("[^a-z0-9]+", " ", t) + " "
     for old, new in SPELLINGS:
         t = t.replace(f" {old} ", f" {new} ")
-    return t.strip(" ")
+    return re.sub(NAMED, NAMELESS, t).strip(" ")
 
 
 def reflow(text: str, width: int | None) -> str:

@@ -13,13 +13,16 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical(c: str) -> str:
-    t = f"translate(coalesce({c}, ''), '{lic.UPPER}', '{lic.LOWER}')"
+    low = lambda x: f"translate({x}, '{lic.UPPER}', '{lic.LOWER}')"
+    named = f"length(x) <= {lic.SHORT} AND regexp_matches(x, '{lic.HOLDER_LINE}') AND NOT regexp_matches({low('x')}, '{lic.NO_HOLDER}')"
+    lines = f"string_split(coalesce({c}, ''), chr(10))"
+    t = low(f"array_to_string(list_concat(list_filter({lines}[1:{lic.HEAD}], lambda x: NOT ({named})), {lines}[{lic.HEAD + 1}:]), chr(10))")
     for line in (lic.COPYRIGHT_LINE, lic.RIGHTS_LINE):
         t = f"regexp_replace({t}, '{line}', chr(10), 'g')"
     t = f"' ' || regexp_replace({t}, '[^a-z0-9]+', ' ', 'g') || ' '"
     for old, new in lic.SPELLINGS:
         t = f"replace({t}, ' {old} ', ' {new} ')"
-    return f"trim({t}, ' ')"
+    return f"trim(regexp_replace({t}, '{lic.NAMED}', '{lic.NAMELESS}', 'g'), ' ')"
 
 
 _KNOWN = ", ".join(f"('{d}', '{n}')" for d, n in lic.known_digests())

@@ -119,6 +119,35 @@ def test_licences(spark):
     assert licences.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_under_any_holder(spark):
+    """The head may name a holder without a year, and the last clause of BSD an organisation."""
+    heads = ["Copyright Jane Doe", "Copyright The Authors", "(c) Jane Doe 2020", "© Jane Doe", "Portions copyright (c) 2001 X", "# Copyright by ACME Inc. and others", "COPYRIGHT 2020 X"]
+    mit, bsd = licences.TEXTS["MIT"][0], licences.TEXTS["BSD-3-Clause"][0]
+    rows = [(i, f"{h}\n\n{mit}") for i, h in enumerate(heads)]
+    named = bsd.replace("the copyright holder nor", "Google Inc. nor")
+    assert named != bsd
+    rows += [(50, named), (51, "Copyright Jane Doe\n" + named), (60, "Copyright holders may copy.\n" + mit), (61, "A line.\n" * 9 + "Copyright Jane Doe\n" + mit), (62, "Copyright Jane " + "x" * 200 + "\n" + mit), (63, "word " * 300_000)]
+    got = {r.doc_id: r.license_id for r in licences.scan(docs(spark, rows)).collect()}
+    assert all(got[i] == "MIT" for i in range(len(heads))) and got[50] == got[51] == "BSD-3-Clause"
+    assert [got[i] for i in (60, 61, 62, 63)] == [None] * 4
+    for i, t in rows:  # both forms agree
+        if i != 63:
+            assert licences.canonical_text(t) == spark.createDataFrame([(t,)], "t string").select(licences.canonical(F.col("t"))).first()[0]
+
+
+def test_pages_with_declared_parts_of_the_article(spark):
+    """Adverts and comments go wherever they stand in the article, by any element and by tokens with numbers or places."""
+    w = "Word and more words of an article that is long enough, with commas. " * 4
+    classes = "google-ads ad-300x250 sponsored-content share-buttons related-posts subnav topbar commentlist comment-thread responses".split()
+    junk = ['<p class="advert">JUNK</p>', '<ul><li class="advert">JUNK <ul><li>JUNK</li></ul> JUNK</li><li>kept</li></ul>', '<p>kept <span class="ad">JUNK <b>JUNK</b></span> on</p>', '<h3 class="related">JUNK</h3>', '<p class="breadcrumb">JUNK</p>',
+            '<div id="ad1">JUNK</div>', "<p class=advert>JUNK<p>kept", "<ul><li class=ad>JUNK<li>kept</ul>", *[f'<div class="{c}">JUNK JUNK</div>' for c in classes]]
+    fine = ['<div class="header-wide">kept</div>', '<p class="notice-board">kept</p>', '<p class="lead">kept</p>', '<p>a <span class="addition">kept</span></p>']
+    for part in junk + fine:
+        for page in (f"<article><p>{w}</p>{part}<p>{w}</p></article>", f'<body><div class="post"><p>{w}</p>{part}<p>{w}</p></div></body>'):
+            text = html_text.main_text(page)
+            assert "JUNK" not in text and text.count("Word") == 8 and ("kept" in text) == ("kept" in part), part
+
+
 def test_licence_digests_are_bounded_and_distinct():
     known = licences.known_digests()
     assert len(known) < 500 and len({d for d, _ in known}) == len(known)
