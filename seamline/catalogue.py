@@ -19,6 +19,7 @@ MODULES: tuple[str, ...] = (
     "q_more",
     "q_profiles",
     "q_repair",
+    "q_boosted",
     "q_stages",
     "q_reads",
     "q_tables",

@@ -203,3 +203,26 @@ def _grow(made: Boosted, rows: DataFrame, folded: bool) -> None:
                         trees[m][2][2 * at + 1 + side - inner] = -s.rate * v[0] / (v[1] + s.least)
     for m in range(models):
         made.trees[m].append(trees[m])
+
+
+def held_out(df: DataFrame, made: Boosted, target: str, fold: str) -> DataFrame:
+    """(fold, y, predicted): every row with a target, by the model that did not learn from its fold."""
+    n = len(made.features)
+    plain = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(made.features)]
+    rows = df.where(F.col(target).isNotNull()).select(*plain, F.col(target).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
+
+    def run(batches):
+        for b in batches:
+            bins, of = made.bins_of(_matrix(b, n)), b.column(n + 1).to_numpy(zero_copy_only=False)
+            out = np.zeros(len(of))
+            for m in np.unique(of):
+                out[of == m] = made.margin(bins[of == m], int(m))
+            yield pa.RecordBatch.from_arrays([b.column(n + 1), b.column(n), pa.array(out)], names=["fold", "y", "predicted"])
+
+    return rows.mapInArrow(run, "fold int, y double, predicted double")
+
+
+def explained(scored: DataFrame) -> DataFrame:
+    """(fold, n, r2): share of the target's variance in a fold that the model without the fold explains; none without variance."""
+    off, y = F.col("y") - F.col("predicted"), F.col("y")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(off * off), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))

@@ -71,3 +71,15 @@ def test_nulls_constants_and_no_rows(spark):
     assert np.isfinite(boosting.fit(df, ["a", "b"], "y").predict([[0, 0], [np.nan, 1]])).all()
     assert boosting.fit(df.where("y = 3"), ["a"], "y").predict([[7.0]])[0] == 3
     assert boosting.fit(df.where("false"), ["a"], "y").predict([[7.0]])[0] == 0
+
+
+def test_every_row_is_scored_by_the_model_without_its_fold(spark):
+    x, y, fold = data(900)
+    df = spark.createDataFrame([(*map(float, r), float(t), int(k)) for r, t, k in zip(x, y, fold, strict=True)], "a double, b double, c double, y double, k int")
+    made = boosting.fit(df, ["a", "b", "c"], "y", "k", 3)
+    got = sorted(map(tuple, boosting.held_out(df.repartition(4), made, "y", "k").collect()))
+    want = sorted((int(k), float(t), float(made.predict(r[None], k)[0])) for r, t, k in zip(x, y, fold, strict=True))
+    assert np.allclose(got, want)
+    for r in boosting.explained(boosting.held_out(df, made, "y", "k")).collect():
+        own = np.array([(t, p) for k, t, p in want if k == r.fold])
+        assert r.n == 300 and r.r2 == pytest.approx(1 - ((own[:, 0] - own[:, 1]) ** 2).sum() / ((own[:, 0] - own[:, 0].mean()) ** 2).sum())

@@ -80,3 +80,15 @@ def test_the_interval_leaves_out_animals(spark):
     ci = pm.interval(left, pm.aggregate(table)).first()
     assert ci.lo < ci.point < ci.hi and ci.lo > 0 and ci.n_groups == 8
     assert pm.interval(left.limit(2), pm.aggregate(table)).first().lo is None
+
+
+def test_quantiles_by_place(spark):
+    pick = random.Random(9)
+    rows = [(pick.choice("aab"), None if i % 17 == 0 else round(pick.gauss(0, 1), 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"low": 0.1, "mid": 0.5, "top": 0.999}
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()])
+    for group, have in (["g"], want), ([], df.agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()])):
+        got = sorted(map(tuple, rk.quantiles_by(df, "v", probs, group).collect()))
+        for a, b in zip(got, sorted(map(tuple, have.collect())), strict=True):
+            assert a[: len(group)] == b[: len(group)] and a[len(group) :] == pytest.approx(b[len(group) :])
