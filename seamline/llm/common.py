@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose tables stand.
+
+    They go when the driver's collector finds the plans that named them, which a small driver heap may never call for by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def flat(text):
     """The text with every white space character as a blank; null is the empty string."""
     out = F.coalesce(text, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import durable
+from seamline.llm.common import durable, release
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges, of any orderable type, to (vertex, root), root being the smallest vertex that links reach.
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         sent = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(sent.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        release(edges.sparkSession)
         if now == seen:
             break
         seen = now

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NULL_ID, arrow_map, aside, durable, width
+from seamline.llm.common import NULL_ID, arrow_map, aside, durable, release, width
 from seamline.llm.graph import components
 from seamline.llm.rolling import mix
 
@@ -42,7 +42,7 @@ SIMILAR = 0.8
 #: 13 million (the bands miss it once in 20,000); one over SURE needs no rival at first.
 MAYBE, SURE = 0.6, 0.91
 #: Pairs with other components that each member of a group emits, round by round; None: all.
-ROUNDS = (8, 128, None)
+ROUNDS = (8, None)
 #: Smallest hashes of a multiset that stand for it where components meet; a multiset of no more is compared exactly there.
 BOTTOM = 512
 #: Deviations that an estimate from these may lie under the least similarity before its pair is left out: once in 300,000.
@@ -432,11 +432,13 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
     # A class with a pair to verify in a later round has a link in the first, or is in a band of several blocks, of which it met one.
     banded = reps.select("rep", F.explode("bands").alias("band"))
     large = durable(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK).select("band"))
+    release(spark)
     if not large.isEmpty():
         ends = ends.union(banded.join(large, "band").select(F.col("rep").alias("v")))
     ends = ends.distinct()
     sets = durable(arrow_map(base, _sets, f"v {_VERTEX}, shingles binary, bottom binary", rows=512).dropDuplicates(["v"]).join(ends, "v"))
     edges = durable(_hold(links, sets, similar))
+    release(spark)
     roots = components(edges)
     for most in ROUNDS:
         root = roots.select(F.col("vertex").alias("rep"), "root")
@@ -444,8 +446,10 @@ def classify(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> D
         members = reps.join(sets.select(F.col("v").alias("rep"), "bottom"), "rep").join(root, "rep", "left").join(degree, "rep", "left")
         members = durable(members.withColumns({"root": F.coalesce("root", "rep"), "degree": F.coalesce("degree", F.lit(0))}))
         pairs = durable(arrow_map(_met(members, parts), _group(similar, most), _LINK, rows=4096).distinct())
+        release(spark)
         fresh = durable(pairs.where("a is not null").join(links, ["a", "b"], "left_anti"))
         found = durable(_hold(fresh, sets, similar))
+        release(spark)
         if not found.isEmpty():
             edges = edges.union(found)
             roots = components(edges)
