@@ -178,12 +178,12 @@ def test_quantiles_equal_numpy(spark):
 def test_nearest_neighbours_equal_all_pairs(spark):
     import numpy as np
 
-    from seamline.operators import neighbours
+    from seamline.operators import search
 
     rng = np.random.default_rng(2)
     vec = rng.integers(0, 3, (90, 4)).astype(float)  # many ties
     rows = [(i, i % 7, vec[i].tolist()) for i in range(90)]
-    got = sorted((r.query, r.rank, r.neighbour) for r in neighbours.knn(spark.createDataFrame(rows, "unit long, animal int, vec array<double>"), 4).collect())
+    got = sorted((r.query, r.rank, r.neighbour) for r in search.knn(spark.createDataFrame(rows, "unit long, animal int, vec array<double>"), 4).collect())
     want = []
     for i in range(90):
         d = np.sqrt(((vec - vec[i]) ** 2).sum(axis=1))
