@@ -53,11 +53,15 @@ _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+#: Words whose hashes a task remembers, some 40 MB: Python workers stay for later stages, and keep what they once took.
+KNOWN = 1 << 18
+
+
 class WordHashes(dict):
     """Hash of each word, computed once; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got
