@@ -43,6 +43,8 @@ SIMILAR = 0.8
 MAYBE, SURE = 0.6, 0.91
 #: Pairs with other components that each member of a group emits, round by round; None: all.
 ROUNDS = (8, None)
+#: Pairs a member, over a whole group, within which a round holds none back, so that no further one has to follow.
+SLACK = 32
 #: Smallest hashes of a multiset that stand for it where components meet; a multiset of no more is compared exactly there.
 BOTTOM = 512
 #: Deviations that an estimate from these may lie under the least similarity before its pair is left out: once in 300,000.
@@ -218,6 +220,7 @@ class Closeness:
         self.codes = np.full((len(hashes), int(self.lengths.max())), len(values), dtype=np.int32)
         self.codes[np.arange(self.codes.shape[1]) < self.lengths[:, None]] = codes
         self.mask = np.zeros(len(values) + 1, dtype=bool)
+        self.rank = np.zeros(len(values) + 1, dtype=np.int32)
 
     def __call__(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Similarities, and which of them are exact."""
@@ -229,14 +232,28 @@ class Closeness:
         union = self.lengths[i] + self.lengths[others] - shared
         whole = self.whole[others] & self.whole[i]
         cut = np.flatnonzero(~whole)
-        if len(cut):  # place of each hash in the union, which its common hashes before it shorten
+        if len(cut):  # place of each common hash in the union, which the common ones before it shorten
             c = common[cut]
-            place = np.arange(c.shape[1]) + np.searchsorted(own, theirs[cut]) - (np.cumsum(c, axis=1) - c)
+            self.rank[own] = np.arange(len(own))
+            place = np.arange(c.shape[1], dtype=np.int32) + self.rank[theirs[cut]] - (np.cumsum(c, axis=1, dtype=np.int32) - c)
             shared[cut] = (c & (place < BOTTOM)).sum(axis=1)
             union[cut] = np.minimum(union[cut], BOTTOM)
         return shared / union, whole
 
 
+def likeliest(a: np.ndarray, b: np.ndarray, n: np.ndarray, degree: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Which of the pairs (a, b) are among the ``most`` of either member with the largest ``n``, or with the best linked other
+    member; and if any is not."""
+    who, other, pair = np.concatenate((a, b)), np.concatenate((b, a)), np.tile(np.arange(len(a)), 2)
+    n = np.tile(n.astype(np.int64), 2)
+    size = np.bincount(who)
+    begin = np.cumsum(size) - size
+    keep = np.zeros(len(a), dtype=bool)
+    for order in (np.lexsort((other, -n, who)), np.lexsort((other, -n, -degree[other], who))):
+        keep[pair[order[np.arange(len(order)) - begin[who[order]] < most]]] = True
+    return keep, bool((size > most).any())
+
+
 def rivals(
     sig: np.ndarray,
     sizes: np.ndarray,
@@ -247,22 +264,24 @@ def rivals(
     home: np.ndarray | None = None,
     first: bool = True,
     bottoms: list[bytes] | None = None,
+    slack: int = 0,
 ) -> tuple[set[tuple[int, int]], bool]:
     """Pairs of a block's members in different components; and if any were held back.
 
-    A visitor (not at ``home``) is paired with members at home only, and these with each other in the ``first`` crowd only. Of
-    each member go the ``most`` likeliest, and as many that most links were verified of: the base of many copies. With the
-    members' smallest hashes, a pair of short texts that surely links joins the components of both in this block, and further
-    pairs of these are not needed.
+    A visitor (not at ``home``) is paired with members at home only, and these with each other in the ``first`` crowd only. If
+    there are over ``slack`` pairs a member, of each member go the ``most`` likeliest, and as many that most links were verified
+    of: the base of many copies. With the members' smallest hashes, a pair of short texts that surely links joins the components
+    of both in this block, and further pairs of these are not needed.
     """
     least, links, short = MAYBE * sig.shape[1], set(), False
     compare = Closeness(bottoms, sizes) if bottoms else None
     lowest = similar - DEVIATIONS * (similar * (1 - similar) / BOTTOM) ** 0.5
     root = np.array(root)
     home = np.ones(len(sig), dtype=bool) if home is None else home
-    for i in range(len(sig)):
+    held: list[tuple[np.ndarray, ...]] = []
+    for i in range(len(sig) - 1):  # each pair is met at its smaller member
         meets = (home if first else np.zeros(len(sig), dtype=bool)) | ~home if home[i] else home
-        other = np.flatnonzero((root != root[i]) & meets)
+        other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & meets[i + 1 :])
         n = _agree(sig, sizes, i, other, similar)
         near = np.flatnonzero(n >= least)
         if compare is not None and len(near):
@@ -270,15 +289,17 @@ def rivals(
             close, whole = compare(i, other[near])
             for j in other[near[whole & (close >= similar)]].tolist():
                 if root[i] != root[j]:
-                    links.add((min(i, j), max(i, j)))
+                    links.add((i, j))
                     root[root == root[j]] = root[i]
             near = near[~whole & (close >= lowest)]
-            near = near[root[other[near]] != root[i]]
-        if most is not None and len(near) > most:
-            short = True
-            near = near[np.argsort(-n[near], kind="stable")]
-            near = np.concatenate((near[:most], near[np.argsort(-degree[other[near]], kind="stable")[:most]]))
-        links.update((min(i, j), max(i, j)) for j in other[near].tolist())
+        held.append((np.full(len(near), i, np.int32), other[near].astype(np.int32), n[near].astype(np.int16)))
+    if held:
+        a, b, n = map(np.concatenate, zip(*held, strict=True))
+        apart = root[a] != root[b]
+        if most is not None and apart.sum() > slack * len(sig):
+            a, b, n = a[apart], b[apart], n[apart]
+            apart, short = likeliest(a, b, n, degree, most)
+        links.update(zip(a[apart].tolist(), b[apart].tolist(), strict=True))
     return links, short
 
 
@@ -305,7 +326,7 @@ def _group(similar: float, most: int | None = 0):
                     known: dict[tuple, int] = {}
                     root = np.array([known.setdefault(r[7:], len(known)) for r in own])
                     degree, home = np.array([r[5] for r in own]), np.array([r[4] for r in own])
-                    links, short = rivals(sig, sizes, root, degree, most, similar, home, last[2] == 0, [r[6] for r in own])
+                    links, short = rivals(sig, sizes, root, degree, most, similar, home, last[2] == 0, [r[6] for r in own], SLACK)
                 out += [(own[min(e)][:2], own[max(e)][:2]) for e in links]
                 if short:
                     out.append((None, None))

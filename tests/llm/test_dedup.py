@@ -271,6 +271,16 @@ def test_rivals_emit_a_forest_of_short_texts_and_drop_unlike_long_ones():
     assert minhash.closeness(twice, once, (100, 50)) == (0.5, True)
 
 
+def test_few_rivals_need_no_further_round():
+    """Long texts of an estimate near the bound: all pairs go at once where they are few, and the likeliest of each where not."""
+    sig, sizes = np.zeros((30, 128), dtype=np.uint8), np.full(30, 1000)
+    every = {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    assert minhash.rivals(sig, sizes, np.arange(30), 0 * sizes, 8, slack=15) == (every, False)
+    links, short = minhash.rivals(sig, sizes, np.arange(30), 0 * sizes, 8, slack=14)
+    assert short and links < every and {k for e in links for k in e} == set(range(30))
+    assert minhash.SLACK * 30 >= len(every)  # so the operator's first later round is its last here
+
+
 def test_near_duplicates_of_bands_over_many_blocks(spark, monkeypatch):
     """Blocks of four rows: families that lie in many blocks, and strays that visit them, end as brute force has them."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
@@ -323,6 +333,19 @@ def test_near_duplicates_of_a_large_family(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already are seen to be; one round more is one write and ten shuffles more."""
+    written, durable = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(1) or durable(df))
+    star = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 30)], "a long, b long")
+    assert {r.vertex: r.root for r in graph.components(star).collect()} == {k: 1 for k in range(2, 9)} | {30: 20}
+    assert len(written) == 1
+    written.clear()
+    path = spark.createDataFrame([(3, 1), (3, 2)], "a long, b long")
+    assert {r.vertex: r.root for r in graph.components(path).collect()} == {2: 1, 3: 1}
+    assert len(written) == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (7, 7)]
     got = {r.vertex: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
