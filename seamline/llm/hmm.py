@@ -6,8 +6,8 @@ one count in each class. So the states' tables have a bounded size, whatever the
 corpus enter the probabilities; and these sum to one over all known words and the classes' unknown ones. Small vocabularies
 get fewer classes (one for each ``TYPES`` words), lest the classes' unknown words take a share of their own.
 
-1. Documents become blocks of token numbers, and each block a row per word of its own. Counts of words are sums over
-   these rows by word, of which each block has one, so no task ever holds the vocabulary and none is broadcast.
+1. Documents become blocks of token numbers, each a row with its words, which the rounds then need not read past. Counts of
+   words are sums over a row per block and word, of which each block has one, so no task ever holds the vocabulary and none is broadcast.
 2. Baum-Welch: each task runs scaled forward and backward passes over its blocks' training texts and adds up expected
    counts, which are summed across tasks in two steps and give the next parameters. Texts are whole, however long: a pass keeps
    the states at the edges of stretches of ``ROWS`` tokens and goes back over a stretch from its edge, which bounds memory and
@@ -58,8 +58,8 @@ SEED = 7
 #: Spark's own seed of xxhash64, so that tasks and SQL agree on a word's class.
 HASH_SEED = 42
 
-_STAGE = "place long, data binary, word string, n long"
-_SCHEMA = pa.schema([("place", pa.int64()), ("data", pa.binary()), ("word", pa.string()), ("n", pa.int64())])
+_STAGE = "place long, data binary, words array<string>, counts array<long>"
+_SCHEMA = pa.schema([("place", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -89,7 +89,7 @@ def fold(doc_id: int | None) -> int:
 
 
 def _blocks(batches):
-    """Documents to blocks: a row with the block's texts as word numbers, and a row per word with its count in training texts."""
+    """Documents to blocks: a row with the block's texts as word numbers, its words and their counts in training texts."""
     home, number = TaskContext.get().partitionId() << 16, 0
     words, ids, docs, size = Numbers(), [], [], 0
 
@@ -101,13 +101,7 @@ def _blocks(batches):
         counts = np.bincount(flat[np.repeat(train, length)], minlength=len(words))
         vocabulary = list(words)
         classes = np.fromiter((xxhash.xxh64_intdigest(w, seed=HASH_SEED) % CLASSES for w in vocabulary), np.uint16, count=len(vocabulary))
-        k = len(vocabulary)
-        cols = [
-            ((home + number) << BITS) + np.append(0, np.arange(k)),
-            [_pack(doc, crc, null, length, flat, classes)] + [None] * k,
-            [None] + [w.decode() for w in vocabulary],
-            [None, *counts.tolist()],
-        ]
+        cols = [[(home + number) << BITS], [_pack(doc, crc, null, length, flat, classes)], [[w.decode() for w in vocabulary]], [counts]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     for batch in batches:
@@ -162,11 +156,11 @@ class InStep:
         return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
     def symbols(self, lo: int, hi: int):
-        """Symbols, steps and sequences of the rows of a range of steps."""
+        """Symbols of the rows of a range of steps."""
         n = self.running[lo:hi]
         step = np.repeat(np.arange(lo, hi), n)
         who = np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)
-        return self.flat[self.start[who] + step], step, who
+        return self.flat[self.start[who] + step]
 
 
 def _forward(model: Model, seqs: InStep, lo: int, hi: int, state, emit: np.ndarray, logs: np.ndarray | None) -> np.ndarray:
@@ -197,7 +191,7 @@ def likelihood(model: Model, seqs: InStep, rows: int = ROWS) -> np.ndarray:
     """Natural log-likelihood of each sequence, in the order it was given in."""
     logs, state = np.zeros(len(seqs.order)), None
     for lo, hi in seqs.stretches(rows):
-        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)[0]], logs)
+        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)], logs)
         state = states[seqs.at[hi - 1] - seqs.at[lo] :].copy()
     back = np.empty_like(logs)
     back[seqs.order] = logs
@@ -211,15 +205,18 @@ def expect(model: Model, seqs: InStep, rows: int = ROWS):
     logs, state, edges = np.zeros(len(seqs.order)), None, []
     for lo, hi in ways:
         edges.append(state)
-        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)[0]], logs)
+        symbols = seqs.symbols(lo, hi)
+        emit = model.emit[symbols]
+        states = _forward(model, seqs, lo, hi, state, emit, logs)
         state = states[at[hi - 1] - at[lo] :].copy()
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
     later = np.zeros((0, k))  # emission times backward state, of the first step of the stretch behind
     back = np.ascontiguousarray(model.move.T)
     for (lo, hi), edge in zip(reversed(ways), reversed(edges), strict=True):
-        symbols, step, who = seqs.symbols(lo, hi)
-        emit = model.emit[symbols]
-        states = states if hi == seqs.steps else _forward(model, seqs, lo, hi, edge, emit, None)
+        if hi < seqs.steps:  # the last stretch is still there
+            symbols = seqs.symbols(lo, hi)
+            emit = model.emit[symbols]
+            states = _forward(model, seqs, lo, hi, edge, emit, None)
         base, size = at[lo], len(symbols)
         beta, told = np.ones((size, k)), np.empty((size + len(later), k))
         told[size:] = later
@@ -233,12 +230,16 @@ def expect(model: Model, seqs: InStep, rows: int = ROWS):
                 own /= own.sum(axis=1)[:, None]
         later = told[: at[lo + 1] - base].copy()
         beta *= states
-        total = beta.sum(axis=1)
-        going = np.flatnonzero(who < seqs.running[step + 1])
-        moves += (states[going] / total[going, None]).T @ told[seqs.first[step[going] + 1] + who[going] - base]
-        beta /= total[:, None]
+        total = (beta @ np.ones(k))[:, None]
+        states /= total
+        for t in range(lo, hi):
+            a, b, n = at[t] - base, at[t + 1] - base, at[t + 2] - at[t + 1]
+            if n:
+                moves += states[a : a + n].T @ told[b : b + n]
+        beta /= total
         if lo == 0:
             starts = beta[: at[1]].sum(axis=0)
+        symbols = symbols.astype(np.intp)
         for z in range(k):
             emits[:, z] += np.bincount(symbols, weights=beta[:, z], minlength=len(emits))
     return starts, moves * model.move, emits, float(logs.sum())
@@ -342,10 +343,12 @@ def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFram
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     met = durable(arrow_map(source, _blocks, _STAGE, rows=256))
-    blocks = met.where("data is not null").select("place", "data")
+    blocks = met.select("place", "data")
     # A word has a row for each block that knows it: no key is hotter than the number of blocks.
     same = Window.partitionBy("word")
-    words = met.where("word is not null").select("place", "word", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("place")).alias("nth"))
+    words = met.select("place", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    words = words.select((F.col("place") + F.col("at")).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = words.select("place", "word", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("place")).alias("nth"))
     counted = durable(words.select("place", "total", F.when((F.col("nth") == 1) & (F.col("total") > 0), F.pmod(F.xxhash64("word"), F.lit(CLASSES))).alias("class")))
 
     def ends(batches):

@@ -186,6 +186,16 @@ def test_stretches_change_no_number():
     assert np.allclose(hmm.likelihood(m, seqs, 1 << 30), hmm.likelihood(m, seqs, 777))
 
 
+def test_rounds_read_blocks_and_no_rows_of_words(spark, monkeypatch):
+    """The table that every round reads again has a row per block; before, the rows of all words were read past each time."""
+    seen, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda blocks, *a: seen.append(blocks) or train(blocks, *a))
+    rows = [(i, f"word{i} word{i % 7} other") for i in range(60)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60
+    assert "Filter" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_query_scores_are_the_forward_sums_of_its_model(spark, monkeypatch):
     """Each score of the query against a plain forward pass, word by word, under the model that it trained."""
     import xxhash
