@@ -32,8 +32,10 @@ from seamline.llm.rolling import windows
 WINDOW = 32
 #: One cut in so many bytes.
 CHUNK = 1024
-#: Bytes of text whose chunks a task remembers at once.
+#: Bytes of chunks, with their ids, that a task remembers at once.
 MEMO = 32 << 20
+#: Bytes that a remembered chunk takes besides its text, ids and their ends.
+OBJECTS = 400
 #: A longer stretch without a sure boundary, or one with characters past U+024F, goes to the reference encoder.
 STRETCH = 2048
 LATIN = 0xC9
@@ -81,8 +83,8 @@ class Codec:
     def encode_piece(self, raw: bytes, data: np.ndarray, stretch: int) -> np.ndarray:
         text = raw.decode("utf-8")
         if stretch > STRETCH or data.max() > LATIN or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.int64)
-        return np.array(self.fast.encode_ordinary(text), dtype=np.int64)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return np.array(self.fast.encode_ordinary(text), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -100,7 +102,7 @@ class Chunk:
 
 
 class Encoder:
-    """Encodes texts with a memory of chunks; the memory is dropped when it holds ``memo`` bytes of text."""
+    """Encodes texts with a memory of chunks; the memory is dropped when it holds ``memo`` bytes."""
 
     def __init__(self, path: str, chunk: int = CHUNK, memo: int = MEMO):
         self.codec, self.memo, self.known, self.held = codec(path), memo, {}, 0
@@ -112,11 +114,11 @@ class Encoder:
         found = self.known.get(key)
         if found is None:
             ids = self.codec.encode_piece(key, data[lo:hi], stretch)
-            found = Chunk(ids, np.cumsum(self.codec.length[ids]))
+            found = Chunk(ids, np.cumsum(self.codec.length[ids], dtype=np.int32))
             if self.held > self.memo:
                 self.known, self.held = {}, 0
             self.known[key] = found
-            self.held += len(key) + found.ids.nbytes
+            self.held += len(key) + found.ids.nbytes + found.ends.nbytes + OBJECTS
             self.encoded += 1
         else:
             self.reused += 1

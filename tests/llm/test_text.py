@@ -276,3 +276,12 @@ def test_pages_edges(spark):
 def test_smoothing_keeps_the_mean():
     x = np.array([0.0, 0, 10, 0, 0, 0, 0])
     assert html_text.smooth(x).sum() == pytest.approx(10, rel=1e-2)
+
+
+def test_chunks_in_memory_are_counted_whole():
+    """Ids, their ends and the objects count, so ``memo`` bounds what a task really holds."""
+    from seamline.llm import bpe
+
+    enc = bpe.Encoder(bpe.default_path())
+    enc.encode(" ".join(f"word{i} of many" for i in range(3000)))
+    assert enc.held >= sum(len(k) + c.ids.nbytes + c.ends.nbytes for k, c in enc.known.items())
