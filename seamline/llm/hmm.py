@@ -10,8 +10,8 @@ get fewer classes (one for each ``TYPES`` words), lest the classes' unknown word
    words are sums over a row per block and word, of which each block has one, so no task ever holds the vocabulary and none is broadcast.
 2. Baum-Welch: each task runs scaled forward and backward passes over its blocks' training texts and adds up expected
    counts, which are summed across tasks in two steps and give the next parameters. Texts are whole, however long: a pass keeps
-   the states at the edges of stretches of ``ROWS`` tokens and goes back over a stretch from its edge, which bounds memory and
-   changes no number. The first ``WARM`` rounds take one shard of the training texts each, in turn, to part the states
+   the states at the edges of stretches of ``ROWS`` tokens and goes back over a stretch from its edge (those of the last
+   ``KEPT`` stretches are still there), which bounds memory and changes no number. The first ``WARM`` rounds take one shard of the training texts each, in turn, to part the states
    from their random start; then rounds take all training texts, until one adds less than ``GAIN`` to the mean
    log-likelihood of a token.
 3. Each whole text is scored by the forward recursion.
@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -47,6 +48,8 @@ GAIN = 0.005
 SHARD_TOKENS = 200_000
 #: Tokens whose states are held at once, and steps after which states are scaled.
 ROWS, EVERY = 1 << 16, 8
+#: Last stretches whose states a pass keeps.
+KEPT = 3
 #: Weight of the corpus' class shares in each state's emissions, of a flat count in moves, and the start's staying rate.
 SMOOTH, FLAT, STAY = 2000.0, 1.0, 0.9
 BLOCK = 16 << 20
@@ -76,43 +79,51 @@ def _unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
+def _words(texts: pa.Array):
+    """Words of all texts in a row, lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty word there
+    upto = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    return words.filter(full), np.diff(upto[ends], prepend=0)
+
+
 def _blocks(batches):
     """Documents to blocks: a row with the block's texts as word numbers, its words and their counts in training texts."""
     home, number = TaskContext.get().partitionId() << 16, 0
-    words, ids, docs, size = Numbers(), [], [], 0
+    met, lengths, docs, size = [], [], [], 0
 
     def flush():
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        length = np.array([len(x) for x in ids], dtype=np.int64)
+        coded = pa.chunked_array(met).dictionary_encode().combine_chunks()
+        flat, words = coded.indices.to_numpy().astype(np.int32, copy=False), coded.dictionary.cast(pa.string())
+        length = np.array(lengths, dtype=np.int64)
         doc, crc, null = (np.array([d[i] for d in docs], dtype=np.int64) for i in range(3))
         train = crc % FOLDS != HELD
         counts = np.bincount(flat[np.repeat(train, length)], minlength=len(words))
-        vocabulary = list(words)
-        classes = np.fromiter((xxhash.xxh64_intdigest(w, seed=HASH_SEED) % CLASSES for w in vocabulary), np.uint16, count=len(vocabulary))
-        cols = [[(home + number) << BITS], [_pack(doc, crc, null, length, flat, classes)], [[w.decode() for w in vocabulary]], [counts]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+        raw = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        classes = np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) % CLASSES for w in raw), np.uint16, count=len(raw))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
+        cols = [pa.array([(home + number) << BITS]), pa.array([_pack(doc, crc, null, length, flat, classes)], pa.binary()), *lists]
+        return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
     for batch in batches:
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            raw = (t.as_py() or "").encode("utf-8").lower().split()
-            ids.append(np.fromiter(map(words.__getitem__, raw), np.int32, count=len(raw)))
+        words, n = _words(batch.column("text"))
+        begin = end = 0
+        for d, k in zip(batch.column("doc_id").to_pylist(), n.tolist(), strict=True):
             docs.append((0 if d is None else d, fold(d), d is None))
-            size += 8 * len(raw) + 16
-            if size >= BLOCK or len(words) >= 1 << (BITS - 1):
+            lengths.append(k)
+            end += k
+            size += 8 * k + 16
+            if size >= BLOCK:
+                met.append(words.slice(begin, end - begin))
                 yield flush()
-                words, ids, docs, size, number = Numbers(), [], [], 0, number + 1
+                met, lengths, docs, size, number, begin = [], [], [], 0, number + 1, end
+        met.append(words.slice(begin))
     if docs:
         yield flush()
 
@@ -155,6 +166,10 @@ class InStep:
         edges = np.unique(np.append(np.searchsorted(self.first, np.arange(0, self.first[-1], rows)), self.steps))
         return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
+    def most(self, ways: list) -> int:
+        """Rows of the largest of some stretches. All stretches fill the same arrays: new ones cost about as much as what fills them."""
+        return max((self.at[hi] - self.at[lo] for lo, hi in ways), default=0)
+
     def symbols(self, lo: int, hi: int):
         """Symbols of the rows of a range of steps."""
         n = self.running[lo:hi]
@@ -163,10 +178,14 @@ class InStep:
         return self.flat[self.start[who] + step]
 
 
-def _forward(model: Model, seqs: InStep, lo: int, hi: int, state, emit: np.ndarray, logs: np.ndarray | None) -> np.ndarray:
+def _emissions(model: Model, symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
+    return np.take(model.emit, symbols, axis=0, out=room[: len(symbols)], mode="clip")  # all symbols are classes; other modes copy
+
+
+def _forward(model: Model, seqs: InStep, lo: int, hi: int, state, emit: np.ndarray, logs: np.ndarray | None, room: np.ndarray) -> np.ndarray:
     """States of steps lo to hi, from those before. States are scaled now and then; ``logs`` gets the logarithms."""
     at, base, move = seqs.at, seqs.at[lo], model.move
-    out = np.empty_like(emit)
+    out = room[: len(emit)]
     for t in range(lo, hi):
         a, b = at[t] - base, at[t + 1] - base
         now = out[a:b]
@@ -189,9 +208,10 @@ def _forward(model: Model, seqs: InStep, lo: int, hi: int, state, emit: np.ndarr
 
 def likelihood(model: Model, seqs: InStep, rows: int = ROWS) -> np.ndarray:
     """Natural log-likelihood of each sequence, in the order it was given in."""
-    logs, state = np.zeros(len(seqs.order)), None
-    for lo, hi in seqs.stretches(rows):
-        states = _forward(model, seqs, lo, hi, state, model.emit[seqs.symbols(lo, hi)], logs)
+    logs, state, ways = np.zeros(len(seqs.order)), None, seqs.stretches(rows)
+    given, found = (np.empty((seqs.most(ways), len(model.start))) for _ in range(2))
+    for lo, hi in ways:
+        states = _forward(model, seqs, lo, hi, state, _emissions(model, seqs.symbols(lo, hi), given), logs, found)
         state = states[seqs.at[hi - 1] - seqs.at[lo] :].copy()
     back = np.empty_like(logs)
     back[seqs.order] = logs
@@ -202,47 +222,55 @@ def expect(model: Model, seqs: InStep, rows: int = ROWS):
     """Expected counts of starts, moves and emissions, and the log-likelihood."""
     k = len(model.start)
     at, ways = seqs.at, seqs.stretches(rows)
-    logs, state, edges = np.zeros(len(seqs.order)), None, []
-    for lo, hi in ways:
+    most = seqs.most(ways)
+    given, behind, ahead = np.empty((most, k)), np.empty((most, k)), np.empty((2 * most, k))
+    kept = [np.empty((most, k)) for _ in ways[:KEPT]]  # states of stretches, in turn
+    logs, state, edges, met = np.zeros(len(seqs.order)), None, [], []
+    for i, (lo, hi) in enumerate(ways):
         edges.append(state)
-        symbols = seqs.symbols(lo, hi)
-        emit = model.emit[symbols]
-        states = _forward(model, seqs, lo, hi, state, emit, logs)
+        met.append(seqs.symbols(lo, hi))
+        states = _forward(model, seqs, lo, hi, state, _emissions(model, met[i], given), logs, kept[i % KEPT])
         state = states[at[hi - 1] - at[lo] :].copy()
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
     later = np.zeros((0, k))  # emission times backward state, of the first step of the stretch behind
     back = np.ascontiguousarray(model.move.T)
-    for (lo, hi), edge in zip(reversed(ways), reversed(edges), strict=True):
-        if hi < seqs.steps:  # the last stretch is still there
-            symbols = seqs.symbols(lo, hi)
-            emit = model.emit[symbols]
-            states = _forward(model, seqs, lo, hi, edge, emit, None)
-        base, size = at[lo], len(symbols)
-        beta, told = np.ones((size, k)), np.empty((size + len(later), k))
+    for i, (lo, hi) in reversed(list(enumerate(ways))):
+        symbols, base = met.pop(), at[lo]
+        size = len(symbols)
+        emit = _emissions(model, symbols, given)
+        if i >= len(ways) - KEPT:
+            states = kept[i % KEPT][:size]
+        else:
+            states = _forward(model, seqs, lo, hi, edges[i], emit, None, kept[i % KEPT])
+        beta, told = behind[:size], ahead[: size + len(later)]
         told[size:] = later
         for t in range(hi - 1, lo - 1, -1):
             a, b, n = at[t] - base, at[t + 1] - base, at[t + 2] - at[t + 1]
             if n:
                 np.matmul(told[b : b + n], back, out=beta[a : a + n])
+            beta[a + n : b] = 1  # sequences that end here
             own = told[a:b]
             np.multiply(emit[a:b], beta[a:b], out=own)
             if t % EVERY == 0:
                 own /= own.sum(axis=1)[:, None]
         later = told[: at[lo + 1] - base].copy()
         beta *= states
-        total = (beta @ np.ones(k))[:, None]
-        states /= total
-        for t in range(lo, hi):
-            a, b, n = at[t] - base, at[t + 1] - base, at[t + 2] - at[t + 1]
-            if n:
-                moves += states[a : a + n].T @ told[b : b + n]
-        beta /= total
+        weight = 1 / (beta @ np.ones(k))[:, None]
+        states *= weight
+        beta *= weight
+        # Over steps with as many sequences, a row and the next of its sequence lie equally far apart.
+        n = seqs.running[lo : hi + 1].tolist()
+        edge = [0, *(np.flatnonzero(np.diff(n[:-1])) + 1).tolist(), hi - lo]
+        for t, u in zip(edge[:-1], edge[1:], strict=True):
+            a, b = at[lo + t] - base, at[lo + u - 1] - base + n[u]
+            moves += states[a:b].T @ told[a + n[t] : b + n[t]]
         if lo == 0:
             starts = beta[: at[1]].sum(axis=0)
-        symbols = symbols.astype(np.intp)
+        symbols, share = symbols.astype(np.intp), given.reshape(-1)[: k * size].reshape(k, size)  # emissions are done with
+        share[:] = beta.T
         for z in range(k):
-            emits[:, z] += np.bincount(symbols, weights=beta[:, z], minlength=len(emits))
-    return starts, moves * model.move, emits, float(logs.sum())
+            emits[z] += np.bincount(symbols, weights=share[z], minlength=len(model.emit))
+    return starts, moves * model.move, np.ascontiguousarray(emits.T), float(logs.sum())
 
 
 def _read_docs(data: bytes, folded: int):
@@ -255,7 +283,7 @@ def _read_docs(data: bytes, folded: int):
     symbols = np.full(len(flat) + len(length), folded, dtype=np.int32)
     inner = np.ones(len(symbols), dtype=bool)
     inner[ends] = False
-    symbols[inner] = classes[flat] % folded
+    symbols[inner] = (classes % folded)[flat]
     return doc, crc, null, length + 1, symbols, flat, classes
 
 
