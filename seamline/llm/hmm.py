@@ -376,8 +376,8 @@ def score(docs: DataFrame, text: str = "text", states: int = STATES) -> DataFram
     same = Window.partitionBy("word")
     words = met.select("place", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     words = words.select((F.col("place") + F.col("at")).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = words.select("place", "word", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("place")).alias("nth"))
-    counted = durable(words.select("place", "total", F.when((F.col("nth") == 1) & (F.col("total") > 0), F.pmod(F.xxhash64("word"), F.lit(CLASSES))).alias("class")))
+    words = words.select("place", "word", F.sum("n").over(same).alias("total"), F.min("place").over(same).alias("first"))
+    counted = durable(words.select("place", "total", F.when((F.col("place") == F.col("first")) & (F.col("total") > 0), F.pmod(F.xxhash64("word"), F.lit(CLASSES))).alias("class")))
 
     def ends(batches):
         for batch in batches:

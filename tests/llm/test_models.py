@@ -244,6 +244,15 @@ def test_rounds_read_blocks_and_no_rows_of_words(spark, monkeypatch):
     assert "Filter" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_words_are_counted_in_one_window(spark, monkeypatch):
+    """Before, a second window in another order numbered the rows of each word."""
+    seen, durable = [], hmm.durable
+    monkeypatch.setattr(hmm, "durable", lambda df: seen.append(df) or durable(df))
+    rows = [(i, f"word{i} word{i % 7} other") for i in range(60)]
+    assert hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert seen[1]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_query_scores_are_the_forward_sums_of_its_model(spark, monkeypatch):
     """Each score of the query against a plain forward pass, word by word, under the model that it trained."""
     import xxhash
